@@ -16,6 +16,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def head_bytes(c: Column, n: int) -> Column:
+    """The first n bytes of a text; a character cut in two becomes U+FFFD."""
+    return F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, n).cast("string"))
+
+
 def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -89,7 +94,7 @@ def failed(status: Column) -> Column:
 
 def looks_like_html(body: Column, content_type: Column) -> Column:
     """Content type names html, or a doctype / html tag stands in the first 256 bytes."""
-    head = F.lower(F.decode(F.substring(F.encode(body, "UTF-8"), 1, 256), "UTF-8"))
+    head = F.lower(head_bytes(body, 256))
     return F.contains(F.lower(content_type), F.lit("html")) | head.contains("<html") | head.contains("<!doctype")
 
 

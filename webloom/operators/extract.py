@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.selectors import css_plan_lit, rule_plan, rule_plan_lit, select_nodes
-from webloom.functions.text import let, trim_space
+from webloom.functions.text import head_bytes, let, trim_space
 from webloom.functions.urls import is_http, resolve_url
 from webloom.sources.htmltree import shred
 
@@ -20,8 +20,7 @@ BODY_CAP = 4 * 1024 * 1024
 
 def cap_body(html: Column) -> Column:
     """At most 4 MiB of a body, counted in bytes."""
-    cut = F.decode(F.substring(F.encode(html, "UTF-8"), 1, BODY_CAP), "UTF-8")
-    return F.when(F.octet_length(html) > BODY_CAP, cut).otherwise(html)
+    return F.when(F.octet_length(html) > BODY_CAP, head_bytes(html, BODY_CAP)).otherwise(html)
 
 
 def spread(df: DataFrame) -> DataFrame:

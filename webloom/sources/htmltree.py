@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -59,13 +60,27 @@ NODE = pa.struct(
         ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string()),
         ("t0", pa.int32()), ("t1", pa.int32()),
         ("o0", pa.int32()), ("o1", pa.int32()), ("i0", pa.int32()), ("i1", pa.int32()),
-        ("path", pa.list_(pa.int32())),
+        ("path", pa.list_(pa.int32())), ("child_sig", pa.string()),
     ]
 )
 PAGE = pa.struct([("nodes", pa.list_(NODE)), ("text", pa.string()), ("html", pa.string())])
 
 PAGE_TYPE = from_arrow_type(PAGE)
 
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|([A-Za-z][A-Za-z0-9]*)(;?))(?P<eq>=?)")
+
+
+def _unescape_attr(v: str) -> str:
+    """In attributes a name without ';' is an entity only when it stands alone: '&copy=1' is kept."""
+
+    def one(m: re.Match) -> str:
+        name, semi = m[1], m[2]
+        if name and not semi and (m["eq"] or name not in html5):
+            return m[0]
+        return unescape(m[0][: len(m[0]) - len(m["eq"])]) + m["eq"]
+
+    return _ENTITY.sub(one, v)
+
 
 def _escape(s: str, attr: bool = False) -> str:
     s = s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
@@ -99,7 +114,7 @@ class _Builder:
         listed = tag not in _UNLISTED and (parent is None or parent["node_id"] > 0)
         node = {
             "pos": len(self.nodes) + 1, "tag": tag, "attrs": attrs, "own": [], "kids": {},
-            "n_kids": 0, "n_listed": 0, "t0": self.t, "o0": self.o, "parent": parent, "node_id": 0, "sib_idx": 0,
+            "n_kids": 0, "n_listed": 0, "labels": [], "t0": self.t, "o0": self.o, "parent": parent, "node_id": 0, "sib_idx": 0,
         }
         if parent is None:
             node["el_idx"] = node["type_idx"] = 1
@@ -115,6 +130,8 @@ class _Builder:
             if parent is not None:
                 node["sib_idx"] = parent["n_listed"]
                 parent["n_listed"] += 1
+                first = attrs.get("class", "").split(None, 1)
+                parent["labels"].append(f"{tag}.{first[0]}" if first else tag)
         self.nodes.append(node)
         if self.html is not None:
             pairs = "".join(f' {k}="{_escape(v, True)}"' for k, v in attrs.items())
@@ -346,7 +363,7 @@ class _Builder:
                 if blob:
                     for k, a, b, c in _ATTR.findall(blob):
                         v = a or b or c
-                        attrs.setdefault(k.lower(), unescape(v) if "&" in v else v)
+                        attrs.setdefault(k.lower(), _unescape_attr(v) if "&" in v else v)
                 if self.start(tag, attrs, blob.endswith("/")):
                     stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
                     end = stop.start() if stop else n
@@ -418,6 +435,7 @@ def shred_batch(pages: list[str | None], with_html: bool) -> pa.StructArray:
             fields["id_attr"].append(n["attrs"].get("id", ""))
             fields["classes"].append(list(seen))
             fields["attrs"].append(list(n["attrs"].items()))
+            fields["child_sig"].append(",".join(n["labels"]))
             fields["own_text"].append(_squeeze(n["own"]))
             for k in ("t0", "t1", "o0", "o1", "i0", "i1", "path"):
                 fields[k].append(n[k])
