@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from webloom.functions.urls import apply_sql, let
+
 STEP = (
     "struct<comb:string,tag:string,id:string,classes:array<string>,"
     "attrs:array<struct<name:string,op:string,value:string>>,nth:array<struct<of:string,a:int,b:int>>>"
@@ -258,42 +260,50 @@ def _plan_json(packed):
     return pa.array(out, pa.string())
 
 
-def _attr_ok(attrs: Column, test: Column) -> Column:
-    have, want, op = F.element_at(attrs, test["name"]), test["value"], test["op"]
-    return F.coalesce(
-        F.when(op == "", have.isNotNull())
-        .when(op == "=", have == want)
-        .when(op == "!=", F.coalesce(have != want, F.lit(True)))
-        .when(op == "~=", F.array_contains(F.split(have, r"\s+"), want))
-        .when(op == "^=", (want != "") & F.startswith(have, want))
-        .when(op == "$=", (want != "") & F.endswith(have, want))
-        .when(op == "*=", (want != "") & F.contains(have, want))
-        .when(op == "|=", (have == want) | F.startswith(have, F.concat(want, F.lit("-")))),
-        F.lit(False),
-    )
+_ATTR_OK = """coalesce(CASE t.op
+    WHEN '' THEN n.attrs[t.name] IS NOT NULL
+    WHEN '=' THEN n.attrs[t.name] = t.value
+    WHEN '!=' THEN coalesce(n.attrs[t.name] != t.value, true)
+    WHEN '~=' THEN array_contains(split(n.attrs[t.name], r'\\s+'), t.value)
+    WHEN '^=' THEN t.value != '' AND startswith(n.attrs[t.name], t.value)
+    WHEN '$=' THEN t.value != '' AND endswith(n.attrs[t.name], t.value)
+    WHEN '*=' THEN t.value != '' AND contains(n.attrs[t.name], t.value)
+    WHEN '|=' THEN n.attrs[t.name] = t.value OR startswith(n.attrs[t.name], concat(t.value, '-')) END, false)"""
+_NTH_AT = """CASE t.of WHEN 'child' THEN n.el_idx WHEN 'of-type' THEN n.type_idx
+    WHEN 'last-child' THEN n.n_el - n.el_idx + 1 ELSE n.n_type - n.type_idx + 1 END"""
+_NTH_OK = f"""CASE WHEN t.a = 0 THEN {_NTH_AT} = t.b
+    ELSE ({_NTH_AT} - t.b) % t.a = 0 AND ({_NTH_AT} - t.b) * sign(t.a) >= 0 END"""
+_STEP_OK = f"""(st.tag = '' OR n.tag = st.tag) AND (st.id = '' OR n.id_attr = st.id)
+    AND forall(st.classes, c -> array_contains(n.classes, c)) AND forall(st.attrs, t -> {_ATTR_OK})
+    AND forall(st.nth, t -> {_NTH_OK})"""
 
 
-def _nth_ok(n: Column, test: Column) -> Column:
-    at = (
-        F.when(test["of"] == "child", n["el_idx"])
-        .when(test["of"] == "of-type", n["type_idx"])
-        .when(test["of"] == "last-child", n["n_el"] - n["el_idx"] + 1)
-        .otherwise(n["n_type"] - n["type_idx"] + 1)
-    )
-    off = at - test["b"]
-    return F.when(test["a"] == 0, off == 0).otherwise(
-        (off % F.nullif(test["a"], F.lit(0)) == 0) & (off * F.signum(test["a"]) >= 0)
-    )
+def _marked(marks: str, pos: str) -> str:
+    return f"coalesce(get({marks}, {pos} - q.below), false)"
 
 
-def _step_ok(n: Column, st: Column) -> Column:
-    return (
-        ((st["tag"] == "") | (n["tag"] == st["tag"]))
-        & ((st["id"] == "") | (n["id_attr"] == st["id"]))
-        & F.forall(st["classes"], lambda c: F.array_contains(n["classes"], c))
-        & F.forall(st["attrs"], lambda t: _attr_ok(n["attrs"], t))
-        & F.forall(st["nth"], lambda t: _nth_ok(n, t))
-    )
+_LINKED = f"""CASE st.comb WHEN '' THEN true
+    WHEN ' ' THEN exists(n.path, a -> {_marked("marks", "a")})
+    WHEN '>' THEN {_marked("marks", "n.parent_pos")}
+    ELSE exists(q.nodes, m -> m.parent_pos = n.parent_pos AND {_marked("marks", "m.pos")}
+        AND if(st.comb = '+', n.el_idx - m.el_idx = 1, n.el_idx > m.el_idx)) END"""
+
+
+def select_sql(query: str) -> str:
+    """Elements that match ``query`` = STRUCT<nodes, alts, below, context>, in document order.
+
+    Each step turns the flags of the elements reached so far into the flags of the next ones; the
+    cheap test on the element itself stands before the walk over its ancestors.
+    """
+    start = "transform(sequence(0, size(q.nodes)), i -> coalesce(i = q.context, false))"
+    flags = f"transform(q.nodes, n -> CASE WHEN {_STEP_OK} THEN {_LINKED} ELSE false END)"
+    reached = f"transform(q.alts, steps -> aggregate(steps, {start}, (marks, st) -> concat(array(false), {flags})))"
+    hit = f"exists(all_marks, mk -> {_marked('mk', 'n.pos')})"
+    found = let(reached, "all_marks", f"filter(q.nodes, n -> {hit})")
+    return let(query, "q", f"CASE WHEN size(q.alts) = 0 THEN slice(q.nodes, 1, 0) ELSE {found} END")
+
+
+_SELECT = f"x -> {select_sql('x')}"
 
 
 def select_nodes(nodes: Column, alts: Column, below: Column, context: Column) -> Column:
@@ -302,37 +312,7 @@ def select_nodes(nodes: Column, alts: Column, below: Column, context: Column) ->
     ``nodes`` is a contiguous run of elements, ``below`` the position just before it. ``context`` is
     NULL for CSS; for XPath it is the offset (pos - below) of the node the path starts from.
     """
-    hit = F.lit(True)
-
-    def marked(marks: Column, pos: Column) -> Column:
-        return F.coalesce(F.get(marks, pos - below), F.lit(False))
-
-    def linked(n: Column, st: Column, marks: Column) -> Column:
-        def sibling(m: Column) -> Column:
-            gap = n["el_idx"] - m["el_idx"]
-            near = F.when(st["comb"] == "+", gap == 1).otherwise(gap >= 1)
-            return (m["parent_pos"] == n["parent_pos"]) & near & marked(marks, m["pos"])
-
-        return (
-            F.when(st["comb"] == "", hit)
-            .when(st["comb"] == " ", F.exists(n["path"], lambda a: marked(marks, a)))
-            .when(st["comb"] == ">", marked(marks, n["parent_pos"]))
-            .otherwise(F.exists(nodes, sibling))
-        )
-
-    def advance(marks: Column, st: Column) -> Column:
-        # CASE keeps the cheap test in front of the walk over ancestors.
-        flags = F.transform(nodes, lambda n: F.when(_step_ok(n, st), linked(n, st, marks)).otherwise(F.lit(False)))
-        return F.concat(F.array(F.lit(False)), flags)
-
-    size = F.size(nodes) + 1
-    start = F.transform(
-        F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(i == context, F.lit(False))
-    )
-    marks = F.transform(alts, lambda steps: F.aggregate(steps, start, advance))
-    return F.flatten(
-        F.transform(
-            F.array(marks),
-            lambda ms: F.filter(nodes, lambda n: F.exists(ms, lambda mk: marked(mk, n["pos"]))),
-        )
+    query = F.struct(
+        nodes.alias("nodes"), alts.alias("alts"), below.alias("below"), context.cast("int").alias("context")
     )
+    return apply_sql(query, _SELECT)

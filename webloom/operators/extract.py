@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.selectors import css_plan_lit, rule_plan, rule_plan_lit, select_nodes
-from webloom.functions.text import head_bytes, let, trim_space
-from webloom.functions.urls import is_http, resolve_url
+from webloom.functions.selectors import css_plan_lit, rule_plan, rule_plan_lit, select_nodes, select_sql
+from webloom.functions.text import head_bytes, trim_space
+from webloom.functions.urls import apply_sql, is_http_sql, let, resolve_sql, trim_sql
 from webloom.sources.htmltree import shred
 
 BODY_CAP = 4 * 1024 * 1024
@@ -60,96 +60,70 @@ def dom_nodes(doms: DataFrame) -> DataFrame:
     )
 
 
-def _piece(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, end - start)
+def _piece(text: str, node: str, span: str) -> str:
+    return f"substring({text}, {node}.{span}0 + 1, {node}.{span}1 - {node}.{span}0)"
 
 
-def item_scopes(dom: Column, html: Column, plan: Column) -> Column:
-    """ARRAY of scopes (X2): the matches of the item selector, or the page itself without one."""
+# SQL texts over p = STRUCT<dom, html, url, plan> of a page. Building them as text keeps the driver's
+# share small; Spark sees ordinary expressions.
+_NO_CONTEXT = "cast(NULL AS int)"
 
-    def scope(nodes: Column, below: Column, text: Column, source: Column, whole: Column) -> Column:
-        return F.struct(
-            nodes.alias("nodes"), below.alias("below"), text.alias("text"), source.alias("source"), whole.alias("whole")
-        )
-
-    nodes = dom["nodes"]
-    page = scope(nodes, F.lit(0), dom["text"], html, F.lit(True))
 
-    def of_item(n: Column) -> Column:
-        return scope(
-            F.slice(nodes, n["pos"], n["end_pos"] - n["pos"] + 1),
-            n["pos"] - 1,
-            _piece(dom["text"], n["t0"], n["t1"]),
-            _piece(dom["html"], n["o0"], n["o1"]),
-            F.lit(False),
-        )
+def _select(nodes: str, alts: str, below: str, context: str) -> str:
+    return select_sql(f"named_struct('nodes', {nodes}, 'alts', {alts}, 'below', {below}, 'context', {context})")
 
-    found = F.transform(select_nodes(nodes, plan["items"], F.lit(0), F.lit(None).cast("int")), of_item)
-    return F.when(plan["whole"], F.array(page)).otherwise(found)
 
+# A scope (X2) is a match of the item selector, cut out of the page's elements (J5), or the page.
+_PAGE_SCOPE = (
+    "named_struct('nodes', p.dom.nodes, 'below', 0, 'text', p.dom.text, 'source', p.html, 'whole', true)"
+)
+_ITEM_SCOPE = f"""named_struct('nodes', slice(p.dom.nodes, it.pos, it.end_pos - it.pos + 1), 'below', it.pos - 1,
+    'text', {_piece("p.dom.text", "it", "t")}, 'source', {_piece("p.dom.html", "it", "o")}, 'whole', false)"""
+_SCOPES = f"""CASE WHEN p.plan.whole THEN array({_PAGE_SCOPE})
+    ELSE transform({_select("p.dom.nodes", "p.plan.items", "0", _NO_CONTEXT)}, it -> {_ITEM_SCOPE}) END"""
 
-# Attributes a CSS field reads without falling back to the text.
-_PLAIN_ATTRS = ("href", "src", "content", "value", "title", "alt")
+# What a match yields, by the attr of the field (X6). The attributes in the list are
+# read without falling back to the text.
+_VALUE = f"""CASE
+    WHEN startswith(f.take, '@') THEN hit.attrs[substring(f.take, 2)]
+    WHEN f.take = 'text()' THEN hit.own_text
+    WHEN f.attr IN ('', 'text') THEN {_piece("p.dom.text", "hit", "t")}
+    WHEN f.attr = 'html' THEN {_piece("p.dom.html", "hit", "i")}
+    WHEN f.kind = 'css' AND f.attr IN ('href', 'src', 'content', 'value', 'title', 'alt') THEN hit.attrs[f.attr]
+    ELSE coalesce(hit.attrs[f.attr], {_piece("p.dom.text", "hit", "t")}) END"""
 
+# One field in one scope: CSS (X3) and XPath (X4) take the first match, regex (X5) reads the scope's
+# text or source. XPath starts from the item itself, or from the document of a whole page.
+_CONTEXT = "CASE WHEN f.kind = 'xpath' THEN if(sc.whole, 0, 1) END"
+_WANTED = f"""filter({_select("sc.nodes", "f.alts", "sc.below", _CONTEXT)},
+    w -> NOT startswith(f.take, '@') OR w.attrs[substring(f.take, 2)] IS NOT NULL)"""
+_BY_NODE = let(f"get({_WANTED}, 0)", "hit", _VALUE)
+_BY_REGEX = f"regexp_extract(if(f.attr = 'html', sc.source, {trim_sql('sc.text')}), f.pattern, f.group)"
+_FIELD = f"CASE WHEN f.error != '' THEN '' WHEN f.kind = 'regex' THEN {_BY_REGEX} ELSE {_BY_NODE} END"
+_FIELD = trim_sql(f"coalesce({_FIELD}, '')")
 
-def node_value(dom: Column, n: Column, field: Column) -> Column:
-    """What a match yields, by the attr of the field (X6), untrimmed."""
-    text = _piece(dom["text"], n["t0"], n["t1"])
-    attr = field["attr"]
-    named = F.element_at(n["attrs"], attr)
-    plain = (field["kind"] == "css") & attr.isin(*_PLAIN_ATTRS)
-    taken = F.element_at(n["attrs"], F.substring(field["take"], 2, 1000))
-    return (
-        F.when(field["take"].startswith("@"), taken)
-        .when(field["take"] == "text()", n["own_text"])
-        .when(attr.isin("", "text"), text)
-        .when(attr == "html", _piece(dom["html"], n["i0"], n["i1"]))
-        .when(plain, F.coalesce(named, F.lit("")))
-        .otherwise(F.coalesce(named, text))
-    )
+# Items (X7): a payload per scope; broken fields add <name>_error.
+_PAYLOAD = f"""map_from_entries(concat(
+    transform(p.plan.fields, f -> named_struct('key', f.name, 'value', {_FIELD})),
+    transform(filter(p.plan.fields, f -> f.error != ''),
+              f -> named_struct('key', concat(f.name, '_error'), 'value', f.error))))"""
+_ITEMS = f"""p -> CASE WHEN size(p.plan.fields) = 0 THEN cast(array() AS array<map<string,string>>)
+    ELSE transform({_SCOPES}, sc -> {_PAYLOAD}) END"""
 
-
-def field_value(dom: Column, sc: Column, field: Column) -> Column:
-    """Value of one field in one scope (X3 CSS, X4 XPath, X5 regex); a miss is ''."""
-    xpath = field["kind"] == "xpath"
-    context = F.when(xpath, F.when(sc["whole"], F.lit(0)).otherwise(F.lit(1)))
-    matches = select_nodes(sc["nodes"], field["alts"], sc["below"], context)
-    wanted = F.when(
-        field["take"].startswith("@"),
-        F.filter(matches, lambda n: F.element_at(n["attrs"], F.substring(field["take"], 2, 1000)).isNotNull()),
-    ).otherwise(matches)
-    by_node = let(F.get(wanted, F.lit(0)), lambda n: node_value(dom, n, field))
-    source = F.when(field["attr"] == "html", sc["source"]).otherwise(trim_space(sc["text"]))
-    by_regex = F.call_function("regexp_extract", source, field["pattern"], field["group"])
-    value = (
-        F.when(field["error"] != "", "").when(field["kind"] == "regex", by_regex).otherwise(by_node)
-    )
-    return trim_space(F.coalesce(value, F.lit("")))
+_LINKS = f"""p -> array_distinct(filter(
+    transform({_select("p.dom.nodes", "p.alts", "0", _NO_CONTEXT)},
+              hit -> {resolve_sql("p.url", "coalesce(hit.attrs['href'], '')")}),
+    l -> l != '' AND {is_http_sql("l")}))"""
 
 
 def page_items(dom: Column, html: Column, plan: Column) -> Column:
     """ARRAY<MAP<STRING,STRING>>: one payload per item (X7); no usable field, no items."""
-
-    def entry(name: Column, value: Column) -> Column:
-        return F.struct(name.alias("key"), value.alias("value"))
-
-    def payload(sc: Column) -> Column:
-        values = F.transform(plan["fields"], lambda f: entry(f["name"], field_value(dom, sc, f)))
-        broken = F.filter(plan["fields"], lambda f: f["error"] != "")
-        errors = F.transform(broken, lambda f: entry(F.concat(f["name"], F.lit("_error")), f["error"]))
-        return F.map_from_entries(F.concat(values, errors))
-
-    empty = F.array().cast("array<map<string,string>>")
-    return F.when(F.size(plan["fields"]) == 0, empty).otherwise(
-        F.transform(item_scopes(dom, html, plan), payload)
-    )
+    return apply_sql(F.struct(dom.alias("dom"), html.alias("html"), plan.alias("plan")), _ITEMS)
 
 
 def page_links(dom: Column, url: Column, alts: Column) -> Column:
     """Distinct absolute http links of a page in document order."""
-    nodes = select_nodes(dom["nodes"], alts, F.lit(0), F.lit(None).cast("int"))
-    urls = F.transform(nodes, lambda n: resolve_url(url, F.coalesce(F.element_at(n["attrs"], "href"), F.lit(""))))
-    return F.array_distinct(F.filter(urls, lambda u: (u != "") & is_http(u)))
+    return apply_sql(F.struct(dom.alias("dom"), url.alias("url"), alts.alias("alts")), _LINKS)
 
 
 def extract(doms: DataFrame, plan: Column) -> DataFrame:

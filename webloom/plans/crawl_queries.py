@@ -151,7 +151,7 @@ def first_match(t):
     "x6_attribute_values",
     with_tables("page_parts")
     + """SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, 'ad' AS ad_class, '' AS missing,
-                regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1_html FROM page_parts
+                trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS h1_html FROM page_parts
          WHERE NOT contains(html, '&amp<') AND NOT regexp_matches(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&(quot|amp[^;]|am[^p])|[''"]')""",
 )
 def attribute_values(t):
@@ -285,7 +285,8 @@ def hit_test(t):
 @query(
     "j11_link_graph",
     with_tables("page_parts")
-    + """SELECT p.page_id AS from_page, coalesce(q.canonical, 'http://nowhere.example/') AS link, q.page_id AS to_page
+    + """SELECT p.page_id AS from_page, coalesce(q.canonical, 'http://nowhere.example/') AS link,
+                (SELECT min(page_id) FROM page_parts k WHERE k.canonical = q.canonical) AS to_page
          FROM page_parts p LEFT JOIN page_parts q ON q.page_id = p.page_id + 1""",
 )
 def link_graph(t):
@@ -317,10 +318,10 @@ def frontier_rounds(t):
 
 def _step(t):
     k = F.col("page_id")
-    pages = t.pages.withColumn("page_url", canonical_url(F.col("url")))
+    pages = t.pages
     jobs = pages.select(
         (k % 50).alias("task_id"), F.length(host_of(F.col("url"))).cast("bigint").alias("rule_id"),
-        F.col("page_url").alias("url"), (k % 3).cast("int").alias("depth"),
+        "url", (k % 3).cast("int").alias("depth"),
     )
     tasks = t.tasks.select(
         F.col("id").alias("task_id"),
@@ -329,7 +330,7 @@ def _step(t):
     )
     rules = _host_rules(t).dropDuplicates(["id"]).withColumnRenamed("id", "rule_id").drop("host")
     fetched = pages.select(
-        F.col("page_url").alias("url"), "html",
+        "url", "html",
         F.when(k % 7 == 0, 503).when(k % 11 != 0, 200).alias("status"),
     )
     return crawl_step(jobs, tasks, rules, fetched, t.robots, with_html=False), jobs
@@ -362,7 +363,7 @@ _STEP = with_tables(
 )
 def crawl_step_counters(t):
     step, jobs = _step(t)
-    return step_counters(step, jobs)
+    return step_counters(step, jobs.select("task_id", canonical_url(F.col("url")).alias("url")))
 
 
 @query("x16_crawl_step_offers", _STEP + "SELECT task_id, link AS url, count(*) AS offered FROM o GROUP BY 1, 2")

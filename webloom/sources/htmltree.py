@@ -11,9 +11,11 @@ elements. Not done: moving misplaced table content, the full misnesting repair o
 
 from __future__ import annotations
 
+import gc
 import re
 from html import unescape
 from html.entities import html5
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -87,13 +89,30 @@ def _escape(s: str, attr: bool = False) -> str:
     return s.replace('"', "&#34;") if attr else s.replace("'", "&#39;").replace('"', "&#34;")
 
 
+class _Node:
+    __slots__ = (
+        "pos", "end_pos", "parent", "tag", "attrs", "own", "kids", "n_kids", "n_listed", "labels", "path",
+        "el_idx", "type_idx", "node_id", "end_id", "sib_idx", "t0", "t1", "o0", "o1", "i0", "i1",
+    )
+
+    def __init__(self, pos: int, tag: str, attrs: dict[str, str], parent: _Node | None, t: int, o: int):
+        self.pos, self.tag, self.attrs, self.parent = pos, tag, attrs, parent
+        self.own: list[str] = []
+        self.kids: dict[str, int] = {}
+        self.labels: list[str] = []
+        self.n_kids = self.n_listed = self.node_id = self.end_id = self.sib_idx = self.end_pos = 0
+        self.el_idx = self.type_idx = 1
+        self.t0 = self.t1 = t
+        self.o0 = self.o1 = self.i0 = self.i1 = o
+
+
 class _Builder:
-    """Builds the elements of one page; every element is a small dict."""
+    """Builds the elements of one page."""
 
     def __init__(self, with_html: bool):
-        self.nodes: list[dict] = []
-        self.stack: list[dict] = []
-        self.active: list[dict] = []
+        self.nodes: list[_Node] = []
+        self.stack: list[_Node] = []
+        self.active: list[_Node] = []
         self.text: list[str] = []
         self.t = 0
         self.html: list[str] | None = [] if with_html else None
@@ -107,68 +126,63 @@ class _Builder:
             self.html.append(s)
             self.o += len(s)
 
-    def push(self, tag: str, attrs: dict[str, str], void: bool = False) -> dict:
+    def push(self, tag: str, attrs: dict[str, str], void: bool = False) -> _Node:
         while len(self.stack) >= MAX_DEPTH:
             self.pop()
         parent = self.stack[-1] if self.stack else None
-        listed = tag not in _UNLISTED and (parent is None or parent["node_id"] > 0)
-        node = {
-            "pos": len(self.nodes) + 1, "tag": tag, "attrs": attrs, "own": [], "kids": {},
-            "n_kids": 0, "n_listed": 0, "labels": [], "t0": self.t, "o0": self.o, "parent": parent, "node_id": 0, "sib_idx": 0,
-        }
+        node = _Node(len(self.nodes) + 1, tag, attrs, parent, self.t, self.o)
         if parent is None:
-            node["el_idx"] = node["type_idx"] = 1
-            node["path"] = [0]
+            node.path = [0]
         else:
-            parent["n_kids"] += 1
-            node["el_idx"] = parent["n_kids"]
-            node["type_idx"] = parent["kids"][tag] = parent["kids"].get(tag, 0) + 1
-            node["path"] = parent["path"] + [parent["pos"]]
-        if listed:
+            parent.n_kids += 1
+            node.el_idx = parent.n_kids
+            node.type_idx = parent.kids[tag] = parent.kids.get(tag, 0) + 1
+            node.path = [*parent.path, parent.pos]
+        if tag not in _UNLISTED and (parent is None or parent.node_id > 0):
             self.n_listed += 1
-            node["node_id"] = self.n_listed
+            node.node_id = self.n_listed
             if parent is not None:
-                node["sib_idx"] = parent["n_listed"]
-                parent["n_listed"] += 1
-                first = attrs.get("class", "").split(None, 1)
-                parent["labels"].append(f"{tag}.{first[0]}" if first else tag)
+                node.sib_idx = parent.n_listed
+                parent.n_listed += 1
+                first = attrs["class"].split(None, 1) if "class" in attrs else None
+                parent.labels.append(f"{tag}.{first[0]}" if first else tag)
         self.nodes.append(node)
         if self.html is not None:
             pairs = "".join(f' {k}="{_escape(v, True)}"' for k, v in attrs.items())
             self.emit(f"<{tag}{pairs}/>" if void else f"<{tag}{pairs}>")
-        node["i0"] = self.o
+        node.i0 = self.o
         if void:
             self.close(node, void=True)
         else:
             self.stack.append(node)
         return node
 
-    def close(self, node: dict, void: bool = False) -> None:
-        node["end_pos"], node["end_id"] = len(self.nodes), self.n_listed
-        node["t1"], node["i1"] = self.t, self.o
+    def close(self, node: _Node, void: bool = False) -> None:
+        node.end_pos, node.end_id = len(self.nodes), self.n_listed
+        node.t1, node.i1 = self.t, self.o
         if not void:
-            self.emit(f"</{node['tag']}>")
-        node["o1"] = self.o
+            self.emit(f"</{node.tag}>")
+        node.o1 = self.o
 
-    def pop(self) -> dict:
+    def pop(self) -> _Node:
         node = self.stack.pop()
         self.close(node)
         return node
 
-    def pop_to(self, node: dict) -> None:
+    def pop_to(self, node: _Node) -> None:
         while self.pop() is not node:
             pass
 
-    def find(self, tags, edge=_SCOPE_EDGE) -> dict | None:
+    def find(self, tags, edge=_SCOPE_EDGE) -> _Node | None:
         for node in reversed(self.stack):
-            if node["tag"] in tags:
+            if node.tag in tags:
                 return node
-            if node["tag"] in edge:
+            if node.tag in edge:
                 return None
         return None
 
     def add_text(self, s: str, raw: bool = False) -> None:
-        self.stack[-1]["own"].append(s)
+        self.stack[-1].own.append(s)
         self.text.append(s)
         self.t += len(s)
         self.emit(s if raw else _escape(s))
@@ -195,7 +209,7 @@ class _Builder:
             first -= 1
         for i in range(first, len(self.active)):
             old = self.active[i]
-            self.active[i] = self.push(old["tag"], dict(old["attrs"]))
+            self.active[i] = self.push(old.tag, dict(old.attrs))
 
     def close_p(self) -> None:
         p = self.find({"p"}, _SCOPE_EDGE | {"button"})
@@ -204,10 +218,10 @@ class _Builder:
 
     def close_item(self, tags) -> None:
         for node in reversed(self.stack):
-            if node["tag"] in tags:
+            if node.tag in tags:
                 self.pop_to(node)
                 return
-            if node["tag"] in _SPECIAL and node["tag"] not in ("address", "div", "p"):
+            if node.tag in _SPECIAL and node.tag not in ("address", "div", "p"):
                 return
 
     def close_cells(self, tags) -> None:
@@ -222,19 +236,19 @@ class _Builder:
                 self.root = self.push("html", attrs)
             else:
                 for k, v in attrs.items():
-                    self.root["attrs"].setdefault(k, v)
+                    self.root.attrs.setdefault(k, v)
             return False
         if tag == "head":
             if self.head is None and self.body is None:
                 self.ensure_head()
-                self.head["attrs"].update(attrs)
+                self.head.attrs.update(attrs)
             return False
         if tag == "body":
             if self.body is None:
                 self.ensure_body(attrs)
             else:
                 for k, v in attrs.items():
-                    self.body["attrs"].setdefault(k, v)
+                    self.body.attrs.setdefault(k, v)
             return False
         if self.body is None:
             if tag in _HEAD:
@@ -244,7 +258,7 @@ class _Builder:
             else:
                 self.ensure_body()
         in_body = self.body is not None
-        foreign = in_body and any(n["tag"] in ("svg", "math") for n in self.stack)
+        foreign = in_body and any(n.tag in ("svg", "math") for n in self.stack)
         if in_body and not foreign:
             if tag in _CLOSES_P:
                 if tag == "li":
@@ -252,14 +266,14 @@ class _Builder:
                 elif tag in ("dd", "dt"):
                     self.close_item({"dd", "dt"})
                 self.close_p()
-                if tag in _HEADINGS and self.stack[-1]["tag"] in _HEADINGS:
+                if tag in _HEADINGS and self.stack[-1].tag in _HEADINGS:
                     self.pop()
             elif tag in _TABLE_PARTS:
                 self.open_table_part(tag)
             elif tag in ("option", "optgroup"):
-                if self.stack[-1]["tag"] == "option":
+                if self.stack[-1].tag == "option":
                     self.pop()
-                if tag == "optgroup" and self.stack[-1]["tag"] == "optgroup":
+                if tag == "optgroup" and self.stack[-1].tag == "optgroup":
                     self.pop()
             elif tag not in _HEAD:
                 if tag == "a":
@@ -271,8 +285,8 @@ class _Builder:
             self.remember(node)
         return not foreign and (tag in _RAW or tag in _ESCAPABLE_RAW)
 
-    def remember(self, node: dict) -> None:
-        twins = [n for n in self.active if n["tag"] == node["tag"] and n["attrs"] == node["attrs"]]
+    def remember(self, node: _Node) -> None:
+        twins = [n for n in self.active if n.tag == node.tag and n.attrs == node.attrs]
         if len(twins) >= 3:
             self.active = [n for n in self.active if n is not twins[0]]
         self.active.append(node)
@@ -280,24 +294,24 @@ class _Builder:
     def open_table_part(self, tag: str) -> None:
         if tag in ("td", "th"):
             self.close_cells({"td", "th"})
-            if self.stack[-1]["tag"] == "table":
+            if self.stack[-1].tag == "table":
                 self.push("tbody", {})
-            if self.stack[-1]["tag"] in ("tbody", "thead", "tfoot"):
+            if self.stack[-1].tag in ("tbody", "thead", "tfoot"):
                 self.push("tr", {})
         elif tag == "tr":
             self.close_cells({"tr"})
-            if self.stack[-1]["tag"] == "table":
+            if self.stack[-1].tag == "table":
                 self.push("tbody", {})
         elif tag in ("tbody", "thead", "tfoot"):
             self.close_cells({"tbody", "thead", "tfoot"})
 
     def end_formatting(self, tag: str) -> bool:
         for node in reversed(self.active):
-            if node["tag"] == tag:
+            if node.tag == tag:
                 self.active = [n for n in self.active if n is not node]
                 for k in range(len(self.stack) - 1, -1, -1):
                     if self.stack[k] is node:
-                        if not any(n["tag"] in _SPECIAL for n in self.stack[k + 1 :]):
+                        if not any(n.tag in _SPECIAL for n in self.stack[k + 1 :]):
                             self.pop_to(node)
                         return True
                 return True
@@ -337,10 +351,10 @@ class _Builder:
                 self.pop_to(node)
         else:
             for node in reversed(self.stack):
-                if node["tag"] == tag:
+                if node.tag == tag:
                     self.pop_to(node)
                     break
-                if node["tag"] in _SPECIAL:
+                if node.tag in _SPECIAL:
                     break
 
     def feed(self, source: str) -> None:
@@ -374,11 +388,11 @@ class _Builder:
                     close = source.find(">", end)
                     at = n if close < 0 else close + 1
                     self.pop()
-                    if self.body is None and self.stack and self.stack[-1] is self.head and self.head.get("end_pos"):
+                    if self.body is None and self.stack and self.stack[-1] is self.head and self.head.end_pos:
                         self.stack.pop()
-                        self.head["end_pos"] = len(self.nodes)
-                        self.head["end_id"] = self.n_listed
-                        self.head["t1"], self.head["i1"], self.head["o1"] = self.t, self.o, self.o
+                        self.head.end_pos = len(self.nodes)
+                        self.head.end_id = self.n_listed
+                        self.head.t1, self.head.i1, self.head.o1 = self.t, self.o, self.o
             elif kind == "comment":
                 self.emit(f"<!--{m['comment']}-->")
             elif kind == "decl" and self.root is None and self.html is not None:
@@ -409,45 +423,51 @@ def _squeeze(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
+_COPIED = (
+    "pos", "end_pos", "el_idx", "type_idx", "node_id", "end_id", "sib_idx", "tag", "path",
+    "t0", "t1", "o0", "o1", "i0", "i1",
+)
+
+
+def _add_columns(fields: dict[str, list], nodes: list[_Node]) -> None:
+    for k in _COPIED:
+        fields[k] += map(attrgetter(k), nodes)
+    parents = [n.parent for n in nodes]
+    fields["parent_pos"] += [p.pos if p else 0 for p in parents]
+    fields["parent_id"] += [p.node_id if p else 0 for p in parents]
+    fields["n_el"] += [p.n_kids if p else 1 for p in parents]
+    fields["n_type"] += [p.kids[n.tag] if p else 1 for n, p in zip(nodes, parents, strict=True)]
+    fields["depth"] += [len(n.path) - 1 for n in nodes]
+    fields["id_attr"] += [n.attrs.get("id", "") for n in nodes]
+    fields["classes"] += [list(dict.fromkeys(n.attrs["class"].split())) if "class" in n.attrs else [] for n in nodes]
+    fields["attrs"] += [list(n.attrs.items()) for n in nodes]
+    fields["child_sig"] += [",".join(n.labels) for n in nodes]
+    fields["own_text"] += [_squeeze(n.own) if n.own else "" for n in nodes]
+
+
 def shred_batch(pages: list[str | None], with_html: bool) -> pa.StructArray:
     """Elements, text and (optionally) normalised source of a batch of pages as one Arrow column."""
     fields: dict[str, list] = {f.name: [] for f in NODE}
     starts, texts, sources = [0], [], []
-    for source in pages:
-        b = _Builder(with_html)
-        b.feed(source or "")
-        for n in b.nodes:
-            parent = n["parent"]
-            seen: dict[str, None] = dict.fromkeys(n["attrs"].get("class", "").split())
-            fields["pos"].append(n["pos"])
-            fields["end_pos"].append(n["end_pos"])
-            fields["parent_pos"].append(parent["pos"] if parent else 0)
-            fields["el_idx"].append(n["el_idx"])
-            fields["type_idx"].append(n["type_idx"])
-            fields["n_type"].append(parent["kids"][n["tag"]] if parent else 1)
-            fields["n_el"].append(parent["n_kids"] if parent else 1)
-            fields["node_id"].append(n["node_id"])
-            fields["end_id"].append(n["end_id"] if n["node_id"] else 0)
-            fields["parent_id"].append(parent["node_id"] if parent else 0)
-            fields["sib_idx"].append(n["sib_idx"])
-            fields["depth"].append(len(n["path"]) - 1)
-            fields["tag"].append(n["tag"])
-            fields["id_attr"].append(n["attrs"].get("id", ""))
-            fields["classes"].append(list(seen))
-            fields["attrs"].append(list(n["attrs"].items()))
-            fields["child_sig"].append(",".join(n["labels"]))
-            fields["own_text"].append(_squeeze(n["own"]))
-            for k in ("t0", "t1", "o0", "o1", "i0", "i1", "path"):
-                fields[k].append(n[k])
-        starts.append(len(fields["pos"]))
-        texts.append("".join(b.text))
-        sources.append("".join(b.html) if b.html is not None else "")
-    nodes = pa.StructArray.from_arrays(
-        [pa.array(fields[f.name], type=f.type) for f in NODE], fields=list(NODE)
-    )
+    collecting = gc.isenabled()
+    gc.disable()  # the nodes of a page refer to each other; they are freed page by page below
+    try:
+        for source in pages:
+            b = _Builder(with_html)
+            b.feed(source or "")
+            _add_columns(fields, b.nodes)
+            starts.append(starts[-1] + len(b.nodes))
+            texts.append("".join(b.text))
+            sources.append("".join(b.html) if b.html is not None else "")
+            for n in b.nodes:
+                n.parent = None
+    finally:
+        if collecting:
+            gc.enable()
+    rows = pa.StructArray.from_arrays([pa.array(fields[f.name], type=f.type) for f in NODE], fields=list(NODE))
     return pa.StructArray.from_arrays(
         [
-            pa.ListArray.from_arrays(pa.array(starts, pa.int32()), nodes),
+            pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rows),
             pa.array(texts, pa.string()),
             pa.array(sources, pa.string()),
         ],
@@ -465,6 +485,11 @@ def _shred_with_html(html: pa.Array) -> pa.Array:
     return shred_batch(html.to_pylist(), True)
 
 
+# Declared nondeterministic so that the optimizer neither repeats the parse nor pushes a filter on its
+# result below it: it would otherwise parse every page twice for an exploded column.
+_PARSE = {False: _shred.asNondeterministic(), True: _shred_with_html.asNondeterministic()}
+
+
 def shred(html: Column, with_html: bool = False) -> Column:
     """STRUCT<nodes, text, html> of a page; ``html`` is filled only on request."""
-    return (_shred_with_html if with_html else _shred)(html)
+    return _PARSE[with_html](html)
