@@ -11,23 +11,67 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.selectors import rule_plan
 from webloom.functions.text import failed
-from webloom.operators.dedup import offer_counts
 from webloom.operators.extract import extract, result_rows, with_dom
 from webloom.operators.queue import CHILD_PRIORITY
 from webloom.operators.robots import check_robots
-from webloom.operators.telemetry import task_counters
-from webloom.functions.selectors import rule_plan
+from webloom.operators.telemetry import fetch_sums
 
 
 @dataclass(frozen=True)
 class CrawlStep:
-    """Frames that one step produces; all of them come from ``fetched``."""
+    """Frames of one step. ``fetched`` is the parsed batch, one row per job; the others select from it.
+
+    A job that writes several of them should write ``fetched`` once and build the step from the table.
+    """
 
     fetched: DataFrame
-    results: DataFrame
-    offers: DataFrame
-    counters: DataFrame
+
+    @property
+    def results(self) -> DataFrame:
+        """Rows for the results table."""
+        return result_rows(self.fetched, F.col("task_id"))
+
+    @property
+    def offers(self) -> DataFrame:
+        """Links to follow, as child jobs one level deeper."""
+        return self.fetched.select(
+            "task_id",
+            "rule_id",
+            F.explode("links").alias("url"),
+            (F.col("depth") + 1).alias("depth"),
+            F.lit(CHILD_PRIORITY).alias("priority"),
+        )
+
+    def counters(self, seen: DataFrame) -> DataFrame:
+        """All six counters per task (A1); ``seen`` are the URLs the tasks knew before.
+
+        One pass: a page becomes one row for itself (URL NULL) and one per link, and both kinds are
+        summed per (task, URL) before the known URLs are joined.
+        """
+        page = F.col("_link").isNull()
+        rows = self.fetched.select(
+            "task_id", "status", "robots_skip", F.size("items").alias("results"),
+            F.explode(F.array_prepend("links", F.lit(None))).alias("_link"),
+        )
+        sums = fetch_sums(F.col("status"), F.col("robots_skip"), F.col("results"), page)
+        per_url = rows.groupBy("task_id", F.col("_link").alias("url")).agg(
+            *[v.alias(k) for k, v in sums.items()], F.count(F.lit(1)).alias("_n")
+        )
+        known = seen.select("task_id", "url", F.lit(True).alias("_known")).distinct()
+        link = F.col("url").isNotNull()
+        enqueued = F.count_if(link & F.col("_known").isNull())
+        offered = F.sum(F.when(link, F.col("_n")).otherwise(0))
+        return (
+            per_url.join(known, ["task_id", "url"], "left")
+            .groupBy("task_id")
+            .agg(
+                *[F.sum(k).cast("bigint").alias(k) for k in sums],
+                enqueued.alias("enqueued"),
+                (offered - enqueued).alias("duplicated"),
+            )
+        )
 
 
 def crawl_step(
@@ -46,11 +90,12 @@ def crawl_step(
     checked = check_robots(live, robots).withColumn(
         "robots_skip", F.col("respect_robots") & ~F.col("allowed")
     )
-    # Pages are shredded after the cheap filters and before nothing else has to move them.
-    fetched = checked.join(pages.select("url", "html", "status"), "url", "left")
-    good = ~F.col("robots_skip") & F.col("status").isNotNull() & ~failed(F.col("status"))
-    body = F.when(good, F.col("html"))
-    shredded = with_dom(fetched.withColumn("html", body), with_html)
+    # Only bodies of good replies travel to the join; pages stored bucketed by URL do not move at all.
+    fine = F.col("status").isNotNull() & ~failed(F.col("status"))
+    bodies = pages.select("url", "status", F.when(fine, F.col("html")).alias("html"))
+    fetched = checked.join(bodies, "url", "left")
+    good = ~F.col("robots_skip") & F.coalesce(fine, F.lit(False))
+    shredded = with_dom(fetched.withColumn("html", F.when(good, F.col("html"))), with_html)
     extracted = extract(shredded, F.col("plan"))
     none_items = F.array().cast("array<map<string,string>>")
     none_links = F.array().cast("array<string>")
@@ -59,19 +104,4 @@ def crawl_step(
         F.when(good, F.col("items")).otherwise(none_items).alias("items"),
         F.when(good & (F.col("depth") < F.col("max_depth")), F.col("links")).otherwise(none_links).alias("links"),
     )
-    offers = fetched.select(
-        "task_id",
-        "rule_id",
-        F.explode("links").alias("url"),
-        (F.col("depth") + 1).alias("depth"),
-        F.lit(CHILD_PRIORITY).alias("priority"),
-    )
-    counters = task_counters(fetched.withColumn("results", F.size("items")))
-    return CrawlStep(fetched, result_rows(fetched, F.col("task_id")), offers, counters)
-
-
-def step_counters(step: CrawlStep, seen: DataFrame) -> DataFrame:
-    """All six counters of a step per task; ``seen`` are the URLs the tasks knew before."""
-    offered = offer_counts(step.offers, seen).drop("offered")
-    out = step.counters.join(offered, "task_id", "full")
-    return out.na.fill(0)
+    return CrawlStep(fetched)

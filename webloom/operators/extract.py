@@ -24,10 +24,16 @@ def cap_body(html: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input as many tasks as there are cores; large inputs keep their file splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    """Give a small input as many tasks as there are cores; large inputs keep their file splits.
+
+    Decided by the planner's size estimate, without running anything: an input below one split per
+    core is cheap to move, and parsing it is not.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
 
 
 def with_dom(pages: DataFrame, with_html: bool = False) -> DataFrame:

@@ -25,21 +25,25 @@ COUNTERS = ("enqueued", "duplicated", "crawled", "failed", "results", "robots_sk
 # Counters -------------------------------------------------------------------------------------
 
 
-def task_counters(fetches: DataFrame) -> DataFrame:
-    """Per-task counters from fetch outcomes (A1).
+def fetch_sums(status: Column, robots_skip: Column, results: Column, counted: Column | None = None) -> dict[str, Column]:
+    """Aggregates of the fetch counters. A transport error (status NULL) counts as failed only, a bad
+    status as failed and crawled."""
+    counted = F.lit(True) if counted is None else counted
+    got = counted & status.isNotNull() & ~robots_skip
+    bad = got & failed(status)
+    lost = counted & status.isNull() & ~robots_skip
+    return {
+        "crawled": F.count_if(got),
+        "failed": F.count_if(bad | lost),
+        "results": F.sum(F.when(got & ~bad, results).otherwise(0)).cast("bigint"),
+        "robots_skip": F.count_if(counted & robots_skip),
+    }
 
-    ``fetches``: task_id, status (NULL = transport error), robots_skip, results. A transport error
-    counts as failed only; a bad status as failed and crawled.
-    """
-    got = F.col("status").isNotNull() & ~F.col("robots_skip")
-    bad = got & failed(F.col("status"))
-    lost = F.col("status").isNull() & ~F.col("robots_skip")
-    return fetches.groupBy("task_id").agg(
-        F.count_if(got).alias("crawled"),
-        F.count_if(bad | lost).alias("failed"),
-        F.sum(F.when(got & ~bad, F.col("results")).otherwise(0)).cast("bigint").alias("results"),
-        F.count_if(F.col("robots_skip")).alias("robots_skip"),
-    )
+
+def task_counters(fetches: DataFrame) -> DataFrame:
+    """Per-task counters from fetch outcomes (A1): task_id, status, robots_skip, results."""
+    sums = fetch_sums(F.col("status"), F.col("robots_skip"), F.col("results"))
+    return fetches.groupBy("task_id").agg(*[v.alias(k) for k, v in sums.items()])
 
 
 def stats_map(counters: DataFrame) -> DataFrame:

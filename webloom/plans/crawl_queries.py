@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from webloom.functions.selectors import css_plan_lit
 from webloom.functions.urls import canonical_url, host_of
 from webloom.operators import boxes, dedup, extract, frontier, induction, robots
-from webloom.operators.crawlstep import crawl_step, step_counters
+from webloom.operators.crawlstep import crawl_step
 from webloom.plans.registry import query
 from webloom.plans.views import with_tables
 
@@ -363,7 +363,7 @@ _STEP = with_tables(
 )
 def crawl_step_counters(t):
     step, jobs = _step(t)
-    return step_counters(step, jobs.select("task_id", canonical_url(F.col("url")).alias("url")))
+    return step.counters(jobs.select("task_id", canonical_url(F.col("url")).alias("url")))
 
 
 @query("x16_crawl_step_offers", _STEP + "SELECT task_id, link AS url, count(*) AS offered FROM o GROUP BY 1, 2")
