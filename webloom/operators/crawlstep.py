@@ -91,9 +91,10 @@ def crawl_step(
         "robots_skip", F.col("respect_robots") & ~F.col("allowed")
     )
     # Only bodies of good replies travel to the join; pages stored bucketed by URL do not move at all.
+    # Bodies are never broadcast, and meeting them by URL spreads a hot task or rule before parsing.
     fine = F.col("status").isNotNull() & ~failed(F.col("status"))
     bodies = pages.select("url", "status", F.when(fine, F.col("html")).alias("html"))
-    fetched = checked.join(bodies, "url", "left")
+    fetched = checked.join(bodies.hint("merge"), "url", "left")
     good = ~F.col("robots_skip") & F.coalesce(fine, F.lit(False))
     shredded = with_dom(fetched.withColumn("html", F.when(good, F.col("html"))), with_html)
     extracted = extract(shredded, F.col("plan"))

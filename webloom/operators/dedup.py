@@ -66,22 +66,28 @@ def _bit_rows(df: DataFrame, m: int, k: int, hasher: str) -> DataFrame:
 def build_bloom(urls: DataFrame, m: int = DEFAULT_M, k: int = DEFAULT_K, hasher: str = "xx") -> DataFrame:
     """Bitmap of each task in pieces of 32768 bits: task_id, bucket, bits.
 
-    Bits are merged in the map tasks first, so a task's shuffle is bounded by its bitmap; a task with
-    very many URLs is spread over all of its buckets. Blank URLs are never added.
+    Positions are brought together by (task, bucket) before bitmaps are built: a partial bitmap per
+    map task would send 4 KiB for a handful of bits. The key spreads even one single task over all
+    of its buckets. Blank URLs are never added.
     """
-    clean = urls.select("task_id", trim_space(F.col("url")).alias("url")).filter(F.col("url") != "")
+    clean = distinct_urls(urls.select("task_id", trim_space(F.col("url")).alias("url"))).filter(F.col("url") != "")
     return (
         _bit_rows(clean, m, k, hasher)
-        .groupBy("task_id", F.bitmap_bucket_number("_p").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("bits"))
+        .select("task_id", F.bitmap_bucket_number("_p").alias("bucket"), F.bitmap_bit_position("_p").alias("_bit"))
+        .repartition("task_id", "bucket")
+        .groupBy("task_id", "bucket")
+        .agg(F.bitmap_construct_agg("_bit").alias("bits"))
     )
 
 
 def _bit_set(bits: Column, position: Column) -> Column:
     at = F.bitmap_bit_position(position)
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))
-    return byte.bitwiseAND(mask) != 0
+    byte = F.hex(F.substring(bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1)))
+    # The digit of the half byte that holds the bit, then the bit of the digit.
+    low = at.bitwiseAND(F.lit(4)) == 0
+    digit = F.when(low, F.substring(byte, 2, 1)).otherwise(F.substring(byte, 1, 1))
+    value = F.instr(F.lit("0123456789ABCDEF"), digit) - 1
+    return F.get(F.lit([1, 2, 4, 8]), at.bitwiseAND(F.lit(3)).cast("int")).bitwiseAND(value) != 0
 
 
 def maybe_seen(
@@ -89,29 +95,24 @@ def maybe_seen(
 ) -> DataFrame:
     """Distinct offered URLs with ``seen`` = all k bits set (J3); a blank URL counts as seen.
 
-    The probes meet the bitmap on (task, bucket), a key that spreads even one single task. Only the
-    URL's hash travels with a probe, not the URL.
+    The probes meet the bitmap on (task, bucket), a key that spreads even one single task.
     """
     urls = distinct_urls(offers.select("task_id", trim_space(F.col("url")).alias("url")))
-    keyed = urls.withColumn("_id", F.md5("url"))
-    probes = (
-        _bit_rows(keyed, m, k, hasher)
-        .select("task_id", "_id", "_p", F.bitmap_bucket_number("_p").alias("bucket"))
-        .join(bloom, ["task_id", "bucket"], "left")
-    )
+    probes = _bit_rows(urls, m, k, hasher).withColumn("bucket", F.bitmap_bucket_number("_p"))
+    met = probes.join(bloom, ["task_id", "bucket"], "left")
     hit = F.coalesce(_bit_set(F.col("bits"), F.col("_p")), F.lit(False))
-    verdict = probes.groupBy("task_id", "_id").agg(F.bool_and(hit).alias("_all"))
-    seen = (F.col("url") == "") | F.col("_all")
-    return keyed.join(verdict, ["task_id", "_id"]).select("task_id", "url", seen.alias("seen"))
+    return met.groupBy("task_id", "url").agg(((F.col("url") == "") | F.bool_and(hit)).alias("seen"))
 
 
 def fresh_urls_by_bloom(
     offers: DataFrame, seen: DataFrame, m: int = DEFAULT_M, k: int = DEFAULT_K, hasher: str = "xx"
 ) -> DataFrame:
     """Exact fresh URLs, with the bitmap in front (J3): only its positives are joined exactly."""
-    tested = maybe_seen(offers, build_bloom(seen, m, k, hasher), m, k, hasher)
+    # Blank URLs go first, so that both halves share one probe of the bitmap.
+    some = offers.filter(trim_space(F.col("url")) != "")
+    tested = maybe_seen(some, build_bloom(seen, m, k, hasher), m, k, hasher)
     sure = tested.filter(~F.col("seen")).select("task_id", "url")
-    unsure = tested.filter(F.col("seen") & (F.col("url") != "")).select("task_id", "url")
+    unsure = tested.filter(F.col("seen")).select("task_id", "url")
     return sure.unionByName(unsure.join(seen.select("task_id", "url"), ["task_id", "url"], "left_anti"))
 
 

@@ -10,6 +10,7 @@ from webloom.operators import boxes, dedup, extract, frontier, induction, robots
 from webloom.operators.crawlstep import crawl_step
 from webloom.plans.registry import query
 from webloom.plans.views import with_tables
+from webloom.session import cut_lineage
 
 FIELDS = "array<struct<name:string,kind:string,expr:string,attr:string>>"
 
@@ -310,7 +311,8 @@ def link_graph(t):
 def frontier_rounds(t):
     rows = [(1, "o1"), (1, "o2"), (2, "o1"), (2, "o3")]
     seeds = t.lineitem.select(F.explode(F.array(*[F.struct(F.lit(a).alias("task_id"), F.lit(b).alias("url")) for a, b in rows])).alias("s"))
-    return frontier.expand_frontier(seeds.select("s.*"), t.edges, 3)
+    # The edges are an aggregate here; they are written once instead of once per round.
+    return frontier.expand_frontier(seeds.select("s.*"), cut_lineage(t.edges), 3)
 
 
 # One crawl step -----------------------------------------------------------------------------------
