@@ -32,8 +32,12 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(cores) if estimated_bytes(df) < cores * split else df
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate; it comes from file sizes and runs nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def with_dom(pages: DataFrame, with_html: bool = False) -> DataFrame:
@@ -148,18 +152,25 @@ def preview(pages: DataFrame, item_selector: str, link_selector: str, fields: li
     return extract(with_dom(pages, html), rule_plan_lit(item_selector, link_selector, fields))
 
 
+RULES_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
 def extract_by_rules(pages: DataFrame, rules: DataFrame, on: list[str], with_html: bool = True) -> DataFrame:
     """Many rules over many pages in one pass (X9): the rule of a page is found by the key ``on``.
 
-    The rules side carries no hint: Spark sends it to every executor while its measured size is
-    below the broadcast threshold and shuffles both sides beyond it.
+    Rules known to be small are sent to the pages, which are parsed once and never move. Larger ones
+    meet the raw pages in a shuffle on the key (a hot key is split by the skew join), and pages are
+    parsed after it, so that page text is moved and not the several times larger elements.
     """
     plans = rules.select(
         *on,
         F.col("id").alias("rule_id"),
         rule_plan(F.col("item_selector"), F.col("link_selector"), F.col("fields")).alias("plan"),
     )
-    joined = with_dom(pages, with_html).join(plans, on)
+    if estimated_bytes(rules) <= RULES_BROADCAST_BYTES:
+        joined = with_dom(pages, with_html).join(F.broadcast(plans), on)
+    else:
+        joined = with_dom(pages.join(plans, on), with_html)
     return extract(joined, F.col("plan")).drop("plan")
 
 

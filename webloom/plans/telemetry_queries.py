@@ -16,6 +16,12 @@ HOUR, DAY = 3_600_000_000, 86_400_000_000
 NOW_US = 1_706_616_000_000_000
 NOW_S = 883_612_800  # 1998-01-01, inside the lease dates
 
+
+def _six(name: str):
+    """Six decimals; the small surplus keeps halves on one side whatever the order of summation."""
+    return (F.floor(F.col(name) * 1_000_000 + 0.5001) / 1_000_000).alias(name)
+
+
 # Counters -------------------------------------------------------------------------------------
 
 
@@ -75,14 +81,12 @@ def unexpired(t):
 @query(
     "a2_cluster_totals",
     with_tables("nodes")
-    + """SELECT count(*) AS nodes, round(sum(pages_per_min), 4) AS pages_per_min, round(avg(fail_rate), 6) AS fail_rate
-         FROM nodes""",
+    + """SELECT count(*) AS nodes, round(sum(pages_per_min), 4) AS pages_per_min,
+                floor(avg(fail_rate) * 1000000 + 0.5001) / 1000000 AS fail_rate FROM nodes""",
 )
 def cluster_totals(t):
     out = tel.cluster_totals(tel.node_state(t.node_reports))
-    return out.select(
-        "nodes", F.round("pages_per_min", 4).alias("pages_per_min"), F.round("fail_rate", 6).alias("fail_rate")
-    )
+    return out.select("nodes", F.round("pages_per_min", 4).alias("pages_per_min"), _six("fail_rate"))
 
 
 @query(
@@ -313,7 +317,7 @@ def burst_plan(t):
                    FROM b JOIN a ON a.domain = b.domain AND a.rn = b.rn + 1)""",
         recursive=True,
     ).replace(" AS at,", " AS now_s,").replace("THEN at ELSE at +", "THEN now_s ELSE now_s +")
-    + "SELECT fetch_id, domain, round(admit - sec, 4) AS wait_s FROM b",
+    + "SELECT fetch_id, domain, floor((admit - sec) * 1000000 + 0.5001) / 1000000 AS wait_s FROM b",
 )
 def token_bucket(t):
     """Arrivals squeezed in time by 20000, so that buckets do run empty."""
@@ -322,7 +326,7 @@ def token_bucket(t):
         (F.substring("domain", 2, 9).cast("int") % 5 + 1.0).alias("qps"),
     )
     out = tel.admit_times(requests, chunk_seconds=20)
-    return out.select(F.col("id").alias("fetch_id"), "domain", F.round("wait_s", 4).alias("wait_s"))
+    return out.select(F.col("id").alias("fetch_id"), "domain", _six("wait_s"))
 
 
 @query(
@@ -460,15 +464,15 @@ def dropped_counts(t):
     "j8_idle_tasks",
     with_tables(
         "jobs", "tasks", "fetch_log",
-        pending="SELECT DISTINCT task_id FROM jobs WHERE priority = 5 AND lease_expiry <= 820454400",
+        pending="SELECT DISTINCT task_id FROM jobs WHERE enqueued_at <= 789177600",
         stats="SELECT task_id, count(*) AS crawled FROM fetch_log WHERE fetch_id % 3 = 0 GROUP BY task_id",
     )
     + """SELECT t.id AS task_id, s.crawled FROM tasks t JOIN stats s ON s.task_id = t.id
          WHERE status = 'running' AND t.id NOT IN (SELECT task_id FROM pending)""",
 )
 def idle_tasks(t):
-    """Pending here: urgent jobs whose lease ends before 1996."""
-    pending = t.jobs.filter("priority = 5 AND lease_expiry <= 820454400")
+    """Pending here: the jobs of the first days."""
+    pending = t.jobs.filter("enqueued_at <= 789177600")
     stats = t.fetch_log.filter("fetch_id % 3 = 0").groupBy("task_id").agg(F.count(F.lit(1)).alias("crawled"))
     stats = stats.withColumns({"failed": F.lit(0), "robots_skip": F.lit(0)})
     tasks = t.tasks.withColumnRenamed("id", "task_id")
@@ -637,12 +641,11 @@ def running_counters(t):
         n=f"""SELECT us - us % {HOUR} AS frame_us, worker_id, arg_max(pages_per_min, us) AS ppm, arg_max(fail_rate, us) AS fr
               FROM node_reports WHERE kind = 'metrics' GROUP BY 1, 2""",
     )
-    + """SELECT frame_us, round(sum(ppm), 4) AS pages_per_min, round(avg(fr), 6) AS fail_rate FROM n GROUP BY frame_us
+    + """SELECT frame_us, round(sum(ppm), 4) AS pages_per_min, floor(avg(fr) * 1000000 + 0.5001) / 1000000 AS fail_rate
+         FROM n GROUP BY frame_us
          ORDER BY frame_us DESC LIMIT 40""",
 )
 def cluster_series(t):
     reports = t.node_reports.filter("kind = 'metrics'").withColumn("ts", F.timestamp_micros("us"))
     points = tel.recent_cluster_points(stream.cluster_points(stream.frame_nodes(reports, "1 hour")))
-    return points.select(
-        "frame_us", F.round("pages_per_min", 4).alias("pages_per_min"), F.round("fail_rate", 6).alias("fail_rate")
-    )
+    return points.select("frame_us", F.round("pages_per_min", 4).alias("pages_per_min"), _six("fail_rate"))
