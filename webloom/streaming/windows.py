@@ -83,6 +83,18 @@ def metric_frames(nodes: DataFrame, at_us) -> DataFrame:
     return listed.select(F.to_json(F.struct(F.lit("metrics").alias("type"), ts.alias("ts"), "nodes")).alias("value"))
 
 
+def metric_frame_sink(reports: DataFrame, path: str, checkpoint: str, every: str = "3 seconds") -> StreamingQuery:
+    """Writes a metrics frame per trigger as one JSON line."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        at = batch.agg(F.max("last_seen_us").alias("at"))
+        frame = metric_frames(batch, F.lit(at.first()["at"]))
+        frame.write.mode("overwrite").text(f"{path}/frame={epoch}")
+
+    state = node_state(reports).writeStream.outputMode("complete").foreachBatch(write)
+    return state.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def latest_nodes_sink(reports: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
     """Keeps the newest state of every worker in a table (ST6): reports are folded per micro-batch.
 
@@ -118,6 +130,6 @@ def read_latest_nodes(spark, table_path: str, version: int) -> DataFrame:
 
 
 __all__ = [
-    "LATE", "SECOND", "cluster_points", "distinct_offers", "frame_nodes", "latest_nodes_sink", "metric_frames",
-    "read_latest_nodes", "running_counters", "sliding_throughput",
+    "LATE", "SECOND", "cluster_points", "distinct_offers", "frame_nodes", "latest_nodes_sink", "metric_frame_sink",
+    "metric_frames", "read_latest_nodes", "running_counters", "sliding_throughput",
 ]
