@@ -58,6 +58,21 @@ def test_chunked_scans_equal_plain_windows(log):
     )
 
 
+def test_rows_without_key_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 200), ("a", 2, 500), (None, 3, 500)], "proxy_url string, fetch_id int, status int")
+    df = df.withColumn("us", F.col("fetch_id") * S)
+    assert tel.proxy_runs(df, 1).count() == 3
+    chunk = ordered.time_chunk(F.col("us"), 1)
+    assert ordered.previous_row(df, ["proxy_url"], ["us"], {"p": "status"}, chunk).count() == 3
+    assert ordered.running_count(df, ["proxy_url"], ["us"], "i", chunk).count() == 3
+
+
+def test_chunk_length_follows_the_busiest_key(log):
+    n = ordered.fitting_chunk_seconds(log, ["domain"], "us", rows=200)
+    assert 60 <= n < ordered.fitting_chunk_seconds(log, ["domain"], "us", rows=2000)
+    assert ordered.fitting_chunk_seconds(log.limit(0), ["domain"], "us", rows=1) == 60
+
+
 def test_failure_runs(log):
     rows = sorted(log.collect(), key=lambda r: (r.us, r.fetch_id))
     run, want, first = {}, {}, {}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELL = 64.0
+CELL = 64.0  # edge of the finest grid cells; each level is four times as coarse
+LEVELS = 8
 # Tags that are never shown, and tags shown without text.
 NOT_SHOWN = ("html", "head", "meta", "link", "title", "body")
 SHOWN_EMPTY = ("article", "section", "img")
@@ -15,25 +16,34 @@ def hit_test(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Smallest box with an area that contains each point, first one on ties.
 
     ``points``: page_id, point_id, x, y; ``boxes``: page_id, node_id, x, y, w, h. Both sides meet on
-    (page, grid cell): a box is listed in the cells it covers, a point in its own, so a page with very
-    many points is spread over its cells and a point meets only boxes near it.
+    (page, grid level, cell). A box goes to the level whose cells are about its size, so it is listed
+    in at most 25 cells; a point looks into its cell of every level. A page with very many points is
+    spread over its cells, and a point meets only boxes near it.
     """
-    def cells(start: Column, length: Column) -> Column:
-        return F.sequence(F.floor(start / CELL), F.floor((start + length) / CELL))
+    longest = F.greatest("w", "h")
+    level = F.least(
+        F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(4.0, longest / F.lit(CELL * 4))))
+    ).cast("int")
+    solid = boxes.filter((F.col("w") > 0) & (F.col("h") > 0)).withColumn("_level", level)
+    size = F.lit(CELL) * F.pow(F.lit(4.0), F.col("_level"))
+
+    def cells(start: str, length: str) -> Column:
+        return F.sequence(F.floor(F.col(start) / size), F.floor((F.col(start) + F.col(length)) / size))
 
-    solid = boxes.filter((F.col("w") > 0) & (F.col("h") > 0))
     listed = (
-        solid.withColumn("_cx", F.explode(cells(F.col("x"), F.col("w"))))
-        .withColumn("_cy", F.explode(cells(F.col("y"), F.col("h"))))
-        .select("page_id", "_cx", "_cy", "node_id", *[F.col(c).alias(f"_{c}") for c in "xywh"])
+        solid.withColumn("_cx", F.explode(cells("x", "w")))
+        .withColumn("_cy", F.explode(cells("y", "h")))
+        .select("page_id", "_level", "_cx", "_cy", "node_id", *[F.col(c).alias(f"_{c}") for c in "xywh"])
+    )
+    placed = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumns(
+        {"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)}
     )
-    placed = points.withColumns({"_cx": F.floor(F.col("x") / CELL), "_cy": F.floor(F.col("y") / CELL)})
     inside = F.col("x").between(F.col("_x"), F.col("_x") + F.col("_w")) & F.col("y").between(
         F.col("_y"), F.col("_y") + F.col("_h")
     )
     best = F.min(F.struct((F.col("_w") * F.col("_h")).alias("area"), F.col("node_id"))).alias("_b")
     return (
-        placed.join(listed, ["page_id", "_cx", "_cy"])
+        placed.join(listed, ["page_id", "_level", "_cx", "_cy"])
         .filter(inside)
         .groupBy("page_id", "point_id")
         .agg(best)

@@ -83,18 +83,18 @@ def crawl_step(
         "respect_robots",
         rule_plan(F.col("item_selector"), F.col("link_selector"), F.col("fields")).alias("plan"),
     )
-    live = (
-        jobs.join(tasks.filter(F.col("status") == "running").select("task_id", "max_depth"), "task_id")
-        .join(plans, "rule_id")
-    )
+    running = tasks.filter(F.col("status") == "running").select("task_id", "max_depth")
+    live = jobs.join(running, "task_id").join(plans, "rule_id", "left")
     checked = check_robots(live, robots).withColumn(
-        "robots_skip", F.col("respect_robots") & ~F.col("allowed")
+        "robots_skip", F.coalesce(F.col("respect_robots") & ~F.col("allowed"), F.lit(False))
     )
     # Only bodies of good replies travel to the join; pages stored bucketed by URL do not move at all.
     # Bodies are never broadcast, and meeting them by URL spreads a hot task or rule before parsing.
     fine = F.col("status").isNotNull() & ~failed(F.col("status"))
     bodies = pages.select("url", "status", F.when(fine, F.col("html")).alias("html"))
     fetched = checked.join(bodies.hint("merge"), "url", "left")
+    # A job whose rule is gone fails without a fetch, like one whose fetch got no reply.
+    fetched = fetched.withColumn("status", F.when(F.col("plan").isNotNull(), F.col("status")))
     good = ~F.col("robots_skip") & F.coalesce(fine, F.lit(False))
     shredded = with_dom(fetched.withColumn("html", F.when(good, F.col("html"))), with_html)
     extracted = extract(shredded, F.col("plan"))

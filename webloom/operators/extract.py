@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.selectors import css_plan_lit, rule_plan, rule_plan_lit, select_nodes, select_sql
-from webloom.functions.text import head_bytes, trim_space
+from webloom.functions.text import head_bytes, squeeze
+from webloom.functions.text import let as let_column
 from webloom.functions.urls import apply_sql, is_http_sql, let, resolve_sql, trim_sql
 from webloom.sources.htmltree import shred
 
@@ -45,6 +46,25 @@ def with_dom(pages: DataFrame, with_html: bool = False) -> DataFrame:
     return spread(pages).withColumn("dom", shred(cap_body(F.col("html")), with_html))
 
 
+NODE_TEXT = 80
+_HEAD = 1000
+
+
+def _node_text(page_text: Column, n: Column) -> Column:
+    """First 80 characters of a node's text, white space squeezed. The text of an outer node is the
+    whole page, so its head is squeezed first and the rest only if the head is nearly blank."""
+    span = n["t1"] - n["t0"]
+
+    def squeezed(length: Column) -> Column:
+        return squeeze(F.substring(page_text, n["t0"] + 1, length))
+
+    def enough(head: Column) -> Column:
+        done = (span <= _HEAD) | (F.length(head) > NODE_TEXT)
+        return F.substring(F.when(done, head).otherwise(squeezed(span)), 1, NODE_TEXT)
+
+    return let_column(squeezed(F.least(span, F.lit(_HEAD))), enough)
+
+
 def dom_nodes(doms: DataFrame) -> DataFrame:
     """The node table: one row per listed element, ids in document order."""
     n = F.col("n")
@@ -55,17 +75,8 @@ def dom_nodes(doms: DataFrame) -> DataFrame:
             "page_id",
             *[n[c].alias(c) for c in ("node_id", "end_id", "parent_id", "tag", "id_attr", "classes", "attrs")],
             n["own_text"].alias("own_text"),
-            F.substring(
-                trim_space(F.regexp_replace(F.substring(F.col("_t"), n["t0"] + 1, n["t1"] - n["t0"]), r"\s+", " ")),
-                1,
-                80,
-            ).alias("text"),
-            n["sib_idx"].alias("sib_idx"),
-            n["type_idx"].alias("type_idx"),
-            n["n_type"].alias("n_type"),
-            n["depth"].alias("depth"),
-            n["path"].alias("path"),
-            n["pos"].alias("pos"),
+            _node_text(F.col("_t"), n).alias("text"),
+            *[n[c].alias(c) for c in ("sib_idx", "type_idx", "n_type", "depth", "path", "pos")],
         )
     )
 

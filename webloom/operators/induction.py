@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.selectors import STEP, select_nodes
 from webloom.functions.text import candidate_score, is_safe_ident, let
+from webloom.operators.extract import with_dom
 
 MAX_CANDIDATES, MAX_SEGMENTS, MIN_SIBLINGS = 8, 8, 3
 # Attributes that may be combined with the tag.
@@ -368,17 +369,18 @@ def list_rule(nodes: Column, n: Column) -> Column:
     )
 
 
-def infer(doms: DataFrame, clicks: DataFrame) -> DataFrame:
+def infer(pages: DataFrame, clicks: DataFrame) -> DataFrame:
     """Candidates and list rule of every click (X12). ``clicks``: page_id, node_id.
 
     Clicks are gathered per page first (distinct nodes of one bounded page), so a page meets its
-    clicks once, however many there are.
+    clicks once, however many there are. They meet the raw page: only clicked pages are parsed, and
+    page text is moved rather than its elements.
     """
     per_page = clicks.groupBy("page_id").agg(F.collect_set("node_id").alias("_clicked"))
-    joined = doms.select("page_id", "dom").join(per_page, "page_id")
+    doms = with_dom(pages.select("page_id", "html").join(per_page, "page_id"))
     nodes = F.col("dom.nodes")
     hit = F.filter(nodes, lambda n: (n["node_id"] > 0) & F.array_contains(F.col("_clicked"), n["node_id"]))
-    each = joined.select("page_id", "dom", F.explode(hit).alias("n"))
+    each = doms.select("page_id", "dom", F.explode(hit).alias("n"))
     return each.select(
         "page_id",
         F.col("n.node_id").alias("node_id"),

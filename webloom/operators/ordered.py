@@ -18,6 +18,16 @@ def time_chunk(us: Column, seconds: int) -> Column:
     return F.floor(us / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def fitting_chunk_seconds(df: DataFrame, keys: list[str], us: str, rows: int = 500_000, base: int = 60) -> int:
+    """Chunk length at which the busiest key keeps about ``rows`` rows per chunk.
+
+    One aggregation over counts per key and minute; only its maximum comes to the driver.
+    """
+    per_slot = df.groupBy(*keys, F.floor(F.col(us) / F.lit(base * 1_000_000))).agg(F.count(F.lit(1)).alias("n"))
+    busiest = per_slot.agg(F.max("n")).first()[0] or 1
+    return max(1, base * rows // busiest)
+
+
 def _per_chunk(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
@@ -26,6 +36,12 @@ def _over_chunks(keys: list[str]):
     return Window.partitionBy(*keys).orderBy(CHUNK)
 
 
+def _attach(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the summary of their chunk. The rows already lie by (key, chunk) and are not moved
+    again; a row without key is kept and simply has no chunk before it."""
+    return rows.join(summary, [*keys, CHUNK], "left")
+
+
 def trailing_sums(
     df: DataFrame, keys: list[str], us: str, width_us: int, sums: dict[str, Column], chunk_us: int | None = None
 ) -> DataFrame:
@@ -80,7 +96,7 @@ def previous_row(
     )
     before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
     return (
-        local.join(carry, [*keys, CHUNK])
+        _attach(local, carry, keys)
         .withColumn("_before", before)
         .select(*df.columns, *[F.col(f"_before.{new}").alias(new) for new in cols])
     )
@@ -93,7 +109,9 @@ def running_count(df: DataFrame, keys: list[str], order: list[str], name: str, c
     before = F.coalesce(F.sum("_n").over(_over_chunks(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(*keys, CHUNK, before.alias("_off"))
     local = rows.withColumn("_i", F.row_number().over(_per_chunk(keys, order)))
-    return local.join(offsets, [*keys, CHUNK]).select(*df.columns, (F.col("_i") + F.col("_off")).alias(name))
+    return _attach(local, offsets, keys).select(
+        *df.columns, (F.col("_i") + F.coalesce("_off", F.lit(0))).alias(name)
+    )
 
 
 def running_max_before(
@@ -107,7 +125,7 @@ def running_max_before(
     )
     w = _per_chunk(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.max(value).over(w))
-    return local.join(carry, [*keys, CHUNK]).select(
+    return _attach(local, carry, keys).select(
         *df.columns, F.greatest(F.col("_local"), F.col("_carry")).alias(name)
     )
 
@@ -135,5 +153,5 @@ def failure_runs(df: DataFrame, keys: list[str], order: list[str], ok: Column, n
         .withColumn("_out", F.col("_cum") - opened)
         .select(*keys, CHUNK, F.coalesce(F.lag("_out").over(over), F.lit(0)).alias("_in"))
     )
-    run = F.when(F.col("_last_ok").isNull(), F.col("_i") + F.col("_in")).otherwise(F.col("_i") - F.col("_last_ok"))
-    return local.join(carry, [*keys, CHUNK]).select(*df.columns, run.cast("bigint").alias(name))
+    run = F.when(F.col("_last_ok").isNull(), F.col("_i") + F.coalesce("_in", F.lit(0))).otherwise(F.col("_i") - F.col("_last_ok"))
+    return _attach(local, carry, keys).select(*df.columns, run.cast("bigint").alias(name))
