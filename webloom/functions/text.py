@@ -13,7 +13,7 @@ SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value once inside an expression, so that it is not computed per use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def head_bytes(c: Column, n: int) -> Column:

@@ -26,13 +26,17 @@ _PATH_PLAIN = {
 
 
 def let(value: str, name: str, body: str) -> str:
-    """SQL text that computes a value once and uses it under a name."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+    """SQL text that computes a value once and uses it under a name.
+
+    element_at keeps its result type, while an array index works it out again for every row by
+    walking all the lambdas below; with nested bindings that walk would cost more than the work.
+    """
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def apply_sql(value: Column, lambda_text: str) -> Column:
     """Value of a one-argument SQL lambda for a column."""
-    return F.get(F.call_function("transform", F.array(value), F.expr(lambda_text)), F.lit(0))
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(lambda_text)), 1)
 
 
 def trim_sql(s: str) -> str:

@@ -118,7 +118,7 @@ _VALUE = f"""CASE
 _CONTEXT = "CASE WHEN f.kind = 'xpath' THEN if(sc.whole, 0, 1) END"
 _WANTED = f"""filter({_select("sc.nodes", "f.alts", "sc.below", _CONTEXT)},
     w -> NOT startswith(f.take, '@') OR w.attrs[substring(f.take, 2)] IS NOT NULL)"""
-_BY_NODE = let(f"get({_WANTED}, 0)", "hit", _VALUE)
+_BY_NODE = let(f"try_element_at({_WANTED}, 1)", "hit", _VALUE)
 _BY_REGEX = f"regexp_extract(if(f.attr = 'html', sc.source, {trim_sql('sc.text')}), f.pattern, f.group)"
 _FIELD = f"CASE WHEN f.error != '' THEN '' WHEN f.kind = 'regex' THEN {_BY_REGEX} ELSE {_BY_NODE} END"
 _FIELD = trim_sql(f"coalesce({_FIELD}, '')")

@@ -89,7 +89,7 @@ def sibling_positions(nodes: DataFrame) -> DataFrame:
 
 def _chain(nodes: Column, n: Column) -> Column:
     """The node and its ancestors, nearest first, without html."""
-    above = F.transform(F.filter(F.reverse(n["path"]), lambda p: p > 0), lambda p: F.get(nodes, p - 1))
+    above = F.transform(F.filter(F.reverse(n["path"]), lambda p: p > 0), lambda p: F.try_element_at(nodes, p))
     return F.filter(F.concat(F.array(n), above), lambda x: x["tag"] != "html")
 
 
@@ -230,7 +230,7 @@ def candidates(nodes: Column, n: Column) -> Column:
             ),
         ).otherwise(none)
 
-    by_parent = F.coalesce(let(F.get(nodes, n["parent_pos"] - 1), below), none)
+    by_parent = F.coalesce(let(F.try_element_at(nodes, F.nullif(n["parent_pos"], F.lit(0))), below), none)
     tests = F.filter(
         F.array(*[_has(k, F.element_at(n["attrs"], k)) for k in COMBINED]),
         lambda t: F.coalesce((t["value"] != "") & ~t["value"].rlike("['\" ]"), F.lit(False)),
@@ -328,7 +328,7 @@ def list_rule(nodes: Column, n: Column) -> Column:
         own = F.coalesce(F.get(n["classes"], F.lit(0)), F.lit(""))
         # Classes from the click up to, but not including, the item.
         inner = F.filter(F.transform(F.slice(chain, F.lit(1), upto), first_class), lambda c: c != "")
-        near = F.coalesce(F.get(inner, F.lit(0)), F.lit(""))
+        near = F.coalesce(F.try_element_at(inner, F.lit(1)), F.lit(""))
         itself = F.when(own != "", _selector(".", own)).otherwise(_selector("", n["tag"]))
         inside = F.when(near != "", _selector(".", near)).otherwise(_selector("", n["tag"]))
         return F.when(upto == 0, itself).otherwise(inside)
@@ -348,7 +348,7 @@ def list_rule(nodes: Column, n: Column) -> Column:
     rules = F.filter(F.transform(chain, rule), lambda r: F.coalesce(r["hits"] > 0, F.lit(False)))
     best = F.aggregate(
         rules,
-        F.get(rules, F.lit(0)),
+        F.try_element_at(rules, F.lit(1)),
         lambda a, r: F.when(r["hits"] > a["hits"], r).otherwise(a),
     )
 
@@ -369,8 +369,8 @@ def list_rule(nodes: Column, n: Column) -> Column:
     )
 
 
-def infer(pages: DataFrame, clicks: DataFrame) -> DataFrame:
-    """Candidates and list rule of every click (X12). ``clicks``: page_id, node_id.
+def clicked_nodes(pages: DataFrame, clicks: DataFrame) -> DataFrame:
+    """page_id, dom and the clicked element ``n`` of every click. ``clicks``: page_id, node_id.
 
     Clicks are gathered per page first (distinct nodes of one bounded page), so a page meets its
     clicks once, however many there are. They meet the raw page: only clicked pages are parsed, and
@@ -378,14 +378,32 @@ def infer(pages: DataFrame, clicks: DataFrame) -> DataFrame:
     """
     per_page = clicks.groupBy("page_id").agg(F.collect_set("node_id").alias("_clicked"))
     doms = with_dom(pages.select("page_id", "html").join(per_page, "page_id"))
-    nodes = F.col("dom.nodes")
-    hit = F.filter(nodes, lambda n: (n["node_id"] > 0) & F.array_contains(F.col("_clicked"), n["node_id"]))
-    each = doms.select("page_id", "dom", F.explode(hit).alias("n"))
-    return each.select(
+    hit = F.filter(
+        F.col("dom.nodes"), lambda n: (n["node_id"] > 0) & F.array_contains(F.col("_clicked"), n["node_id"])
+    )
+    return doms.select("page_id", "dom", F.explode(hit).alias("n"))
+
+
+def infer_candidates(pages: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Ranked selector candidates of every click."""
+    found = ranked_candidates(F.col("dom.nodes"), F.col("n")).alias("candidates")
+    return clicked_nodes(pages, clicks).select("page_id", F.col("n.node_id").alias("node_id"), found)
+
+
+def infer_list_rules(pages: DataFrame, clicks: DataFrame) -> DataFrame:
+    """List rule of every click."""
+    found = list_rule(F.col("dom.nodes"), F.col("n")).alias("list_rule")
+    return clicked_nodes(pages, clicks).select("page_id", F.col("n.node_id").alias("node_id"), found)
+
+
+def infer(pages: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Candidates and list rule of every click."""
+    nodes, n = F.col("dom.nodes"), F.col("n")
+    return clicked_nodes(pages, clicks).select(
         "page_id",
-        F.col("n.node_id").alias("node_id"),
-        ranked_candidates(nodes, F.col("n")).alias("candidates"),
-        list_rule(nodes, F.col("n")).alias("list_rule"),
+        n["node_id"].alias("node_id"),
+        ranked_candidates(nodes, n).alias("candidates"),
+        list_rule(nodes, n).alias("list_rule"),
     )
 
 

@@ -438,7 +438,7 @@ def absolute_xpath(t):
 )
 def heading_candidates(t):
     """Candidates for the heading of every page: no ids or classes, so the two positional paths."""
-    found = induction.infer(t.pages, _clicks(t, "h1")).select("page_id", F.explode("candidates").alias("c"))
+    found = induction.infer_candidates(t.pages, _clicks(t, "h1")).select("page_id", F.explode("candidates").alias("c"))
     return found.select("page_id", "c.kind", "c.expr", "c.unique", F.round("c.score", 6).alias("score"))
 
 
@@ -450,4 +450,4 @@ def heading_candidates(t):
 )
 def list_rules(t):
     """A click on the first navigation link generalises to all of them."""
-    return induction.infer(t.pages, _clicks(t, "a")).select("page_id", "list_rule.*")
+    return induction.infer_list_rules(t.pages, _clicks(t, "a")).select("page_id", "list_rule.*")
