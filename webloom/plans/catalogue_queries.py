@@ -16,7 +16,7 @@ from webloom.sources import tables as src
 # Sources --------------------------------------------------------------------------------------
 
 
-@query("s1_page_scan", "SELECT page_id, url, least(strlen(html), 4194304) AS body_bytes FROM pages")
+@query("s1_page_scan", "SELECT page_id, url, least(strlen(html), 4194304) AS body_bytes FROM pages", body_bytes="INTEGER")
 def page_scan(t):
     return t.pages.select("page_id", "url", F.octet_length(cap_body(F.col("html"))).alias("body_bytes"))
 
@@ -53,6 +53,7 @@ def _fields_json():
        FROM part
        UNION ALL
        SELECT event_id, len(json_keys(props)), json_extract_string(props, '$.k'), NULL, 'event' FROM events""",
+    n_fields="INTEGER",
 )
 def decode_json(t):
     f = src.decode_fields(_fields_json())
@@ -657,6 +658,7 @@ def json_counters(t):
                    WHEN contains(expr, '[') THEN 0.7 ELSE 0.45 END
               + CASE WHEN hits = 1 THEN 0.05 WHEN hits > 1 THEN -0.15 ELSE 0 END
               - CASE WHEN kind = 'xpath' THEN 0.04 ELSE 0 END)), 6) AS score FROM c""",
+    score="DOUBLE",
 )
 def candidate_score(t):
     k = F.col("p_partkey") % 6

@@ -60,6 +60,7 @@ def dom_nodes(t):
 @query(
     "w8_sibling_positions",
     with_tables("page_parts") + "SELECT page_id, len(hrefs) - 1 AS last_sibling, len(hrefs) AS last_of_type FROM page_parts",
+    last_sibling="INTEGER", last_of_type="INTEGER",
 )
 def sibling_positions(t):
     places = induction.sibling_positions(extract.dom_nodes(extract.with_dom(t.pages))).filter("tag = 'li'")
@@ -81,6 +82,7 @@ def visible_nodes(t):
     with_tables("page_parts")
     + """SELECT page_id, 'article' AS item, len(regexp_extract_all(article, '<p>')) AS inside FROM page_parts
          UNION ALL SELECT page_id, 'nav', len(regexp_extract_all(html, '<li>')) FROM page_parts""",
+    inside="INTEGER",
 )
 def elements_in_items(t):
     """Matches of a selector below each item: the scope of an item is a slice of its page."""
@@ -101,6 +103,7 @@ def elements_in_items(t):
 @query(
     "j6_list_hits",
     with_tables("page_parts") + "SELECT page_id, len(hrefs) AS hits FROM page_parts",
+    hits="INTEGER",
 )
 def list_hits(t):
     return induction.list_hits(extract.with_dom(t.pages), css_plan_lit("nav li"), css_plan_lit("a[href]"))
@@ -117,6 +120,7 @@ _ARTICLE_TEXT = r"""replace(replace(regexp_replace(regexp_replace(article, '<[^>
                   trim(regexp_extract(trim({_ARTICLE_TEXT}), '(\w+)\.', 1)) AS word,
                   (SELECT count(*) FROM page_links l WHERE l.page_id = p.page_id) AS links
            FROM page_parts p""",
+    links="INTEGER",
 )
 def page_records(t):
     """One rule over all pages: CSS, XPath and regex fields of the article, links of the navigation."""
@@ -225,6 +229,7 @@ def _host_rules(t):
                 length(host) % 3 = 2 AS has_error,
                 CASE WHEN length(host) % 3 = 2 THEN 0 ELSE (SELECT count(*) FROM page_links l WHERE l.page_id = p.page_id) END AS links
          FROM page_parts p""",
+    items="INTEGER", links="INTEGER",
 )
 def many_rules(t):
     pages = t.pages.withColumn("host", host_of(F.col("url")))
@@ -269,6 +274,7 @@ def robots_check(t):
                 row_number() OVER (PARTITION BY p.page_id, point_id ORDER BY w * h, node_id) AS rn
          FROM p JOIN b ON p.page_id = b.page_id AND p.x BETWEEN b.x AND b.x + b.w AND p.y BETWEEN b.y AND b.y + b.h
          WHERE w * h > 0) WHERE rn = 1""",
+    area="DOUBLE",
 )
 def hit_test(t):
     points = t.events.select(
@@ -395,6 +401,7 @@ def selector_hits(t):
 @query(
     "a9_count_css",
     with_tables("page_parts") + "SELECT page_id, len(hrefs) + 1 AS hits FROM page_parts",
+    hits="INTEGER",
 )
 def count_css(t):
     return induction.count_css(extract.with_dom(t.pages), css_plan_lit("nav > ul li:nth-child(n+1) a, body > div.ad"))
@@ -435,6 +442,7 @@ def absolute_xpath(t):
     with_tables("page_parts")
     + """SELECT page_id, 'xpath' AS kind, '//body[1]/article[1]/h1[1]' AS expr, true AS "unique", round(0.71, 6) AS score FROM page_parts
          UNION ALL SELECT page_id, 'css', 'body:nth-child(2) > article:nth-child(3) > h1:nth-child(1)', true, 0.5 FROM page_parts""",
+    score="DOUBLE",
 )
 def heading_candidates(t):
     """Candidates for the heading of every page: no ids or classes, so the two positional paths."""
@@ -447,6 +455,7 @@ def heading_candidates(t):
     with_tables("page_parts")
     + """SELECT page_id, CASE WHEN len(hrefs) >= 3 THEN 'li' ELSE '' END AS item_selector, 'a' AS field_selector,
                 CASE WHEN len(hrefs) >= 3 THEN len(hrefs) ELSE 1 END AS hits FROM page_parts""",
+    hits="INTEGER",
 )
 def list_rules(t):
     """A click on the first navigation link generalises to all of them."""

@@ -12,8 +12,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under a name."""
+def query(name: str, oracle: str | None = None, **types: str):
+    """Register ``fn(tables) -> DataFrame`` under a name; ``types`` are column types of the oracle."""
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +22,8 @@ def query(name: str, oracle: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = oracle
+            casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in types.items())
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({oracle})" if casts else oracle
         return fn
 
     return register
