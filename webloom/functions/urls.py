@@ -155,11 +155,17 @@ def is_http_sql(raw: str) -> str:
 
 
 _HOST_NAME = r"if(u.ok, lower(regexp_replace(regexp_replace(u.host, r':[0-9]*\z', ''), r'^\[|\]\z', '')), '')"
+
+
+def host_sql(raw: str) -> str:
+    return let(split_sql(trim_sql(raw)), "u", _HOST_NAME)
+
+
 _OR_ROOT = "if(dec = '', '/', dec)"
 _CANONICAL = f"x -> {canonical_sql('x')}"
 _RESOLVE = f"x -> {resolve_sql('x.base', 'x.href')}"
 _IS_HTTP = f"x -> {is_http_sql('x')}"
-_HOST_OF = f"x -> {let(split_sql(trim_sql('x')), 'u', _HOST_NAME)}"
+_HOST_OF = f"x -> {host_sql('x')}"
 _PATH_OF = f"x -> {let(split_sql(trim_sql('x')), 'u', let(_decode_path('u.path'), 'dec', _OR_ROOT))}"
 _ROBOTS = "x -> " + let(
     split_sql("x"),

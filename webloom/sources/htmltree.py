@@ -487,9 +487,9 @@ def _shred_with_html(html: pa.Array) -> pa.Array:
 
 # Declared nondeterministic so that the optimizer neither repeats the parse nor pushes a filter on its
 # result below it: it would otherwise parse every page twice for an exploded column.
-_PARSE = {False: _shred.asNondeterministic(), True: _shred_with_html.asNondeterministic()}
+PARSERS = {False: _shred.asNondeterministic(), True: _shred_with_html.asNondeterministic()}
 
 
 def shred(html: Column, with_html: bool = False) -> Column:
     """STRUCT<nodes, text, html> of a page; ``html`` is filled only on request."""
-    return _PARSE[with_html](html)
+    return PARSERS[with_html](html)
