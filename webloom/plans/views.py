@@ -26,7 +26,7 @@ class Tables:
             micros(F.col("ts")).alias("us"),
             F.concat(F.lit("d"), (F.col("user_id") % 20).cast("string")).alias("domain"),
             F.concat(F.lit("worker-"), (F.col("user_id") % 4 + 1).cast("string")).alias("worker_id"),
-            (F.col("user_id") % 50).alias("task_id"),
+            F.col("user_id").alias("task_id"),
             F.when(F.col("event_type") != "error", 200)
             .when(F.col("event_id") % 3 == 0, 503)
             .when(F.col("event_id") % 3 == 1, 429)
@@ -46,7 +46,7 @@ class Tables:
         )
         return self.orders.select(
             F.col("o_orderkey").alias("id"),
-            (F.col("o_custkey") % 50).alias("task_id"),
+            F.col("o_custkey").alias("task_id"),
             (F.lit(6) - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"),
             F.floor(micros(F.col("o_orderdate")) / 1_000_000).alias("enqueued_at"),
             F.lit(0).alias("attempt"),
@@ -64,7 +64,7 @@ class Tables:
 
     @property
     def tasks(self) -> DataFrame:
-        return self.customer.filter("c_custkey < 50").select(
+        return self.customer.select(
             F.col("c_custkey").alias("id"),
             F.col("c_name").alias("name"),
             F.col("c_nationkey").cast("bigint").alias("rule_id"),
@@ -159,7 +159,7 @@ class Tables:
 CTE = {
     "fetch_log": """
         SELECT event_id AS fetch_id, epoch_us(ts) AS us, 'd' || CAST(user_id % 20 AS VARCHAR) AS domain,
-               'worker-' || CAST(user_id % 4 + 1 AS VARCHAR) AS worker_id, user_id % 50 AS task_id,
+               'worker-' || CAST(user_id % 4 + 1 AS VARCHAR) AS worker_id, user_id AS task_id,
                CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 3 = 0 THEN 503
                     WHEN event_id % 3 = 1 THEN 429 ELSE 403 END AS status,
                value * 10 AS latency_ms, 'proxy-' || CAST(event_id % 3 + 1 AS VARCHAR) AS proxy_url
@@ -168,7 +168,7 @@ CTE = {
         SELECT l_orderkey AS id, CAST(floor(epoch(min(l_shipdate))) AS BIGINT) AS lease_expiry FROM lineitem
         WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey""",
     "jobs": """
-        SELECT o_orderkey AS id, o_custkey % 50 AS task_id,
+        SELECT o_orderkey AS id, o_custkey AS task_id,
                6 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority,
                CAST(floor(epoch(o_orderdate)) AS BIGINT) AS enqueued_at, 0 AS attempt, o_orderkey % 2 AS reclaims,
                lease_expiry
@@ -179,7 +179,7 @@ CTE = {
         SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS rule_id,
                CASE c_mktsegment WHEN 'BUILDING' THEN 'created' WHEN 'AUTOMOBILE' THEN 'running'
                     WHEN 'MACHINERY' THEN 'paused' WHEN 'HOUSEHOLD' THEN 'failed' ELSE 'succeeded' END AS status
-        FROM customer WHERE c_custkey < 50""",
+        FROM customer""",
     "task_events": """
         SELECT event_id AS id, user_id AS task_id, epoch_us(ts) AS us, ts AS created_at,
                CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'running'
