@@ -77,7 +77,8 @@ class CrawlStep:
 def crawl_step(
     jobs: DataFrame, tasks: DataFrame, rules: DataFrame, pages: DataFrame, robots: DataFrame, with_html: bool = True
 ) -> CrawlStep:
-    """``jobs``: task_id, rule_id, url, depth; ``pages``: url, html, status (the fetch outcome)."""
+    """``jobs``: task_id, rule_id, url, depth; ``pages``: url, html, status (the fetch outcome), one row
+    per URL; a URL without a row got no reply."""
     plans = rules.select(
         "rule_id",
         "respect_robots",

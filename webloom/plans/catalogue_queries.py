@@ -190,17 +190,30 @@ def retryable(t):
     return t.fetch_log.select("fetch_id", text.retryable(F.col("status"), error).alias("retry"))
 
 
+# In the first 256 bytes: what stands before the mark, and the mark, fit into them.
+_MARKED = " OR ".join(
+    f"contains(lower(body), '{m}') AND strlen(split_part(lower(body), '{m}', 1)) + {len(m)} <= 256"
+    for m in ("<html", "<!doctype")
+)
+
+
 @query(
     "p7_looks_like_html",
-    """SELECT page_id, page_id % 3 = 0 OR contains(lower(left(html, 256)), '<html')
-                 OR contains(lower(left(html, 256)), '<!doctype') AS is_html FROM pages
-       UNION ALL SELECT doc_id, doc_id % 3 = 0 FROM documents WHERE NOT contains(lower(text), '<')""",
+    f"""SELECT id, kind, id % 3 = 0 OR {_MARKED} AS is_html FROM (
+           SELECT page_id AS id, 'page' AS kind, html AS body FROM pages
+           UNION ALL SELECT page_id, 'late', repeat('é', page_id % 256) || html FROM pages
+           UNION ALL SELECT doc_id, 'document', text FROM documents)""",
 )
 def looks_like_html(t):
-    docs = t.documents.filter(~F.lower("text").contains("<"))
-    rows = t.pages.select("page_id", F.col("html").alias("body")).union(docs.select("doc_id", "text"))
-    kind = F.when(F.col("page_id") % 3 == 0, "Text/HTML; charset=utf-8").otherwise("text/plain")
-    return rows.select("page_id", text.looks_like_html(F.col("body"), kind).alias("is_html"))
+    page, html = F.col("page_id"), F.col("html")
+    late = F.concat(F.repeat(F.lit("é"), (page % 256).cast("int")), html)
+    rows = (
+        t.pages.select(page.alias("id"), F.lit("page").alias("kind"), html.alias("body"))
+        .union(t.pages.select(page, F.lit("late"), late))
+        .union(t.documents.select("doc_id", F.lit("document"), "text"))
+    )
+    kind = F.when(F.col("id") % 3 == 0, "Text/HTML; charset=utf-8").otherwise("text/plain")
+    return rows.select("id", "kind", text.looks_like_html(F.col("body"), kind).alias("is_html"))
 
 
 def _part_fields():
