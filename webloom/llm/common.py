@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     path, fs = _hadoop(spark, folder)
     fs.mkdirs(path)
     fs.deleteOnExit(path)
-    return str(fs.makeQualified(path).toString())
+    return re.sub("^file:/+", "file:///", str(fs.makeQualified(path).toString()))
 
 
 def _hadoop(spark: SparkSession, folder: str):
@@ -73,7 +75,7 @@ def spans(sizes: np.ndarray, most: int = 1 << 20):
 
 def texts_of(column: pa.Array, most: int = 1 << 20):
     """(first row, list of byte strings) for runs of about ``most`` bytes of a binary column."""
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
     for a, b in spans(sizes, most):
         yield a, column.slice(a, b - a).to_pylist()
 

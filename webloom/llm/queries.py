@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registered():
     """(queries, oracle SQL)."""
-    from webloom.llm import op7, registry  # noqa: F401
+    from webloom.llm import op2, op7, registry  # noqa: F401
 
     return dict(registry.QUERIES), dict(registry.ORACLES)
