@@ -9,80 +9,144 @@ reader decode all strides of many blocks side by side, one table lookup per step
     block  = u32 documents, u32 tokens, u32 stride, u32 payload bytes, u32 crc32 of the payload,
              i64 ids, u8 null flags of the ids, u32 token counts, u32 checkpoints, payload (big-endian bits)
 
-All integers little-endian.
+Each document begins at a whole byte and has checkpoints of its own, one per ``STRIDE`` tokens. All integers little-endian.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import CACHE_WORDS, blobs, bytes_of, texts_of
+from webloom.llm.common import blobs, bytes_of, discard, texts_of
 
 MAGIC = b"WLTOK1\0\0"
 STRIDE = 128
 BLOCK_TOKENS = 1 << 16
 LIMIT = 16
+STORE_WORDS = 1_200_000
 
 
 # Encoding of texts ----------------------------------------------------------------------------
 
 
+SIMPLE = "[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\\[-`{-~]+"
+
+
+class Numbered(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Encoder:
     """Token ids of whole texts by a tokenizer file.
 
-    ``by_word``: for tokenizers that drop white space and never join across it, the library encodes
-    each piece between ASCII white space once and its ids are looked up afterwards; results equal
-    those of whole texts. The store of pieces is emptied when it is full, so memory is bounded.
+    ``by_word``: for tokenizers that drop white space and case, never join across white space and mark
+    the end of each word (letters, a digit, or a run of other signs). The library then encodes every
+    word once and its ids are looked up afterwards; results equal those of whole texts. Words of plain
+    Latin letters, digits and ASCII signs need no normalising and are given to the model without it.
+    Texts with combining marks or with the beginning of a special token are encoded whole. The store
+    of words is emptied when it is full, so memory is bounded.
     """
 
     def __init__(self, path: str, by_word: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok, self.by_word = Tokenizer.from_file(path), by_word
+        if by_word:
+            self.lean = Tokenizer.from_file(path)
+            self.lean.normalizer = normalizers.Sequence([])
+            self.lean.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            suffix = self.tok.model.end_of_word_suffix
+            vocab = self.tok.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            self.piece = re.compile(SIMPLE)
+            self.plain = re.compile(f"(?:{SIMPLE})+")
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbered()
         self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words in a row, and how many each has."""
+        size = self.size[which]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.at[which] - (ends - size), size) + np.arange(total)], size
+
     def _raw(self, texts: list[bytes]) -> list[list[int]]:
-        found = []
-        for i in range(0, len(texts), 256):
-            batch = [t.decode("utf-8", "replace") for t in texts[i : i + 256]]
-            found += [e.ids for e in self.tok.encode_batch(batch, add_special_tokens=False)]
-        return found
+        batch = [t.decode("utf-8", "replace") for t in texts]
+        return [e.ids for e in self.tok.encode_batch_fast(batch, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Ids of the words numbered since the last call: plain ones by their pieces, others as the library takes them."""
+        fresh, base = self.known.fresh, len(self.at)
+        leaves, texts, odd, joined, parts = [], [], [], [], []
+        for i, w in enumerate(fresh):  # pieces that are new are appended meanwhile
+            u = w.decode("utf-8", "replace")
+            u = u if u.isascii() else u.lower()
+            if not self.plain.fullmatch(u):
+                odd.append(i)
+            elif len(ps := self.piece.findall(u)) == 1:
+                leaves.append(i), texts.append(u)
+            else:
+                joined.append(i), parts.append([self.known[p.encode()] for p in ps])
+        rows = [" ".join(texts[i : i + 400]) for i in range(0, len(texts), 400)]
+        ids = [np.asarray(e.ids, np.uint32) for e in self.lean.encode_batch_fast(rows, add_special_tokens=False)]
+        self.at = np.concatenate([self.at, np.zeros(len(fresh), np.int64)])
+        self.size = np.concatenate([self.size, np.zeros(len(fresh), np.int64)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(leaves):
+            raise ValueError("this tokenizer does not mark the end of words; use by_word=False")
+        self._put(base + np.array(leaves, np.int64), flat, np.diff(np.concatenate(([0], ends))))
+        ids = self._raw([fresh[i] for i in odd])
+        size = np.array([len(x) for x in ids], np.int64)
+        self._put(base + np.array(odd, np.int64), np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size)
+        if joined:
+            n = np.array([len(p) for p in parts], np.int64)
+            flat, size = self._gather(np.fromiter((i for p in parts for i in p), np.int64, int(n.sum())))
+            self._put(base + np.array(joined, np.int64), flat, np.add.reduceat(size, np.cumsum(n) - n))
+        fresh.clear()
+
+    def _put(self, which: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        self.at[which], self.size[which] = len(self.pool) + np.cumsum(size) - size, size
+        self.pool = np.concatenate([self.pool, ids])
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, tokens per text)."""
-        if not self.by_word:
-            ids = self._raw(texts)
-            flat = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32)
-            return flat.astype(np.uint32), np.array([len(x) for x in ids], np.int64)
-        if len(self.known) > CACHE_WORDS:
+        whole = [not self.by_word or b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
+        if any(whole):
+            ids = [self._raw([t])[0] if x else self([t])[0] for t, x in zip(texts, whole)]
+            return np.concatenate([np.asarray(x, np.uint32) for x in ids]), np.array([len(x) for x in ids], np.int64)
+        if len(self.at) > STORE_WORDS:
             self._empty()
-        words = [t.split() for t in texts]
-        fresh = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in self.known]
-        if fresh:
-            ids, base = self._raw(fresh), len(self.known)
-            self.known.update(zip(fresh, range(base, base + len(fresh))))
-            size = np.array([len(x) for x in ids], np.int64)
-            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, *[np.asarray(x, np.uint32) for x in ids]]).astype(np.uint32)
+        words = [t.lower().split() for t in texts]
         n = np.array([len(ws) for ws in words], np.int64)
-        which = np.fromiter((self.known[w] for ws in words for w in ws), np.int64, int(n.sum()))
-        size = self.size[which]
-        ends = np.cumsum(size)
-        flat = self.pool[np.repeat(self.at[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        last = np.concatenate(([0], ends))[np.cumsum(n)]
+        which = np.array([*map(self.known.__getitem__, chain.from_iterable(words))], np.int64)
+        if self.known.fresh:
+            self._learn()
+        flat, size = self._gather(which)
+        last = np.concatenate(([0], np.cumsum(size)))[np.cumsum(n)]
         return flat, np.diff(np.concatenate(([0], last)))
 
 
@@ -159,30 +223,36 @@ class Codec:
             self.symbol[a : a + (1 << (self.width - int(size[i])))] = i
             self.step[a : a + (1 << (self.width - int(size[i])))] = size[i]
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """(bits, bit offset of every STRIDE-th id)."""
+    def encode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Per document its bits, filled up to whole bytes, and the bit offsets of every STRIDE-th id (u32)."""
         size = self.lengths[ids].astype(np.int64)
-        starts = np.cumsum(size) - size
+        ends = np.cumsum(counts)
+        total = np.diff(np.concatenate(([0], np.concatenate(([0], np.cumsum(size)))[ends])))
+        left = np.insert(self.left[ids], ends, 0)
+        size = np.insert(size, ends, -total % 8)  # the fill after each document
         parts, rest = [], np.zeros(0, np.uint8)
-        for a in range(0, len(ids), 1 << 15):
-            bits = np.unpackbits(self.left[ids[a : a + (1 << 15)]].view(np.uint8).reshape(-1, 4), axis=1)
+        for a in range(0, len(size), 1 << 15):
+            bits = np.unpackbits(left[a : a + (1 << 15)].view(np.uint8).reshape(-1, 4), axis=1)
             bits = np.concatenate([rest, bits[np.arange(32) < size[a : a + (1 << 15), None]]])
             whole = len(bits) // 8 * 8
             parts.append(np.packbits(bits[:whole]).tobytes())
             rest = bits[whole:]
-        parts.append(np.packbits(rest).tobytes())
-        return b"".join(parts), starts[::STRIDE].astype(np.uint32)
-
-    def decode(self, blocks: list[tuple[bytes, np.ndarray, int]]) -> list[np.ndarray]:
-        """Ids of blocks (bits, checkpoints, tokens); all strides of all blocks advance together."""
+        raw, starts = b"".join(parts), np.cumsum(size) - size
+        cuts = np.concatenate(([0], np.cumsum((total + 7) // 8)))
+        first = np.concatenate(([0], (ends + np.arange(1, len(ends) + 1))[:-1]))
+        marks = [(starts[f : f + n : STRIDE] - starts[f]).astype("<u4").tobytes() for f, n in zip(first, counts)]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])], marks
+
+    def decode(self, blocks: list[tuple[bytes, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Ids of blocks (bits, checkpoints, tokens from each checkpoint); all strides of all blocks advance together."""
         room = np.cumsum([0, *[len(b) + 8 for b, _, _ in blocks]])
         raw = np.frombuffer(b"".join(b + bytes(8) for b, _, _ in blocks), np.uint8).astype(np.uint64)
         window = (raw[:-4] << np.uint64(32)) | (raw[1:-3] << np.uint64(24)) | (raw[2:-2] << np.uint64(16)) | (raw[3:-1] << np.uint64(8)) | raw[4:]
         at = np.concatenate([c.astype(np.int64) + 8 * int(room[i]) for i, (_, c, _) in enumerate(blocks)])
-        left = np.concatenate([n - STRIDE * np.arange(len(c)) for _, c, n in blocks]).astype(np.int64)
+        left = np.concatenate([n for _, _, n in blocks]).astype(np.int64)
         out, live = np.zeros((len(at), STRIDE), np.uint32), len(at)
-        by = np.argsort(-np.minimum(left, STRIDE), kind="stable")
-        at, todo = at[by], np.minimum(left, STRIDE)[by]
+        by = np.argsort(-left, kind="stable")
+        at, todo = at[by], left[by]
         shift, mask = np.uint64(40 - self.width), np.uint64((1 << self.width) - 1)
         for k in range(int(todo[0]) if len(todo) else 0):
             live = int(np.searchsorted(-todo[:live], -k, side="left"))
@@ -194,7 +264,8 @@ class Codec:
         back[by] = np.arange(len(by))
         out, found, row = out[back], [], 0
         for _, c, n in blocks:
-            found.append(out[row : row + len(c)].reshape(-1)[:n])
+            rows = out[row : row + len(c)]
+            found.append(rows[np.arange(STRIDE) < n[:, None]])
             row += len(c)
         return found
 
@@ -202,25 +273,33 @@ class Codec:
 # Files ----------------------------------------------------------------------------------------
 
 
-def _block(codec: Codec, ids: list[int | None], counts: np.ndarray, flat: np.ndarray) -> bytes:
-    payload, marks = codec.encode(flat)
-    head = struct.pack("<5I", len(ids), len(flat), STRIDE, len(payload), zlib.crc32(payload))
+def _block(ids: list[int | None], counts: list[int], bits: list[bytes], marks: list[bytes]) -> bytes:
+    """A block of documents; checkpoints become bit offsets in the block."""
+    size = np.array([len(b) for b in bits], np.int64)
+    strides = np.array([len(m) // 4 for m in marks], np.int64)
+    at = np.frombuffer(b"".join(marks), "<u4") + np.repeat(8 * (np.cumsum(size) - size), strides)
+    payload = b"".join(bits)
+    head = struct.pack("<5I", len(ids), sum(counts), STRIDE, len(payload), zlib.crc32(payload))
     keys = np.array([0 if i is None else i for i in ids], "<i8").tobytes()
     flags = np.array([i is None for i in ids], np.uint8).tobytes()
-    return head + keys + flags + counts.astype("<u4").tobytes() + marks.astype("<u4").tobytes() + payload
+    return head + keys + flags + np.array(counts, "<u4").tobytes() + at.astype("<u4").tobytes() + payload
 
 
 def _parse(raw: bytes):
-    docs, tokens, stride, size, crc = struct.unpack_from("<5I", raw)
+    docs, _, stride, size, crc = struct.unpack_from("<5I", raw)
     at = 20
     ids = np.frombuffer(raw, "<i8", docs, at)
     flags = np.frombuffer(raw, np.uint8, docs, at := at + 8 * docs)
-    counts = np.frombuffer(raw, "<u4", docs, at := at + docs)
-    marks = np.frombuffer(raw, "<u4", -(-tokens // stride), at := at + 4 * docs)
+    counts = np.frombuffer(raw, "<u4", docs, at := at + docs).astype(np.int64)
+    strides = -(-counts // STRIDE)
+    marks = np.frombuffer(raw, "<u4", int(strides.sum()), at := at + 4 * docs)
     payload = raw[at + 4 * len(marks) :]
     if len(payload) != size or zlib.crc32(payload) != crc or stride != STRIDE:
         raise ValueError("damaged block")
-    return ids, flags, counts.astype(np.int64), (payload, marks, tokens)
+    ends = np.cumsum(strides)
+    rank = np.arange(len(marks)) - np.repeat(ends - strides, strides)
+    todo = np.minimum(np.repeat(counts, strides) - STRIDE * rank, STRIDE)
+    return ids, flags, counts, (payload, marks, todo)
 
 
 def _lengths(f) -> np.ndarray:
@@ -235,22 +314,46 @@ def _lengths(f) -> np.ndarray:
 MANIFEST = "file string, part int, block int, offset long, size long, documents long, tokens long, before long"
 
 
-def count_ids(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool, text: str) -> np.ndarray:
+def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool, text: str, key: str) -> DataFrame:
+    """(k, ids) per row: ids of the whole text and the end id, as u16 or, for larger vocabularies, u32."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer, by_word)
+        kind = "<u2" if max(encoder.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        for batch in batches:
+            for a, texts in texts_of(batch.column(1)):
+                flat, n = _with_end(*encoder(texts), end_id)
+                ends, flat = np.cumsum(n), flat.astype(kind)
+                rows = [flat[e - c : e].tobytes() for e, c in zip(ends, n)]
+                wide = pa.array(np.full(len(rows), int(kind[-1]), np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(rows)), wide, blobs(rows)], ["k", "width", "ids"])
+
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), bytes_of(F.col(f"`{text}`")).alias("t"))
+    return rows.mapInArrow(encode, "k long, width int, ids binary")
+
+
+def _ids(batch: pa.RecordBatch, width: int, ids: int, most: int = 1 << 20):
+    """(first row, ids in a row, ids per row) of runs of rows."""
+    kinds = batch.column(width).to_numpy(zero_copy_only=False)
+    for a, rows in texts_of(batch.column(ids), most):
+        kind = f"<u{kinds[a]}"
+        yield a, np.frombuffer(b"".join(rows), kind), np.array([len(r) for r in rows], np.int64) // int(kinds[a])
+
+
+def count_ids(encoded: DataFrame) -> np.ndarray:
     """Global counts of ids. Tasks send one row per id that they saw; the driver gets one per id of the vocabulary."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = encoder_of(tokenizer, by_word), np.zeros(end_id + 1, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for _, texts in texts_of(batch.column(0)):
-                flat, _ = encoder(texts)
-                more = np.bincount(flat, minlength=len(total)).astype(np.int64)
+            for _, flat, _ in _ids(batch, 0, 1):
+                more = np.bincount(flat, minlength=len(total))
                 more[: len(total)] += total
                 total = more
-                total[end_id] += len(texts)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    rows = docs.select(bytes_of(F.col(f"`{text}`")).alias("t")).mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = encoded.select("width", "ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
     total[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return total
@@ -261,13 +364,24 @@ def write_corpus(
 ) -> DataFrame:
     """Encode all texts and write them in ascending key order below ``folder``; gives the manifest.
 
-    Two passes over the texts: counts, then range-partitioned by key and coded. Ids are not kept
-    between the passes, so the disk holds one shuffle of texts and the coded files. A task writes under
-    a name of its own; only files of tasks that succeeded are in the manifest. Null texts are empty,
-    null keys come first, rows of equal keys follow each other in order of their texts.
+    Texts are encoded once into a work table, from which ids are counted and coded; only coded bits
+    are shuffled, by ranges of the key. A task writes under a name of its own, and only files of tasks
+    that succeeded are in the manifest. Null texts are empty, null keys come first, rows of equal keys
+    follow each other in order of their bits.
     """
     spark = docs.sparkSession
-    lengths = code_lengths(count_ids(docs, tokenizer, end_id, by_word, text))
+    encode_texts(docs, tokenizer, end_id, by_word, text, key).write.option("compression", "zstd").parquet(f"{folder}/ids")
+    encoded = spark.read.schema("k long, width int, ids binary").parquet(f"{folder}/ids")
+    lengths = code_lengths(count_ids(encoded))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(lengths)
+        for batch in batches:
+            for a, flat, n in _ids(batch, 1, 2):
+                bits, marks = codec.encode(flat, n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, len(n)), pa.array(n, pa.int64()), blobs(bits), blobs(marks)], ["k", "n", "bits", "marks"]
+                )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as files
@@ -276,31 +390,26 @@ def write_corpus(
         part = TaskContext.get().partitionId()
         store, path = files.FileSystem.from_uri(folder)
         name, rows, out = f"ids-{part:06d}-{uuid.uuid4().hex}.tok", [], None
-        encoder = codec = None
-        ids, counts, flats, room, at, before = [], [], [], 0, 0, 0
+        ids, counts, bits, marks, room, at, before = [], [], [], [], 0, 0, 0
 
         def flush():
-            nonlocal ids, counts, flats, room, at, before
-            raw = _block(codec, ids, np.concatenate(counts), np.concatenate(flats))
+            nonlocal ids, counts, bits, marks, room, at, before
+            raw = _block(ids, counts, bits, marks)
             out.write(raw)
             rows.append((name, part, len(rows), at, len(raw), len(ids), room, before))
             at, before = at + len(raw), before + room
-            ids, counts, flats, room = [], [], [], 0
+            ids, counts, bits, marks, room = [], [], [], [], 0
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for a, texts in texts_of(batch.column(1)):
+            for k, n, b, m in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if out is None:
-                    encoder, codec = encoder_of(tokenizer, by_word), Codec(lengths)
                     out = store.open_output_stream(f"{path}/{name}")
                     packed = zlib.compress(lengths.tobytes())
                     head = MAGIC + struct.pack("<3I", end_id, len(lengths), len(packed)) + packed
                     out.write(head)
                     at = len(head)
-                flat, n = _with_end(*encoder(texts), end_id)
-                ids, room = ids + keys[a : a + len(texts)], room + len(flat)
-                counts.append(n)
-                flats.append(flat)
+                ids.append(k), counts.append(n), bits.append(b), marks.append(m)
+                room += n
                 if room >= BLOCK_TOKENS:
                     flush()
         if ids:
@@ -312,9 +421,10 @@ def write_corpus(
             columns = [x.split(" ") for x in MANIFEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*rows), columns)], [c for c, _ in columns])
 
-    ordered = docs.select(F.col(f"`{key}`").cast("long").alias("k"), bytes_of(F.col(f"`{text}`")).alias("t"))
-    ordered = ordered.repartitionByRange("k").sortWithinPartitions("k", "t")
+    coded = encoded.mapInArrow(code, "k long, n long, bits binary, marks binary")
+    ordered = coded.repartitionByRange("k").sortWithinPartitions("k", "n", "bits")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    discard(spark, folder, "ids")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
