@@ -196,32 +196,24 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     return lengths
 
 
-def canonical(lengths: np.ndarray) -> np.ndarray:
-    """Codes in order of (length, id); 0 where the length is 0."""
-    codes, code, last = np.zeros(len(lengths), np.uint32), 0, 0
-    order = np.lexsort((np.arange(len(lengths)), lengths))
-    for i in order[np.count_nonzero(lengths == 0) :]:
-        code <<= int(lengths[i]) - last
-        codes[i], last = code, int(lengths[i])
-        code += 1
-    return codes
-
-
 class Codec:
-    """Vectorised coder and table-driven decoder of one set of code lengths."""
+    """Vectorised coder and table-driven decoder of the canonical codes of one set of code lengths.
+
+    Codes follow each other in order of (length, id), so their starts in the table of all ``width``-bit
+    strings are running sums.
+    """
 
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths
         self.width = max(1, int(lengths.max(initial=1)))
-        codes = canonical(lengths).astype(np.int64)
-        size = lengths.astype(np.int64)
-        self.left = (codes << (32 - size)).astype(">u4")
-        self.symbol = np.zeros(1 << self.width, np.uint32)
-        self.step = np.zeros(1 << self.width, np.uint8)
-        for i in np.flatnonzero(lengths):
-            a = int(codes[i]) << (self.width - int(size[i]))
-            self.symbol[a : a + (1 << (self.width - int(size[i])))] = i
-            self.step[a : a + (1 << (self.width - int(size[i])))] = size[i]
+        order = np.lexsort((np.arange(len(lengths)), lengths))[np.count_nonzero(lengths == 0) :]
+        size = lengths[order].astype(np.int64)
+        room = 1 << (self.width - size)
+        self.cell = 2 if self.width <= 16 else 4  # bytes that a code is written from
+        self.left = np.zeros(len(lengths), f">u{self.cell}")
+        self.left[order] = (np.cumsum(room) - room) << (8 * self.cell - self.width)
+        self.symbol, self.step = np.zeros(1 << self.width, np.uint32), np.ones(1 << self.width, np.uint8)
+        self.symbol[: room.sum()], self.step[: room.sum()] = np.repeat(order, room), np.repeat(size, room)
 
     def encode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         """Per document its bits, filled up to whole bytes, and the bit offsets of every STRIDE-th id (u32)."""
@@ -232,8 +224,8 @@ class Codec:
         size = np.insert(size, ends, -total % 8)  # the fill after each document
         parts, rest = [], np.zeros(0, np.uint8)
         for a in range(0, len(size), 1 << 15):
-            bits = np.unpackbits(left[a : a + (1 << 15)].view(np.uint8).reshape(-1, 4), axis=1)
-            bits = np.concatenate([rest, bits[np.arange(32) < size[a : a + (1 << 15), None]]])
+            bits = np.unpackbits(left[a : a + (1 << 15)].view(np.uint8).reshape(-1, self.cell), axis=1)
+            bits = np.concatenate([rest, bits[np.arange(8 * self.cell) < size[a : a + (1 << 15), None]]])
             whole = len(bits) // 8 * 8
             parts.append(np.packbits(bits[:whole]).tobytes())
             rest = bits[whole:]
