@@ -9,8 +9,9 @@ for registers that agree by chance, and are then compared on their full sets.
 How hot groups are kept small:
 
 * Equal sets are one class from the start; only the smallest id of a class goes on.
-* Classes that share a band key are not paired with each other at first but with one member of the
-  key each (two star turns, smallest and largest id); the verified links are contracted.
+* Classes that share a band key are not paired with each other at first. In each of ``TURNS`` star turns
+  a key names one of its members as hub, and a class is compared with the hub of another component that
+  its sketch bits are closest to. Confirmed links are contracted, and keys within one component are done.
 * Only pairs of classes that share a key and still lie in different components are compared after that,
   filtered inside the join by set sizes and 128 bits of the sketch. This is the step that loses no link:
   pairs that it leaves out are linked through their component already, differ too much in size, or
@@ -35,6 +36,7 @@ ROWS = 6
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 SIGMA = 5.0
+TURNS = 4
 
 #: Which bucket an empty bucket borrows from: the filled one of lowest rank in its row.
 RANK = np.random.default_rng(20240229).random((REGISTERS, REGISTERS)).argsort(axis=1).argsort(axis=1).astype(np.uint16)
@@ -199,43 +201,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     reps = keep(sets.join(classes, ["node", "f0", "f1"]).select("node", "n", "sketch").dropDuplicates(["node"]), folder, "reps")
 
     keys = band_keys(reps)
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    bands = keep(keys.join(shared, "key"), folder, "bands")
-    nodes = bands.select("node").distinct()
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    rows = keys.join(shared, "key").join(sketch_bits(reps, share), "node").withColumn("c", F.col("node"))
+    rows = keep(rows, folder, "sides-0")
     texts = keep(
-        docs.select(F.col("doc_id").alias("node"), bytes_of(F.col("text")).alias("t")).join(nodes, "node", "left_semi").dropDuplicates(["node"]),
+        docs.select(F.col("doc_id").alias("node"), bytes_of(F.col("text")).alias("t"))
+        .join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]),
         folder, "texts",
     )
-
+    differ = lambda o: F.bit_count(F.col("s0").bitwiseXOR(o("s0"))) + F.bit_count(F.col("s1").bitwiseXOR(o("s1")))
     links, comp = None, None
-    for turn in ("low", "high"):
-        rows = bands.select("node", F.col(turn).alias("hub")).filter("node <> hub")
-        if comp is not None:  # only what is not linked yet
-            hubs = comp.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
-            rows = rows.join(comp, "node", "left").join(hubs, "hub", "left")
-            rows = rows.filter("coalesce(component, node) <> coalesce(hc, hub)").select("node", "hub")
-        votes = rows.groupBy("node", "hub").agg(F.count("*").alias("v"))
-        best = votes.groupBy("node").agg(F.max(F.struct("v", (-F.col("hub")).alias("h"))).alias("x"))
-        pairs = best.select(F.col("node").alias("a"), (-F.col("x.h")).alias("b"))
+    for turn in range(TURNS):
+        order = F.xxhash64("node", F.lit(turn)).alias("o")
+        hubs = rows.groupBy("key").agg(F.min(F.struct(order, "node", "c", "s0", "s1")).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+        met = rows.join(hubs.filter("c0 < c1").select("key", "hub"), "key").filter("c <> hub.c")
+        met = met.withColumn("d", differ(lambda x: F.col(f"hub.{x}"))).filter("d <= most")
+        best = met.groupBy("node").agg(F.min(F.struct("d", "hub.node")).alias("x"))
+        pairs = best.select(F.col("node").alias("a"), F.col("x.node").alias("b"))
         found = keep(_confirmed(_plausible(pairs, reps, share), texts, size, num, den), folder, f"links-{turn}")
         links = found if links is None else links.union(found)
         comp = keep(components(links, folder, f"star-{turn}"), folder, f"comp-{turn}")
+        rows = rows.drop("c").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
+        rows = keep(rows.join(mixed, "key", "left_semi"), folder, f"sides-{turn + 1}")
 
-    bits = sketch_bits(reps, share)
-    sides = keep(
-        bands.select("key", "node").join(bits, "node").join(comp, "node", "left")
-        .select("key", "node", "n", "s0", "s1", "most", F.coalesce("component", "node").alias("c")),
-        folder, "sides",
-    )
-    mixed = sides.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-    left = sides.join(mixed, "key", "left_semi")
-    right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "s0", "s1", "most", "c")])
-    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_")))
+    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "s0", "s1", "most", "c")])
     rest = (
-        left.join(right, "key")
+        rows.join(other, "key")
         .filter((F.col("node") < F.col("node_")) & (F.col("c") != F.col("c_")))
         .filter((den * F.col("n") >= num * F.col("n_")) & (den * F.col("n_") >= num * F.col("n")))
-        .filter(differ <= F.greatest("most", "most_"))
+        .filter(differ(lambda x: F.col(f"{x}_")) <= F.greatest("most", "most_"))
         .select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
     )
     found = keep(_confirmed(_plausible(rest, reps, share), texts, size, num, den), folder, "links-rest")
