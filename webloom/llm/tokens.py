@@ -313,7 +313,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool, te
         encoder = encoder_of(tokenizer, by_word)
         kind = "<u2" if max(encoder.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
-            for a, texts in texts_of(batch.column(1)):
+            for a, texts in texts_of(batch.column(1), 4 << 20):
                 flat, n = _with_end(*encoder(texts), end_id)
                 ends, flat = np.cumsum(n), flat.astype(kind)
                 rows = [flat[e - c : e].tobytes() for e, c in zip(ends, n)]
