@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registered():
     """(queries, oracle SQL)."""
-    from webloom.llm import op1, op2, op6, op7, registry  # noqa: F401
+    from webloom.llm import op1, op2, op4, op6, op7, op9, registry  # noqa: F401
 
     return dict(registry.QUERIES), dict(registry.ORACLES)
