@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     differ = lambda o: F.bit_count(F.col("s0").bitwiseXOR(o("s0"))) + F.bit_count(F.col("s1").bitwiseXOR(o("s1")))
     links, comp = None, None
     for turn in range(TURNS):
-        order = F.xxhash64("node", F.lit(turn)).alias("o")
+        order = F.xxhash64("node", "key", F.lit(turn)).alias("o")  # another member for each key
         hubs = rows.groupBy("key").agg(F.min(F.struct(order, "node", "c", "s0", "s1")).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1"))
         met = rows.join(hubs.filter("c0 < c1").select("key", "hub"), "key").filter("c <> hub.c")
         met = met.withColumn("d", differ(lambda x: F.col(f"hub.{x}"))).filter("d <= most")
