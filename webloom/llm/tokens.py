@@ -14,6 +14,7 @@ Each document begins at a whole byte and has checkpoints of its own, one per ``S
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -67,6 +68,7 @@ class Encoder:
     def __init__(self, path: str, by_word: bool):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
         self.tok, self.by_word = Tokenizer.from_file(path), by_word
         if by_word:
             self.lean = Tokenizer.from_file(path)
