@@ -25,7 +25,7 @@ from webloom.llm.common import WordHashes, bytes_of, mix, shingles, texts_of
 
 RADIUS = 12
 BLOCK = 20_000
-WEIGHTS = (np.uint64(1) << np.arange(64, dtype=np.uint64))
+SMALL = 1 << 20
 
 
 def _signs(words: np.ndarray) -> np.ndarray:
@@ -34,7 +34,7 @@ def _signs(words: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0) * WEIGHTS).sum(axis=1, dtype=np.uint64)
+    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def simhash(words: np.ndarray) -> np.uint64:
@@ -60,6 +60,9 @@ class Index:
         self.anchors = np.array(sorted({h for c in self.weights for h in c}), np.uint64)
         self.short = sorted({n for n in lengths if n < size})
         self.edges = np.linspace(0, 64, radius + 2).astype(int)
+        self.masks = [np.uint64(((1 << int(b - a)) - 1) << int(a)) for a, b in zip(self.edges, self.edges[1:])]
+        self.sizes = np.unique(self.lengths).tolist()
+        self.sized = {n: np.flatnonzero(self.lengths == n) for n in self.sizes}
         self.blocks = []
         for a, b in zip(self.edges, self.edges[1:]):
             table: dict[tuple[int, int], list[int]] = {}
@@ -73,6 +76,12 @@ class Index:
 
     def within(self, length: int, prints: np.ndarray) -> list[tuple[int, int, int]]:
         """(window, item, distance) of all items of this length within the radius."""
+        items = self.sized[length]
+        if len(items) * len(prints) <= SMALL:  # few items of this length: all blocks side by side
+            x = prints[:, None] ^ self.prints[items][None, :]
+            agree = np.logical_or.reduce([(x & m) == 0 for m in self.masks])
+            at, k = np.nonzero(agree & (np.bitwise_count(x) <= self.radius))
+            return list(zip(at.tolist(), items[k].tolist(), np.bitwise_count(x[at, k]).tolist()))
         found = set()
         for table, a, b in zip(self.blocks, self.edges, self.edges[1:]):
             for at, v in enumerate(self._bits(prints, a, b).tolist()):
@@ -94,7 +103,7 @@ class Index:
                 at = np.searchsorted(self.anchors, h).clip(max=len(self.anchors) - 1)
                 starts[n] = np.flatnonzero(self.anchors[at] == h)
         total, found = None, []
-        for length in np.unique(self.lengths).tolist():
+        for length in self.sizes:
             marks = starts.get(min(length, self.size))
             if marks is None or not len(marks) or length > len(words):
                 continue
