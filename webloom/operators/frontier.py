@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from webloom.functions.urls import canonical_url
 from webloom.session import cut_lineage
 
-MAX_DEPTH = 20
-
 
 def link_graph(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Links with the crawled page they lead to, NULL when it was not crawled.
@@ -27,12 +25,12 @@ def expand_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataF
 
     ``seeds``: task_id, url; ``edges``: src, dst. One round per depth: the frontier meets the edges,
     targets are made distinct, what was seen falls away. Each round is written to the checkpoint
-    folder, so a lost executor does not replay earlier rounds. At least one round is run.
+    folder, so a lost executor does not replay earlier rounds. Rounds end with an empty frontier or after
+    ``max_depth``, which has no upper limit; at least one round is run.
     """
-    depth = min(max(max_depth, 1), MAX_DEPTH)
     frontier = cut_lineage(seeds.select("task_id", "url").distinct().withColumn("depth", F.lit(0)))
     rounds = [frontier]
-    for d in range(1, depth + 1):
+    for d in range(1, max(max_depth, 1) + 1):
         # Distinct before the anti join: a hub's repeated targets are merged in the map tasks.
         found = (
             frontier.select("task_id", F.col("url").alias("src"))

@@ -523,7 +523,7 @@ def normalize_text(t):
     "f7_parse_price",
     """SELECT l_orderkey, l_linenumber, l_extendedprice,
               CASE l_linenumber WHEN 5 THEN 'v' ELSE 'p' END AS form,
-              CASE WHEN l_linenumber = 4 THEN '1' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5' END AS amount,
+              CASE WHEN l_linenumber = 4 THEN '1' ELSE CASE WHEN l_linenumber > 4 THEN '.' ELSE '' END || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5' END AS amount,
               CASE l_linenumber WHEN 1 THEN 'CNY' WHEN 2 THEN 'USD' WHEN 3 THEN 'EUR' WHEN 4 THEN 'GBP' ELSE '' END
                   AS currency
        FROM lineitem""",
@@ -538,12 +538,10 @@ def parse_price(t):
         .when(line == 4, F.lit("£1,299"))
         .otherwise(F.concat(F.lit("ca. "), n, F.lit(" pcs")))
     )
-    amount = text.price_amount(raw)
-    clean = F.when(line > 4, F.regexp_replace(amount, r"^\.", "")).otherwise(amount)
     return t.lineitem.select(
         "l_orderkey", "l_linenumber", "l_extendedprice",
         F.when(line == 5, "v").otherwise("p").alias("form"),
-        clean.alias("amount"),
+        text.price_amount(raw).alias("amount"),
         text.price_currency(raw).alias("currency"),
     )
 
