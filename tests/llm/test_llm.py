@@ -60,6 +60,36 @@ def test_near_duplicates_match_brute_force(docs, k):
     assert got == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+def test_marks_rule_out_no_link_and_most_near_misses():
+    rng, kept = np.random.default_rng(3), {True: 0, False: 0}
+    for n in (3, 40, 300, 5000):
+        for share in rng.uniform(0.6, 1.0, 60):
+            whole = np.unique(rng.integers(0, 2**63, 2 * n).astype(np.uint64))
+            cut = int(n * 2 * share / (1 + share))
+            a, b = np.sort(whole[:n]), np.sort(whole[n - cut : 2 * n - cut])
+            both = len(np.intersect1d(a, b))
+            apart = int(np.bitwise_count((neardup.marks(a) ^ neardup.marks(b)).view(np.uint64)).sum())
+            passed = 180 * apart <= 20 * (len(a) + len(b))
+            link = 100 * both >= 80 * (len(a) + len(b) - both)
+            assert passed or not link
+            if n in (40, 300) and share < 0.7:
+                kept[passed] += 1
+    assert kept[True] <= 0.1 * kept[False]
+
+
+def test_group_of_near_copies_around_the_threshold(spark):
+    rng, base = np.random.default_rng(8), prose(40, 100)
+    texts = {i: edited(base, rng.choice(100, int(rng.integers(0, 9)), replace=False).tolist()).replace("edited", f"e{i}") for i in range(150)}
+    sets, comp = {i: shingle_set(t, 4) for i, t in texts.items()}, {i: i for i in texts}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    found = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size=4)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == comp
+    assert 5 < len(set(comp.values())) < 150
+
+
 def test_hyperminhash_estimate():
     rng = np.random.default_rng(0)
     for n in (300, 3000):

@@ -13,9 +13,13 @@ How hot groups are kept small:
   a key names one of its members as hub, and a class is compared with the hub of another component that
   its sketch bits are closest to. Confirmed links are contracted, and keys within one component are done.
 * Only pairs of classes that share a key and still lie in different components are compared after that,
-  filtered inside the join by set sizes and 128 bits of the sketch. This is the step that loses no link:
-  pairs that it leaves out are linked through their component already, differ too much in size, or
-  differ in so many sketch bits that five standard deviations speak against the threshold.
+  filtered inside the join by set sizes, by the marks of their sets and by 128 bits of the sketch. This is
+  the step that loses no link: pairs that it leaves out are linked through their component already, differ
+  too much in size or in marks, or differ in so many sketch bits that five standard deviations speak
+  against the threshold.
+* Marks are ``MARKS`` bits, one set by each hash. Sets differ in at least as many hashes as their marks in
+  bits, so for sets of up to some thousand shingles they rule out most pairs just below the threshold, and
+  never a link; marks of longer sets fill up and rule out less.
 
 At Jaccard 0.8 a pair shares none of the 42 keys with probability 3e-6.
 """
@@ -37,6 +41,7 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 SIGMA = 5.0
 TURNS = 4
+MARKS = 2048
 
 #: Which bucket an empty bucket borrows from: the filled one of lowest rank in its row.
 RANK = np.random.default_rng(20240229).random((REGISTERS, REGISTERS)).argsort(axis=1).argsort(axis=1).astype(np.uint16)
@@ -60,6 +65,13 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """MARKS bits, those that the hashes of a set name, as 64-bit words."""
+    bits = np.zeros(MARKS, np.uint8)
+    bits[(hashes & np.uint64(MARKS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def chance_agreement(n: np.ndarray) -> np.ndarray:
     """Probability that two different minima share a register, for sets of n hashes each (by powers of two)."""
     load = np.maximum(1.0, 2.0 ** np.arange(0, 64) / REGISTERS)[:, None]
@@ -82,7 +94,7 @@ def _slack(n: np.ndarray, share: float, trials: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, share: float, text: str, key: str) -> DataFrame:
-    """(doc_id, n, f0, f1, sketch): set size, 128-bit fingerprint of the set, registers; null if the set is empty."""
+    """(doc_id, n, f0, f1, sketch, marks): set size, 128-bit fingerprint of the set, registers (null if it is empty), marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -90,20 +102,24 @@ def sketches(docs: DataFrame, size: int, share: float, text: str, key: str) -> D
         words = WordHashes()
         for batch in batches:
             for a, texts in texts_of(batch.column(1)):
-                n, prints, rows = [], [], []
+                n, prints, rows, marked = [], [], [], []
                 for t in texts:
                     hashes = np.unique(shingles(words.of(t), size))
                     n.append(len(hashes))
                     prints.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     rows.append(registers(hashes).tobytes() if len(hashes) else None)
+                    marked.append(marks(hashes))
                 f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(n)), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), blobs(rows)],
-                    ["doc_id", "n", "f0", "f1", "sketch"],
-                )
+                    [
+                        batch.column(0).slice(a, len(n)), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), blobs(rows),
+                        list_column(np.concatenate(marked), np.full(len(n), MARKS // 64), pa.int64()),
+                    ],
+                    ["doc_id", "n", "f0", "f1", "sketch", "marks"],
+                )
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), bytes_of(F.col(f"`{text}`")).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n long, f0 long, f1 long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, n long, f0 long, f1 long, sketch binary, marks array<long>")
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
@@ -197,8 +213,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     made = keep(sketches(docs, size, share, "text", "doc_id"), folder, "sketches")
     class_of = made.filter("n > 0").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"))
     classes = keep(class_of, folder, "classes")
-    sets = made.filter("n > 0").select(F.col("doc_id").alias("node"), "f0", "f1", "n", "sketch")
-    reps = keep(sets.join(classes, ["node", "f0", "f1"]).select("node", "n", "sketch").dropDuplicates(["node"]), folder, "reps")
+    sets = made.filter("n > 0").select(F.col("doc_id").alias("node"), "f0", "f1", "n", "sketch", "marks")
+    reps = keep(sets.join(classes, ["node", "f0", "f1"]).select("node", "n", "sketch", "marks").dropDuplicates(["node"]), folder, "reps")
 
     keys = band_keys(reps)
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
@@ -225,12 +241,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
         rows = keep(rows.join(mixed, "key", "left_semi"), folder, f"sides-{turn + 1}")
 
-    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "s0", "s1", "most", "c")])
+    rows = rows.join(reps.select("node", "marks"), "node")
+    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "s0", "s1", "most", "c", "marks")])
+    apart = sum(F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("marks_")[i])) for i in range(MARKS // 64))
     rest = (
         rows.join(other, "key")
         .filter((F.col("node") < F.col("node_")) & (F.col("c") != F.col("c_")))
         .filter((den * F.col("n") >= num * F.col("n_")) & (den * F.col("n_") >= num * F.col("n")))
         .filter(differ(lambda x: F.col(f"{x}_")) <= F.greatest("most", "most_"))
+        .filter((den + num) * apart <= (den - num) * (F.col("n") + F.col("n_")))
         .select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
     )
     found = keep(_confirmed(_plausible(rest, reps, share), texts, size, num, den), folder, "links-rest")
