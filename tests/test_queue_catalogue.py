@@ -20,9 +20,11 @@ def jobs(spark):
 
 def test_order_and_take(jobs):
     ready = jobs.filter("lease_expiry IS NULL")
-    assert [r.id for r in queue.in_job_order(ready).collect()] == ["d", "c", "b", "a"]
+    assert [r.id for r in queue.in_job_order(ready).collect()] == ["c", "d", "b", "a"]
+    even = ready.withColumn("priority", F.lit(0))  # without a priority the attempt decides
+    assert [r.id for r in queue.in_job_order(even).collect()] == ["a", "d", "c", "b"]
     taken = queue.take_next(ready, 2, "w", 1000, ttl_s=5).collect()
-    assert {(r.id, r.lease_expiry, r.owner) for r in taken} == {("d", 1005, "w"), ("c", 1005, "w")}
+    assert {(r.id, r.lease_expiry, r.owner) for r in taken} == {("c", 1005, "w"), ("d", 1005, "w")}
     assert queue.take_next(ready, 1, "w", 1000, ttl_s=99).first().lease_expiry == 1030
     assert queue.take_next(ready.limit(0), 3, "w", 1).count() == 0
 

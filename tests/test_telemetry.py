@@ -63,8 +63,16 @@ def test_rows_without_key_are_kept(spark):
     df = df.withColumn("us", F.col("fetch_id") * S)
     assert tel.proxy_runs(df, 1).count() == 3
     chunk = ordered.time_chunk(F.col("us"), 1)
-    assert ordered.previous_row(df, ["proxy_url"], ["us"], {"p": "status"}, chunk).count() == 3
-    assert ordered.running_count(df, ["proxy_url"], ["us"], "i", chunk).count() == 3
+    before = ordered.previous_row(df, ["proxy_url"], ["us"], {"p": "status"}, chunk)
+    assert {r.fetch_id: r.p for r in before.collect()} == {1: None, 2: None, 3: 200}
+    assert {r.fetch_id: r.i for r in ordered.running_count(df, ["proxy_url"], ["us"], "i", chunk).collect()} == {1: 1, 2: 1, 3: 2}
+
+
+def test_fetches_without_domain_belong_to_default(log):
+    blank = log.withColumn("domain", F.when(F.col("fetch_id") % 4 == 0, "").when(F.col("fetch_id") % 4 > 1, F.col("domain")))
+    named = blank.withColumn("domain", F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit("default")))
+    got, want = ({(r.domain, r.fetch_id, r.qps) for r in tel.adaptive_trace(x).collect()} for x in (blank, named))
+    assert got == want and len(got) == log.count() and any(d == "default" for d, _, _ in got)
 
 
 def test_chunk_length_follows_the_busiest_key(log):

@@ -83,9 +83,9 @@ def normalize_field(f: Column) -> Column:
 def field_problem(f: Column) -> Column:
     """Why a normalised field cannot be used; '' when it can."""
     return (
-        F.when(f["name"] == "", "field name required")
-        .when(f["expr"] == "", "field expr required")
-        .when(~f["kind"].isin(*KINDS), "field kind must be xpath|css|regex")
+        F.when(f["name"] == "", "field without a name")
+        .when(f["expr"] == "", "field without an expression")
+        .when(~f["kind"].isin(*KINDS), "unknown kind of field")
         .otherwise("")
     )
 
@@ -102,18 +102,18 @@ def rule_problems(fields: Column | None = None) -> Column:
         F.transform(
             F.transform(fields, normalize_field),
             lambda f, i: F.when(
-                field_problem(f) != "", F.concat(F.lit("fields["), i.cast("string"), F.lit("]: "), field_problem(f))
+                field_problem(f) != "", F.concat(F.lit("at "), i.cast("string"), F.lit(": "), field_problem(f))
             ),
         ),
         lambda e: e.isNotNull(),
     )
     head = F.array_compact(
         F.array(
-            F.when(trim_space(F.col("name")) == "", "name required"),
-            F.when(trim_space(F.col("start_url")) == "", "start_url required"),
+            F.when(trim_space(F.col("name")) == "", "no name"),
+            F.when(trim_space(F.col("start_url")) == "", "no start address"),
         )
     )
-    return F.concat(head, per_field, F.array_compact(F.array(F.when(F.col("qps") <= 0, "qps must be > 0"))))
+    return F.concat(head, per_field, F.array_compact(F.array(F.when(F.col("qps") <= 0, "rate is not positive"))))
 
 
 def apply_patches(rules: DataFrame, patches: DataFrame) -> DataFrame:
@@ -160,9 +160,9 @@ def normalize_task(tasks: DataFrame) -> DataFrame:
 def task_problem() -> Column:
     """First failed check of a normalised task row, '' when it passes (P10)."""
     return (
-        F.when(F.col("name") == "", "name required")
-        .when(F.coalesce(F.col("rule_id"), F.lit(0)) <= 0, "rule_id required")
-        .when(F.size("seed_urls") == 0, "seed_urls required")
+        F.when(F.col("name") == "", "no name")
+        .when(F.coalesce(F.col("rule_id"), F.lit(0)) <= 0, "no rule chosen")
+        .when(F.size("seed_urls") == 0, "no seeds")
         .otherwise("")
     )
 

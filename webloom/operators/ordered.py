@@ -37,9 +37,10 @@ def _over_chunks(keys: list[str]):
 
 
 def _attach(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the summary of their chunk. The rows already lie by (key, chunk) and are not moved
-    again; a row without key is kept and simply has no chunk before it."""
-    return rows.join(summary, [*keys, CHUNK], "left")
+    """Rows with the summary of their chunk; NULL is a key like any other."""
+    side = summary.withColumnsRenamed({c: f"_of_{c}" for c in (*keys, CHUNK)})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    return rows.join(side, [*same, F.col(CHUNK) == F.col(f"_of_{CHUNK}")], "left").drop(*[f"_of_{c}" for c in (*keys, CHUNK)])
 
 
 def trailing_sums(

@@ -12,8 +12,13 @@ CHILD_PRIORITY = 5
 
 
 def job_order() -> list[Column]:
-    """Highest priority, then oldest, then fewest attempts, then id."""
-    return [F.desc("priority"), F.asc("enqueued_at"), F.asc("attempt"), F.asc("id")]
+    """By a score of priority, time and attempt, then id.
+
+    The score is a DOUBLE: beside a priority it has no room for thousandths, so attempts then leave the
+    order to the id; only at priority 0 do they count.
+    """
+    score = -F.col("priority").cast("double") * F.lit(1e13) + F.col("enqueued_at").cast("double") + F.col("attempt") * F.lit(1e-3)
+    return [score.asc(), F.asc("id")]
 
 
 def in_job_order(jobs: DataFrame) -> DataFrame:

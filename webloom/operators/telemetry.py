@@ -124,7 +124,9 @@ def adaptive_trace(log: DataFrame, width_us: int = 30 * SECOND, chunk_seconds: i
     A step maps the rate x to min(base, max(0.2, x * factor)). Such steps compose to the same shape
     min(hi, max(lo, x * m)), so each time chunk is reduced to three numbers, the chunks of a domain
     are chained, and the chunks are then replayed in parallel from their own start value.
+    Fetches without a domain belong to the domain ``default``.
     """
+    log = log.withColumn("domain", F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit("default")))
     base = F.when(F.col("base_qps") > 0, F.col("base_qps")).otherwise(F.lit(2.0))
     steps = (
         block_trace(log, width_us)

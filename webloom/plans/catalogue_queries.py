@@ -248,12 +248,12 @@ def usable_fields(t):
 
 @query(
     "p9_rule_problems",
-    """SELECT p_partkey AS id, concat_ws(';', CASE WHEN p_partkey % 11 = 0 THEN 'name required' END,
-              CASE WHEN p_partkey % 13 = 0 THEN 'start_url required' END,
-              CASE WHEN p_partkey % 3 = 0 THEN 'fields[1]: field name required'
-                   WHEN p_partkey % 7 = 0 THEN 'fields[1]: field expr required'
-                   WHEN p_partkey % 5 = 0 THEN 'fields[1]: field kind must be xpath|css|regex' END,
-              CASE WHEN p_size <= 5 THEN 'qps must be > 0' END) AS problems FROM part""",
+    """SELECT p_partkey AS id, concat_ws(';', CASE WHEN p_partkey % 11 = 0 THEN 'no name' END,
+              CASE WHEN p_partkey % 13 = 0 THEN 'no start address' END,
+              CASE WHEN p_partkey % 3 = 0 THEN 'at 1: field without a name'
+                   WHEN p_partkey % 7 = 0 THEN 'at 1: field without an expression'
+                   WHEN p_partkey % 5 = 0 THEN 'at 1: unknown kind of field' END,
+              CASE WHEN p_size <= 5 THEN 'rate is not positive' END) AS problems FROM part""",
 )
 def rule_problems(t):
     k = F.col("p_partkey")
@@ -274,7 +274,7 @@ def rule_problems(t):
               CASE WHEN c_custkey % 6 = 0 THEN ''
                    WHEN c_mktsegment = 'BUILDING' THEN 'http://BUILDING,b'
                    ELSE 'http://' || c_mktsegment || ',b' END AS seeds,
-              CASE WHEN c_nationkey = 0 THEN 'rule_id required' WHEN c_custkey % 6 = 0 THEN 'seed_urls required'
+              CASE WHEN c_nationkey = 0 THEN 'no rule chosen' WHEN c_custkey % 6 = 0 THEN 'no seeds'
                    ELSE '' END AS problem
        FROM customer""",
 )
