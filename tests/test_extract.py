@@ -123,13 +123,14 @@ def test_rules_as_data(spark, shop):
     assert len(by_rule) == 14
     assert len(by_rule[1, 7]) == 12 and by_rule[1, 7][0] == {"t": "SKU-1001"}
     assert by_rule[1, 8] == [{"h": "All lamps"}] and by_rule[5, 9] == []
-    moved = extract.RULES_BROADCAST_BYTES
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
     try:
-        extract.RULES_BROADCAST_BYTES = -1
+        spark.conf.set(threshold, "-1")
         again = extract.extract_by_rules(pages, rules, ["kind"])
         assert {(r.page_id, r.rule_id): r["items"] for r in again.collect()} == by_rule
     finally:
-        extract.RULES_BROADCAST_BYTES = moved
+        spark.conf.set(threshold, before)
 
 
 def test_results_are_appended_per_task(spark, shop, tmp_path):

@@ -89,11 +89,11 @@ def crawl_step(
     checked = check_robots(live, robots).withColumn(
         "robots_skip", F.coalesce(F.col("respect_robots") & ~F.col("allowed"), F.lit(False))
     )
-    # Only bodies of good replies travel to the join; pages stored bucketed by URL do not move at all.
-    # Bodies are never broadcast, and meeting them by URL spreads a hot task or rule before parsing.
+    # Only bodies of the batch's URLs and of good replies travel to the join: the semi join comes first, and
+    # Spark sends a small batch to the pages. Meeting bodies by URL spreads a hot task or rule before parsing.
     fine = F.col("status").isNotNull() & ~failed(F.col("status"))
     bodies = pages.select("url", "status", F.when(fine, F.col("html")).alias("html"))
-    fetched = checked.join(bodies.hint("merge"), "url", "left")
+    fetched = checked.join(bodies.join(jobs.select("url"), "url", "left_semi"), "url", "left")
     # A job whose rule is gone fails without a fetch, like one whose fetch got no reply.
     fetched = fetched.withColumn("status", F.when(F.col("plan").isNotNull(), F.col("status")))
     good = ~F.col("robots_skip") & F.coalesce(fine, F.lit(False))

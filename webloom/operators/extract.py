@@ -163,26 +163,18 @@ def preview(pages: DataFrame, item_selector: str, link_selector: str, fields: li
     return extract(with_dom(pages, html), rule_plan_lit(item_selector, link_selector, fields))
 
 
-RULES_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
 def extract_by_rules(pages: DataFrame, rules: DataFrame, on: list[str], with_html: bool = True) -> DataFrame:
     """Many rules over many pages in one pass (X9): the rule of a page is found by the key ``on``.
 
-    Rules known to be small are sent to the pages, which are parsed once and never move. Larger ones
-    meet the raw pages in a shuffle on the key (a hot key is split by the skew join), and pages are
-    parsed after it, so that page text is moved and not the several times larger elements.
+    Pages are parsed once, whatever the number of their rules. How the rules come to them is left to
+    Spark, which knows the measured size of the compiled rules; a hot key is split by the skew join.
     """
     plans = rules.select(
         *on,
         F.col("id").alias("rule_id"),
         rule_plan(F.col("item_selector"), F.col("link_selector"), F.col("fields")).alias("plan"),
     )
-    if estimated_bytes(rules) <= RULES_BROADCAST_BYTES:
-        joined = with_dom(pages, with_html).join(F.broadcast(plans), on)
-    else:
-        joined = with_dom(pages.join(plans, on), with_html)
-    return extract(joined, F.col("plan")).drop("plan")
+    return extract(with_dom(pages, with_html).join(plans, on), F.col("plan")).drop("plan")
 
 
 def result_rows(extracted: DataFrame, task_id: Column) -> DataFrame:
