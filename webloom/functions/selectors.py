@@ -18,14 +18,15 @@ from webloom.functions.urls import apply_sql, let
 
 STEP = (
     "struct<comb:string,tag:string,id:string,classes:array<string>,"
-    "attrs:array<struct<name:string,op:string,value:string>>,nth:array<struct<of:string,a:int,b:int>>>"
+    "attrs:array<struct<name:string,op:string,value:string>>,nth:array<struct<of:string,a:int,b:int>>,"
+    "barred:array<struct<kind:string,name:string,op:string,value:string>>>"
 )
 ALTERNATIVES = f"array<array<{STEP}>>"
 FIELD_PLAN = (
     f"struct<name:string,kind:string,attr:string,alts:{ALTERNATIVES},take:string,"
     "pattern:string,group:int,error:string>"
 )
-RULE_PLAN = f"struct<whole:boolean,items:{ALTERNATIVES},links:{ALTERNATIVES},fields:array<{FIELD_PLAN}>>"
+RULE_PLAN = f"struct<whole:boolean,items:{ALTERNATIVES},links:{ALTERNATIVES},fields:array<{FIELD_PLAN}>,error:string>"
 
 _CSS_PART = re.compile(
     r"""\s*(?P<comb>[>+~])\s*
@@ -35,11 +36,13 @@ _CSS_PART = re.compile(
     |\.(?P<cls>[\w-]+)
     |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*!]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]
     |:(?P<nth>nth-(?:last-)?(?:child|of-type))\(\s*(?P<expr>[^)]*?)\s*\)
-    |:(?P<pseudo>first-child|last-child|only-child|first-of-type|last-of-type|only-of-type)""",
+    |:not\((?P<barred>[^()]*)\)
+    |:(?P<pseudo>empty|first-child|last-child|only-child|first-of-type|last-of-type|only-of-type)""",
     re.X,
 )
 # Short pseudo classes as (which position, a, b) of a*n+b.
 _PSEUDO = {
+    "empty": [("size", 0, 0)],
     "first-child": [("child", 0, 1)],
     "last-child": [("last-child", 0, 1)],
     "only-child": [("child", 0, 1), ("last-child", 0, 1)],
@@ -50,7 +53,23 @@ _PSEUDO = {
 
 
 def _step(comb: str) -> dict:
-    return {"comb": comb, "tag": "", "id": "", "classes": [], "attrs": [], "nth": []}
+    return {"comb": comb, "tag": "", "id": "", "classes": [], "attrs": [], "nth": [], "barred": []}
+
+
+def _attr_test(m: re.Match) -> dict:
+    return {"name": m["attr"].lower(), "op": m["op"] or "", "value": m["dq"] or m["sq"] or m["bare"] or ""}
+
+
+def _barred(part: str, selector: str) -> dict:
+    """One simple selector (tag, id, class or attribute) inside :not()."""
+    m = _CSS_PART.fullmatch(part)
+    if m and m["attr"]:
+        return {"kind": "attr", **_attr_test(m)}
+    for group, kind in (("tag", "tag"), ("id", "id"), ("cls", "class")):
+        if m and m[group]:
+            value = m[group].lower() if kind == "tag" else m[group]
+            return {"kind": kind, "name": "", "op": "", "value": "" if value == "*" else value}
+    raise ValueError(f"unsupported :not(): {selector}")
 
 
 def _a_n_plus_b(expr: str) -> tuple[int, int]:
@@ -90,8 +109,9 @@ def read_css(selector: str) -> list[list[dict]]:
             elif m["cls"]:
                 step["classes"].append(m["cls"])
             elif m["attr"]:
-                value = m["dq"] or m["sq"] or m["bare"] or ""
-                step["attrs"].append({"name": m["attr"].lower(), "op": m["op"] or "", "value": value})
+                step["attrs"].append(_attr_test(m))
+            elif m["barred"] is not None:
+                step["barred"] += [_barred(part.strip(), selector) for part in _split_list(m["barred"])]
             elif m["nth"]:
                 a, b = _a_n_plus_b(m["expr"])
                 step["nth"].append({"of": m["nth"].removeprefix("nth-"), "a": a, "b": b})
@@ -105,7 +125,7 @@ def read_css(selector: str) -> list[list[dict]]:
 
 
 def _split_list(selector: str) -> list[str]:
-    return re.split(r""",(?=(?:[^"']|"[^"]*"|'[^']*')*$)""", selector)
+    return re.split(r""",(?=(?:[^"'()]|"[^"]*"|'[^']*'|\([^()]*\))*$)""", selector)
 
 
 _XP_STEP = re.compile(r"(?P<axis>//|/)?(?:(?P<text>text\(\))|@(?P<attr>[\w:-]+)|(?P<tag>\*|[A-Za-z_][\w-]*|\.))")
@@ -196,12 +216,14 @@ def read_regex(expr: str) -> tuple[str, int]:
 
 
 def plan_rule(item_selector: str, link_selector: str, fields: list[dict]) -> dict:
-    """One rule row as plain data; unreadable CSS matches nothing, other errors are kept per field."""
+    """One rule row as plain data; what cannot be read matches nothing and is kept as an error, per field or rule."""
+    errors: list[str] = []
 
     def css(selector: str) -> list[list[dict]]:
         try:
             return read_css(selector)
-        except ValueError:
+        except ValueError as e:
+            errors.append(str(e))
             return []
 
     plans: dict[str, dict] = {}
@@ -216,7 +238,7 @@ def plan_rule(item_selector: str, link_selector: str, fields: list[dict]) -> dic
         }
         try:
             if kind == "css":
-                plan["alts"] = css(expr)
+                plan["alts"] = read_css(expr)
             elif kind == "xpath":
                 plan["alts"], plan["take"] = read_xpath(expr)
             else:
@@ -231,6 +253,7 @@ def plan_rule(item_selector: str, link_selector: str, fields: list[dict]) -> dic
         "items": css(item) if item else [],
         "links": css(link) if link else [],
         "fields": list(plans.values()),
+        "error": "; ".join(errors),
     }
 
 
@@ -269,13 +292,15 @@ _ATTR_OK = """coalesce(CASE t.op
     WHEN '$=' THEN t.value != '' AND endswith(n.attrs[t.name], t.value)
     WHEN '*=' THEN t.value != '' AND contains(n.attrs[t.name], t.value)
     WHEN '|=' THEN n.attrs[t.name] = t.value OR startswith(n.attrs[t.name], concat(t.value, '-')) END, false)"""
-_NTH_AT = """CASE t.of WHEN 'child' THEN n.el_idx WHEN 'of-type' THEN n.type_idx
+_NTH_AT = """CASE t.of WHEN 'size' THEN n.end_pos - n.pos + n.t1 - n.t0 WHEN 'child' THEN n.el_idx WHEN 'of-type' THEN n.type_idx
     WHEN 'last-child' THEN n.n_el - n.el_idx + 1 ELSE n.n_type - n.type_idx + 1 END"""
 _NTH_OK = f"""CASE WHEN t.a = 0 THEN {_NTH_AT} = t.b
     ELSE ({_NTH_AT} - t.b) % t.a = 0 AND ({_NTH_AT} - t.b) * sign(t.a) >= 0 END"""
+_BARRED = f"""coalesce(CASE t.kind WHEN 'tag' THEN t.value = '' OR n.tag = t.value WHEN 'id' THEN n.id_attr = t.value
+    WHEN 'class' THEN array_contains(n.classes, t.value) ELSE {_ATTR_OK} END, false)"""
 _STEP_OK = f"""(st.tag = '' OR n.tag = st.tag) AND (st.id = '' OR n.id_attr = st.id)
     AND forall(st.classes, c -> array_contains(n.classes, c)) AND forall(st.attrs, t -> {_ATTR_OK})
-    AND forall(st.nth, t -> {_NTH_OK})"""
+    AND forall(st.nth, t -> {_NTH_OK}) AND NOT exists(st.barred, t -> {_BARRED})"""
 
 
 def _marked(marks: str, pos: str) -> str:

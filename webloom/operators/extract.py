@@ -148,9 +148,13 @@ def page_links(dom: Column, url: Column, alts: Column) -> Column:
 
 
 def extract(doms: DataFrame, plan: Column) -> DataFrame:
-    """Adds ``items`` and ``links`` to shredded pages; ``plan`` is a column or a literal rule."""
+    """Adds ``items``, ``links`` and ``rule_error`` to shredded pages; ``plan`` is a column or a literal rule.
+
+    ``rule_error`` names item and link selectors that could not be read ('' if all could).
+    """
     return (
         doms.withColumn("_plan", plan)
+        .withColumn("rule_error", F.col("_plan.error"))
         .withColumn("items", page_items(F.col("dom"), F.col("html"), F.col("_plan")))
         .withColumn("links", page_links(F.col("dom"), F.col("url"), F.col("_plan.links")))
         .drop("_plan")

@@ -19,6 +19,7 @@ MAX_CANDIDATES, MAX_SEGMENTS, MIN_SIBLINGS = 8, 8, 3
 COMBINED = ("name", "type", "role", "itemprop")
 _ATTRS = "array<struct<name:string,op:string,value:string>>"
 _NTH = "array<struct<of:string,a:int,b:int>>"
+_BARRED = "array<struct<kind:string,name:string,op:string,value:string>>"
 _CANDIDATE = f"struct<kind:string,expr:string,steps:array<{STEP}>>"
 
 
@@ -112,6 +113,7 @@ def _step(comb="", tag="", id_="", classes=None, attrs=None, nth=None) -> Column
         (classes if classes is not None else F.array().cast("array<string>")).alias("classes"),
         (attrs if attrs is not None else F.array().cast(_ATTRS)).alias("attrs"),
         (nth if nth is not None else F.array().cast(_NTH)).alias("nth"),
+        F.array().cast(_BARRED).alias("barred"),
     ).cast(STEP)
 
 
