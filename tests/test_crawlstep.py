@@ -6,36 +6,35 @@ from webloom.operators.telemetry import stats_map
 RULE = "array<struct<name:string,kind:string,expr:string,attr:string>>"
 
 
-def test_one_step_over_the_shop(spark, shop):
-    url = "http://shop.test/list.html"
+def test_one_step_over_the_library(spark, library):
+    url = "http://library.test/works/index.html"
     jobs = spark.createDataFrame(
-        [(1, 1, url, 0), (1, 1, "http://shop.test/products/p-1.html", 1), (1, 1, "http://shop.test/gone", 1),
-         (1, 1, "http://shop.test/products/p-2.html", 1), (1, 9, "http://shop.test/products/p-3.html", 1),
+        [(1, 1, url, 0), (1, 1, "http://library.test/works/w-1.html", 1), (1, 1, "http://library.test/gone", 1),
+         (1, 1, "http://library.test/works/w-2.html", 1), (1, 9, "http://library.test/works/w-3.html", 1),
          (2, 1, url, 0), (3, 2, url, 2)],
         "task_id bigint, rule_id bigint, url string, depth int",
     )
     tasks = spark.createDataFrame(
         [(1, "running", 1), (2, "paused", 5), (3, "running", 2)], "task_id bigint, status string, max_depth int"
     )
-    fields = [("title", "css", ".title", "")]
     rules = spark.createDataFrame(
-        [(1, ".product-card", "a.product-link", fields, True), (2, "", "a", [("h", "css", "h1", "")], False)],
+        [(1, ".work", "a.entry", [("study", "css", "cite", "")], True), (2, "", "a", [("h", "css", "h1", "")], False)],
         f"rule_id bigint, item_selector string, link_selector string, fields {RULE}, respect_robots boolean",
     )
-    robots = spark.createDataFrame([("shop.test", "User-agent: *\nDisallow: /products/p-2")], "host string, body string")
-    gone = F.col("url").endswith("p-1.html")
-    pages = shop.withColumn("status", F.when(gone, 404).otherwise(200))
+    robots = spark.createDataFrame([("library.test", "User-agent: *\nDisallow: /works/w-2")], "host string, body string")
+    gone = F.col("url").endswith("w-1.html")
+    pages = library.withColumn("status", F.when(gone, 404).otherwise(200))
     step = crawl_step(jobs, tasks, rules, pages, robots)
-    seen = spark.createDataFrame([(1, "http://shop.test/products/p-1.html")], "task_id bigint, url string")
+    seen = spark.createDataFrame([(1, "http://library.test/works/w-1.html")], "task_id bigint, url string")
     got = {r.task_id: r.asDict() for r in step.counters(seen).collect()}
     assert set(got) == {1, 3}
-    # Task 1: the list page gives 12 results and 12 links of which one is known; one 404, one URL
+    # Task 1: the list gives 9 results and 9 links of which one is known; one 404, one URL
     # without reply, one job without rule, one URL closed by robots.
-    assert got[1] == {"task_id": 1, "crawled": 2, "failed": 3, "results": 12, "robots_skip": 1, "enqueued": 11, "duplicated": 1}
+    assert got[1] == {"task_id": 1, "crawled": 2, "failed": 3, "results": 9, "robots_skip": 1, "enqueued": 8, "duplicated": 1}
     assert got[3] == {"task_id": 3, "crawled": 1, "failed": 0, "results": 1, "robots_skip": 0, "enqueued": 0, "duplicated": 0}
-    assert step.results.count() == 13
+    assert step.results.count() == 10
     assert {r.payload["_url"] for r in step.results.collect()} == {url}
     offers = step.offers.collect()
-    assert len(offers) == 12 and {(r.depth, r.priority) for r in offers} == {(1, 5)}
+    assert len(offers) == 9 and {(r.depth, r.priority) for r in offers} == {(1, 5)}
     stats = {r.task_id: r.stats for r in stats_map(step.counters(seen)).collect()}
     assert stats[3] == {"crawled": 1, "results": 1}

@@ -6,9 +6,9 @@ from webloom.operators import extract, induction
 from webloom.sources.tables import append_results
 
 FIELDS = [
-    {"name": "title", "kind": "css", "expr": ".title", "attr": "text"},
-    {"name": "price", "kind": "css", "expr": ".price", "attr": "text"},
-    {"name": "sku", "kind": "regex", "expr": r"SKU-(\d+)", "attr": "text"},
+    {"name": "study", "kind": "css", "expr": "cite", "attr": "text"},
+    {"name": "author", "kind": "css", "expr": ".who", "attr": "text"},
+    {"name": "year", "kind": "regex", "expr": r"(19\d\d)", "attr": "text"},
 ]
 
 
@@ -16,57 +16,58 @@ def items_of(pages, item, fields, links=""):
     return extract.preview(pages, item, links, fields).filter("page_id = 1").select("items", "links").first()
 
 
-def test_list_page(shop):
-    got = items_of(shop, ".product-card", FIELDS, "a.product-link")
-    assert len(got["items"]) == 12 and len(got["links"]) == 12
-    assert got["items"][2] == {"title": "Lamp 3", "price": "¥39", "sku": "1003"}
-    assert got["links"][0] == "http://shop.test/products/p-1.html"
+def test_items_and_links(library):
+    got = items_of(library, ".work", FIELDS, "a.entry")
+    assert len(got["items"]) == 9 and len(got["links"]) == 9
+    assert got["items"][2] == {"study": "Study 3", "author": "Author 3", "year": "1953"}
+    assert got["links"][0] == "http://library.test/works/w-1.html"
 
 
-def test_xpath_items(shop):
+def test_xpath_items(library):
     fields = [
-        {"name": "title", "kind": "xpath", "expr": ".//h2", "attr": "text"},
+        {"name": "study", "kind": "xpath", "expr": ".//cite", "attr": "text"},
         {"name": "href", "kind": "xpath", "expr": "./a/@href"},
-        {"name": "by_class", "kind": "xpath", "expr": "//div[contains(concat(' ', normalize-space(@class), ' '), ' sku ')]"},
-        {"name": "second", "kind": "xpath", "expr": "div[2]"},
-        {"name": "self", "kind": "xpath", "expr": "//article"},
+        {"name": "by_class", "kind": "xpath", "expr": "//span[contains(concat(' ', normalize-space(@class), ' '), ' year ')]"},
+        {"name": "second", "kind": "xpath", "expr": "span[2]"},
+        {"name": "self", "kind": "xpath", "expr": "//li"},
         {"name": "odd", "kind": "xpath", "expr": "count(//a)"},
     ]
-    items = items_of(shop, ".product-card", fields)["items"]
-    assert len(items) == 12
+    items = items_of(library, ".work", fields)["items"]
+    assert len(items) == 9
     first = items[0]
-    assert (first["title"], first["href"], first["by_class"], first["second"]) == (
-        "Lamp 1", "/products/p-1.html", "SKU-1001", "SKU-1001",
-    )
+    assert (first["study"], first["href"], first["by_class"], first["second"]) == ("Study 1", "/works/w-1.html", "1951", "1951")
     assert first["self"] == "" and first["odd"] == "" and "unsupported" in first["odd_error"]
 
 
-def test_values_by_attr(shop):
+def test_values_by_attr(library):
     fields = [
-        {"name": "item_class", "kind": "css", "expr": ".product-card", "attr": "class"},
-        {"name": "id", "kind": "css", "expr": "article", "attr": "id"},
-        {"name": "inner", "kind": "css", "expr": "p.desc", "attr": "html"},
+        {"name": "item_class", "kind": "css", "expr": ".work", "attr": "class"},
+        {"name": "id", "kind": "css", "expr": "li", "attr": "id"},
+        {"name": "inner", "kind": "css", "expr": "q", "attr": "html"},
         {"name": "no_title", "kind": "css", "expr": "a", "attr": "title"},
         {"name": "fallback", "kind": "css", "expr": "a", "attr": "data-none"},
         {"name": "miss", "kind": "css", "expr": ".none"},
-        {"name": "outside", "kind": "css", "expr": "main .title"},
-        {"name": "source", "kind": "regex", "expr": 'id="(p-[0-9]+)"', "attr": "html"},
+        {"name": "outside", "kind": "css", "expr": "ol cite"},
+        {"name": "source", "kind": "regex", "expr": 'id="(w-[0-9]+)"', "attr": "html"},
         {"name": "bad", "kind": "regex", "expr": "(", "attr": "text"},
         {"name": "look", "kind": "regex", "expr": "(?=a)", "attr": "text"},
+        {"name": "hover", "kind": "css", "expr": "a:hover"},
         {"name": " ", "kind": "css", "expr": "x"},
         {"name": "kind", "kind": "json", "expr": "x"},
     ]
-    item = items_of(shop, ".product-card", fields)["items"][1]
-    assert item["item_class"] == "product-card" and item["id"] == "p-2" and item["source"] == "p-2"
-    assert item["inner"] == "Warm light 2" and item["no_title"] == "" and item["fallback"] == "open"
-    assert item["miss"] == "" and item["outside"] == "" and item["bad"] == ""
-    assert "bad_error" in item and "look_error" in item and "kind" not in item
+    item = items_of(library, ".work", fields)["items"][1]
+    assert item["item_class"] == "work" and item["id"] == "w-2" and item["source"] == "w-2"
+    assert item["inner"] == "Notes on 2" and item["no_title"] == "" and item["fallback"] == "record"
+    assert item["miss"] == "" and item["outside"] == "" and item["bad"] == "" and item["hover"] == ""
+    assert "bad_error" in item and "look_error" in item and "hover_error" in item and "kind" not in item
 
 
-def test_whole_page_scope_and_no_fields(shop):
-    assert items_of(shop, "", [{"name": "h", "kind": "css", "expr": "main > h1"}])["items"] == [{"h": "All lamps"}]
-    assert items_of(shop, ".product-card", [])["items"] == []
-    assert items_of(shop, "a[[", FIELDS)["items"] == []
+def test_whole_page_scope_and_no_fields(library):
+    assert items_of(library, "", [{"name": "h", "kind": "css", "expr": "div > h1"}])["items"] == [{"h": "Reading list"}]
+    assert items_of(library, ".work", [])["items"] == []
+    broken = extract.preview(library, "a[[", "a:hover", FIELDS).first()
+    assert broken["items"] == [] and broken["links"] == [] and broken["rule_error"].count("unsupported") == 2
+    assert extract.preview(library, ".work", "", FIELDS).first()["rule_error"] == ""
 
 
 def matches(doms, selector):
@@ -74,19 +75,21 @@ def matches(doms, selector):
 
 
 @pytest.fixture(scope="module")
-def doms(shop):
-    return extract.with_dom(shop.filter("page_id = 1")).cache()
+def doms(library):
+    return extract.with_dom(library.filter("page_id = 1")).cache()
 
 
 @pytest.mark.parametrize(
     ("selector", "hits"),
     [
-        ("*", 83), ("article", 12), ("ARTICLE.product-card", 12), ("#p-3", 1), ("[id]", 12), ("[href^='/products']", 12),
-        ("[href$='.html']", 13), ("[class~=title]", 12), ("[id='p-1'], [id=\"p-2\"]", 2), ("main a", 12), ("main > a", 0),
-        ("section > article > a", 12), ("h2 + div", 12), ("h2 ~ div", 24), ("article:first-child", 1),
-        ("article:nth-child(2n+1)", 6), ("article:nth-child(-n+3)", 3), ("article:last-child h2", 1),
-        ("article div:nth-of-type(2)", 12), ("header a:not-supported", None), ("a.logo:only-of-type", 0),
-        ("article:nth-child(3) .price, h1", 2),
+        ("*", 65), ("cite", 9), ("LI.work", 9), ("#w-3", 1), ("[id]", 9), ("[href^='/works']", 9),
+        ("[href$='.html']", 9), ("[class~=who]", 9), ("[id='w-1'], [id=\"w-2\"]", 2), ("div a", 10), ("div > a", 0),
+        ("div > ol > li > a", 9), ("span + q", 9), ("cite ~ span", 18), ("li:first-child", 1),
+        ("li:nth-child(2n+1)", 5), ("li:nth-child(-n+3)", 3), ("li:last-child cite", 1),
+        ("li span:nth-of-type(2)", 9), ("p a:not-supported", None), ("p a:only-of-type", 1),
+        ("li:nth-child(3) .year, h1", 2),
+        ("a:not(.entry)", 1), ("li:not(#w-2):not([id='w-3'])", 7), ("span:not(.who, .year)", 0), ("li > :not(span)", 27),
+        ("meta:empty", 1), ("li:empty", 0), (":not(a.entry)", None), ("a:not()", None),
     ],
 )
 def test_css_subset(doms, selector, hits):
@@ -107,22 +110,22 @@ def test_readers_reject_what_they_do_not_cover():
     assert read_regex(r"(?P<a>x)(y)") == (r"(?d)(?<a>x)(y)", 1)
 
 
-def test_rules_as_data(spark, shop):
+def test_rules_as_data(spark, library):
     fields = "array<struct<name:string,kind:string,expr:string,attr:string>>"
     rules = spark.createDataFrame(
         [
-            (1, 7, ".product-card", "a.product-link", [("t", "css", "h2", ""), ("t", "css", ".sku", "")]),
+            (1, 7, ".work", "a.entry", [("t", "css", "cite", ""), ("t", "css", ".year", "")]),
             (1, 8, "", "", [("h", "xpath", "//h1", "text")]),
-            (2, 9, "main", "", []),
+            (2, 9, "dl", "", []),
         ],
         f"kind int, id bigint, item_selector string, link_selector string, fields {fields}",
     )
-    pages = shop.withColumn("kind", F.when(F.col("page_id") == 1, 1).otherwise(2))
+    pages = library.withColumn("kind", F.when(F.col("page_id") == 1, 1).otherwise(2))
     out = extract.extract_by_rules(pages, rules, ["kind"]).cache()
     by_rule = {(r.page_id, r.rule_id): r["items"] for r in out.collect()}
-    assert len(by_rule) == 14
-    assert len(by_rule[1, 7]) == 12 and by_rule[1, 7][0] == {"t": "SKU-1001"}
-    assert by_rule[1, 8] == [{"h": "All lamps"}] and by_rule[5, 9] == []
+    assert len(by_rule) == 11
+    assert len(by_rule[1, 7]) == 9 and by_rule[1, 7][0] == {"t": "1951"}
+    assert by_rule[1, 8] == [{"h": "Reading list"}] and by_rule[5, 9] == []
     threshold = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(threshold)
     try:
@@ -133,13 +136,13 @@ def test_rules_as_data(spark, shop):
         spark.conf.set(threshold, before)
 
 
-def test_results_are_appended_per_task(spark, shop, tmp_path):
-    rows = extract.result_rows(extract.preview(shop, ".product-card", "", FIELDS), F.lit(5))
+def test_results_are_appended_per_task(spark, library, tmp_path):
+    rows = extract.result_rows(extract.preview(library, ".work", "", FIELDS), F.lit(5))
     append_results(rows, str(tmp_path / "results"))
     append_results(rows, str(tmp_path / "results"))
     back = spark.read.parquet(str(tmp_path / "results")).filter("task_id = 5")
-    assert back.count() == 24
-    assert back.first().payload["_url"] == "http://shop.test/list.html"
+    assert back.count() == 18
+    assert back.first().payload["_url"] == "http://library.test/works/index.html"
 
 
 def test_body_cap(spark):

@@ -57,12 +57,12 @@ def test_empty_and_missing_pages():
         assert [n["tag"] for n in page["nodes"]] == ["html", "head", "body"]
 
 
-def test_node_table(spark, shop):
-    nodes = extract.dom_nodes(extract.with_dom(shop)).filter("page_id = 1").cache()
-    assert nodes.filter("tag = 'article'").count() == 12
+def test_node_table(spark, library):
+    nodes = extract.dom_nodes(extract.with_dom(library)).filter("page_id = 1").cache()
+    assert nodes.filter("tag = 'li'").count() == 9
     root = nodes.filter("node_id = 1").first()
     assert root.tag == "html" and root.end_id == nodes.count() and len(root.text) == 80
-    card = nodes.filter("id_attr = 'p-3'").first()
-    assert card.end_id - card.node_id == 5 and card.attrs["class"] == "product-card"
+    work = nodes.filter("id_attr = 'w-3'").first()
+    assert work.end_id - work.node_id == 5 and work.attrs["class"] == "work"
     places = induction.sibling_positions(nodes)
     assert places.join(nodes, ["page_id", "node_id", "sib_idx", "type_idx"]).count() == nodes.count()

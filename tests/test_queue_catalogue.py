@@ -104,16 +104,16 @@ def test_robots(spark):
     assert robots.policy_rows(hosts).count() == 6
 
 
-def test_frontier_on_the_shop(spark, shop):
-    links = links_of(with_dom(shop), "a.product-link").cache()
+def test_frontier_on_the_library(spark, library):
+    links = links_of(with_dom(library), "a.entry").cache()
     edges = links.select(F.col("url").alias("src"), F.col("link").alias("dst"))
-    assert edges.count() == 24
-    seeds = spark.createDataFrame([(1, "http://shop.test/list.html")] * 2, "task_id int, url string")
+    assert edges.count() == 18
+    seeds = spark.createDataFrame([(1, "http://library.test/works/index.html")] * 2, "task_id int, url string")
     reached = expand_frontier(seeds, edges, 2).groupBy("depth").count().collect()
-    assert {r.depth: r["count"] for r in reached} == {0: 1, 1: 12}
-    assert expand_frontier(seeds, edges, 0).count() == 13
-    graph = link_graph(links.select("page_id", "link"), shop)
-    assert graph.filter("to_page IS NULL").count() == 0 and graph.count() == 24
+    assert {r.depth: r["count"] for r in reached} == {0: 1, 1: 9}
+    assert expand_frontier(seeds, edges, 0).count() == 10
+    graph = link_graph(links.select("page_id", "link"), library)
+    assert graph.filter("to_page IS NULL").count() == 0 and graph.count() == 18
 
 
 def test_frontier_stops_at_depth_and_follows_cycles_once(spark):
