@@ -48,7 +48,8 @@ def price_amount(c: Column) -> Column:
 
 
 def price_currency(c: Column) -> Column:
-    signed = c.rlike(r"[¥$€£]\s*[0-9]")
+    """Currency of a signed number, read from the same text as its amount; '' without one."""
+    signed = normalize_text(c).rlike(r"[¥$€£][\t\n\f\r ]*[0-9]")
     return (
         F.when(~signed, "")
         .when(c.contains("$"), "USD")
