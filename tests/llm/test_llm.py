@@ -185,6 +185,16 @@ def test_leaks_are_found(spark, docs):
     assert left == {i for i, _ in TEXTS} - {1, 2, 3, 7, 8, 11}
 
 
+def test_texts_shorter_than_their_item(spark):
+    item = prose(70, 50)
+    cut = {1: item.split()[:45], 2: item.split()[5:], 3: item.split()[:49], 4: item.split()[:30], 5: item.split()[:4], 6: []}
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in cut.items()], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    found = {r["doc_id"]: (r["first_word"], r["n_words"], round(r["similarity"], 6)) for r in decontam.leaks(rows, items).collect()}
+    assert found == {1: (0, 45, round(41 / 46, 6)), 2: (0, 45, round(41 / 46, 6)), 3: (0, 49, round(45 / 46, 6))}
+    assert {r["doc_id"] for r in decontam.clean(rows, items).collect()} == {4, 5, 6}
+
+
 def test_repeated_passages(docs):
     rows = substring.repeats(docs).collect()
     pairs = {(r["doc_id"], r["source_id"]) for r in rows}

@@ -1,6 +1,7 @@
 """Operator 5, decontamination: SimHash of item-sized windows, Hamming blocks, weighted shingles.
 
-For every benchmark item, the windows of a text with as many words as the item are candidates. A window
+For every benchmark item, the windows of a text with as many words as the item are candidates; a text with
+fewer words is one window as a whole. A window
 has a 64-bit SimHash of its words. A multi-index of the items' fingerprints over ``RADIUS + 1`` blocks of
 bits finds every item within ``RADIUS`` bits: fingerprints that differ in so few bits agree in one block at
 least. Candidates are verified by the exact similarity of weighted five-word shingles (weight: occurrences;
@@ -105,7 +106,11 @@ class Index:
         total, found = None, []
         for length in self.sizes:
             marks = starts.get(min(length, self.size))
-            if marks is None or not len(marks) or length > len(words):
+            if marks is None or not len(marks):
+                continue
+            if length > len(words):  # the whole text is the one window; its similarity to a longer item may still reach the threshold
+                near = self.within(length, simhash(words)[None])
+                found += [(0, k, d) for _, k, d in near]
                 continue
             # Windows of this length that hold one of the marked shingles.
             cover = np.zeros(len(words) - length + 2, np.int64)
@@ -148,11 +153,11 @@ def leaks(
                     for k, t in zip(keys, rows):
                         w, best = words.of(t), {}
                         for at, i, d in index.hits(w):
-                            n = int(index.lengths[i])
+                            n = min(int(index.lengths[i]), len(w))
                             s = index.similarity(w[at : at + n], i)
                             if s >= threshold and (s, -at) > best.get(i, (0.0, 0))[:2]:
                                 best[i] = (s, -at, d)
-                        out += [(k, index.ids[i], -at, int(index.lengths[i]), d, s) for i, (s, at, d) in sorted(best.items())]
+                        out += [(k, index.ids[i], -at, min(int(index.lengths[i]), len(w)), d, s) for i, (s, at, d) in sorted(best.items())]
                     if out:
                         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
                         yield pa.RecordBatch.from_arrays([pa.array(v, x) for v, x in zip(zip(*out), kinds)], [c.split(" ")[0] for c in schema.split(", ")])
