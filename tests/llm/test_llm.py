@@ -195,6 +195,37 @@ def test_texts_shorter_than_their_item(spark):
     assert {r["doc_id"] for r in decontam.clean(rows, items).collect()} == {4, 5, 6}
 
 
+def test_leaks_match_exact_similarity_of_all_windows(spark):
+    rng, items, texts = np.random.default_rng(17), {}, {}
+    for i in range(60):
+        n = int(rng.integers(4, 60))
+        w = [f"w{x}" for x in (rng.integers(0, 4000, n) if i % 2 else rng.zipf(1.3, n) % 4000)]
+        items[i], shingled = " ".join(w), max(1, n - 4)
+        for j in range(12):  # the last words replaced, just over the threshold and one word under it
+            cut = shingled - int(np.ceil(shingled * 1.6 / 1.8)) + j % 3 // 2
+            v = w[: n - cut] + [f"x{x}" for x in rng.integers(0, 4000, cut)]
+            texts[12 * i + j] = " ".join(v if j % 2 else [f"y{x}" for x in rng.integers(0, 4000, 20)] + v + w[:3])
+
+    def counts(words):
+        return Counter(tuple(words[a : a + 5]) for a in range(max(1, len(words) - 4)))
+
+    want, sets = {}, {i: (len(t.split()), counts(t.split())) for i, t in items.items()}
+    for d, t in texts.items():
+        w = t.split()
+        near = {i for i, (_, c) in sets.items() if set(c) & set(counts(w)) or len(items[i].split()) < 5}
+        for i in near:
+            n, c = sets[i]
+            for a in range(max(0, len(w) - n) + 1):
+                mine = counts(w[a : a + n])
+                low = sum((mine & c).values())
+                s = low / (sum(mine.values()) + sum(c.values()) - low)
+                if s >= 0.8 and s > want.get((d, i), (0, 0))[1]:
+                    want[d, i] = (a, s)
+    rows = decontam.leaks(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"),
+                          spark.createDataFrame(list(items.items()), "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["first_word"], r["similarity"]) for r in rows} == want and len(want) > 300
+
+
 def test_repeated_passages(docs):
     rows = substring.repeats(docs).collect()
     pairs = {(r["doc_id"], r["source_id"]) for r in rows}
