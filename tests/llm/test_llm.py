@@ -272,6 +272,40 @@ def test_surrogates(spark):
     assert rows[3]["text"] is None and rows[4]["text"] == "" and rows[5]["text"] == "nothing here"
 
 
+def test_hint_is_implied_by_every_pattern(monkeypatch):
+    rng = np.random.default_rng(8)
+    pieces = ["+49", " ", "30", "12", "3", "-", ".", "(", ")", "DE12", "AB1C", "Mr ", "Frau ", "Señora ", "Paweł", "O'Neil", "x@y.de", "1.2.3.4", "4532", "a0" * 20, "z"]
+    texts = ["".join(pieces[i] for i in rng.integers(0, len(pieces), rng.integers(1, 14))) for _ in range(20000)]
+    texts += ["DE12 AB1C AB2C AB3C AB4C", "+49 30 12 34 56", "+1 2 3 4 5 6 7"]
+    quick = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "HINT", pii.re.compile(""))
+    assert quick == [pii.find(t) for t in texts] and sum(map(bool, quick)) > 2000
+
+
+@pytest.mark.parametrize("text, value", [
+    ("call +49 30 12 34 56 now", "+49 30 12 34 56"), ("call +49 30 12 34 56 78 now", "+49 30 12 34 56 78"),
+    ("+33 1 23 45 67 89", "+33 1 23 45 67 89"), ("(030) 12 34 56 78.", "(030) 12 34 56 78"), ("DE12 AB1C AB2C AB3C AB4C", "DE12 AB1C AB2C AB3C AB4C"),
+    ("Mr John Quincy Adams said", "John Quincy Adams"), ("Frau Anna-Maria kam", "Anna-Maria"), ("Mr Paweł Żak.", "Paweł Żak"),
+    ("Mr Пётр Ильич Чайковский", "Пётр Ильич Чайковский"), ("Ms 王小明, hello", "王小明"), ("Herr Ludwig van Beethoven", "Ludwig van Beethoven"),
+    ("Mr. J. Smith's", "J. Smith"), ("Mr O'Brien", "O'Brien"), ("write paweł.żak@poczta.pl", "paweł.żak@poczta.pl"),
+])
+def test_whole_entities_are_replaced(text, value):
+    (a, b, kind, found), = pii.find(text)
+    new = pii.Surrogates(b"k").of(kind, found)
+    assert found == value == text[a:b] and new != value
+    assert not {w for w in pii.re.split(r"[\W\d_]+", value) if len(w) > 2 and kind[:4] == "name"} & set(pii.re.split(r"[\W\d_]+", new))
+    assert kind[:4] != "name" or pii._script(new[0]) == pii._script(value[0])
+
+
+@pytest.mark.parametrize("text", ["+" + "1" * 3000 + "a", "+" + "12 " * 20000 + "3a", "Mr " + "Ab-" * 20000, "Mr " + "A. " * 20000])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    at = time.process_time()
+    pii.find(text)
+    assert time.process_time() - at < 5
+
+
 def test_permutation_is_one_to_one():
     make = pii.Surrogates(b"k")
     assert len({make.permute(f"{i:03d}", "t") for i in range(1000)}) == 1000

@@ -14,7 +14,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,20 +26,34 @@ from pyspark.sql import types as T
 
 from webloom.llm.common import bytes_of, keep, texts_of, work_folder
 
+
+def _letters(*categories: str) -> str:
+    """Inside of a character class with all signs of these Unicode categories."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in categories]
+    cuts = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
+    return "".join(f"{chr(codes[i])}-{chr(codes[j - 1])}" for i, j in zip([0, *cuts], [*cuts, len(codes)]))
+
+
+#: Letters that begin a name (capitals, and letters of scripts without cases), letters and marks inside, letters of addresses.
+UPPER, INNER, MAIL = _letters("Lu", "Lt", "Lo"), _letters("Lu", "Lt", "Lo", "Ll", "Lm", "Mn", "Mc"), "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ԯḀ-ỿ"
+WORD = f"(?:[{UPPER}][{INNER}]*(?:-[{INNER}]+|['’][{UPPER}][{INNER}]*)*)"
+PARTICLES = "(?:(?:van|von|vom|zu|zur|de|der|den|del|della|di|da|do|dos|du|la|le|al|bin|ibn|af|av|y|e) )*"
+TITLES = ("Mr ", "Mr. ", "Mrs ", "Mrs. ", "Ms ", "Ms. ", "Herr ", "Frau ", "Monsieur ", "Madame ", "Señor ", "Señora ")
 #: Kinds in order of precedence: of overlapping finds the earlier start, then the earlier kind, wins.
 PATTERNS = {
-    "email": r"[A-Za-z0-9À-ÖØ-öø-ÿ._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": rf"[{MAIL}0-9._%+-]+@(?:[{MAIL}0-9-]+\.)+[{MAIL}]{{2,}}",
     "secret": r"(?<=[=:] \")[0-9A-Fa-f]{32,}(?=\")|(?<=[=:]\")[0-9A-Fa-f]{32,}(?=\")|(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card": r"(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.-])\d{3}-\d{4}(?![\w-])",
-    "name": r"(?:(?<=Mr )|(?<=Mr\. )|(?<=Mrs )|(?<=Mrs\. )|(?<=Ms )|(?<=Ms\. )|(?<=Herr )|(?<=Frau )|(?<=Monsieur )|(?<=Madame )|(?<=Señor )|(?<=Señora ))[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)(?=(?:[ .-]?\d){6})[ .-]?\d{2,}(?:[ .-]\d{2,})*(?!\w)|(?<![\w+])\+(?=\d(?:[ .-]?\d){4})\d+(?:[ .-]\d+)*(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.-])\d{3}-\d{4}(?![\w-])",
+    "name": f"(?:{'|'.join(f'(?<={re.escape(t)})' for t in TITLES)})(?:[{UPPER}]\\. )*{PARTICLES}{WORD}(?: (?:[{UPPER}]\\. )*{PARTICLES}{WORD})*",
 }
 FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-#: A text without any of these signs holds none of the kinds, so it need not be searched.
-HINT = re.compile(r"@|\d{3}|\d\.\d|[0-9a-fA-F]{32}|(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señora?)\.? ")
+#: A text without any of these signs holds none of the kinds, so it need not be searched. Each pattern implies one: mail
+#: an @, secrets 32 hexadecimal digits, names a title, addresses a digit and a dot, + a digit, all other numbers two digits in a row.
+HINT = re.compile(r"@|\d\d|\d\.\d|\+\d|[0-9a-fA-F]{32}|(?:" + "|".join(map(re.escape, TITLES)) + ")")
 MASCULINE = ("Mr ", "Mr. ", "Herr ", "Monsieur ", "Señor ")
 VOWELS, CONSONANTS = "aeiou", "bdfgklmnprst"
 
@@ -69,6 +86,20 @@ def _luhn_sum(digits: str) -> int:
     return sum(odd) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
 
 
+#: Lower-case letters in use of scripts whose Unicode range also holds historic ones.
+ALPHABETS = {"CYRILLIC": "абвгдежзиклмнопрстуфхцчшэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
+
+
+def _script(letter: str) -> str:
+    return unicodedata.name(letter, "LATIN").split(" ")[0].split("-")[0]
+
+
+@lru_cache(maxsize=None)
+def _pool(script: str) -> str:
+    """Letters of a script, in lower case where it has cases."""
+    return ALPHABETS.get(script) or "".join(c for c in map(chr, range(0x10000)) if c.isalpha() and c == c.lower() and _script(c) == script)
+
+
 class Surrogates:
     """Keyed surrogates; ``draw`` 0 is the first choice, others follow collisions."""
 
@@ -99,6 +130,14 @@ class Surrogates:
 
     def _word(self, like: str, seed: int, end: str = "", least: int = 6) -> str:
         """Pronounceable letters, in the case of ``like``; letters beyond ASCII call for one of their script."""
+        script = next((_script(c) for c in like if c.isalpha()), "LATIN")
+        if script != "LATIN" and (pool := _pool(script)):
+            cased = like.lower() != like.upper()
+            size, out = max(len(like), least if cased else 3), ""
+            for _ in range(size):
+                seed, r = divmod(seed, len(pool))
+                out += pool[r]
+            return (out.upper() if like.isupper() else out.title() if like[:1].isupper() else out) if cased else out
         size = max(len(like), least) - len(end)
         out = []
         for i in range(size):
@@ -113,6 +152,10 @@ class Surrogates:
             return word.upper()
         return word[:1].upper() + word[1:] if like[:1].isupper() else word
 
+    def _parts(self, word: str, tag: str, draw: int, end: str, least: int) -> str:
+        parts = re.split("([-'’.])", word)
+        return "".join(self._word(p, self._stream(tag, p, draw), end, least) if i % 2 == 0 and p else p for i, p in enumerate(parts))
+
     def of(self, kind: str, value: str, draw: int = 0) -> str:
         if kind == "email":
             name, _, host = value.rpartition("@")
@@ -129,9 +172,11 @@ class Surrogates:
             labels[-2] = f"{self._word(labels[-2], seed)}{self._stream('host', value.lower(), draw) % 1000:03d}"
             return "".join(parts) + "@" + ".".join(labels[:-2] + [labels[-2], labels[-1]])
         if kind in ("name_m", "name_f"):
+            # Words and the parts of words with hyphens, apostrophes and dots one by one; particles are drawn, too.
             words = value.split(" ")
-            out = [self._word(words[0], self._stream(kind, words[0], draw), "o" if kind == "name_m" else "a")]
-            return " ".join(out + [self._word(w, self._stream("family", w, draw), "n", 8) for w in words[1:]])
+            end = "o" if kind == "name_m" else "a"
+            out = [self._parts(words[0], kind, draw, end, 6)]
+            return " ".join(out + [self._parts(w, "family", draw, "n", 8) for w in words[1:]])
         if kind == "secret":
             pool = "0123456789abcdef" if value == value.lower() else "0123456789ABCDEF"
             out, turn = "", 0
