@@ -233,6 +233,21 @@ def test_repeated_passages(docs):
     assert not {4, 5, 6, 7, 13, 14} & {i for p in pairs for i in p}
 
 
+def test_every_place_of_a_passage_is_reported(spark):
+    passage, more = prose(50, 60).split(), [prose(51 + i, 40 + i).split() for i in range(6)]
+    five = [w for i in range(5) for w in more[i] + passage] + more[5]
+    starts = [i for i in range(len(five)) if five[i : i + 60] == passage]
+    spread = [w if i % 7 != 6 else f"other{i}" for i, w in enumerate(prose(60, 70).split())]
+    rows = [(1, " ".join(more[5] + passage)), (2, " ".join(five)), (3, prose(60, 70)), (4, " ".join(spread)), (5, "ha " * 200), (6, prose(61, 99))]
+    found = substring.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    at = {s: [r["start"] for r in found if (r["doc_id"], r["source_id"]) == (2, s)] for s in (1, 2)}
+    covers = lambda got, p: any(p - 9 <= s <= p + 9 for s in got)
+    assert all(covers(at[1], p) for p in starts) and all(covers(at[2], p) for p in starts[1:])
+    assert any((r["doc_id"], r["source_id"]) == (4, 3) for r in found)  # no more than six words in a row are equal
+    assert all(r["source_start"] + r["source_words"] <= r["start"] for r in found if r["doc_id"] == r["source_id"])
+    assert 5 in {r["source_id"] for r in found} and 6 not in {r["doc_id"] for r in found}
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(3)
     for _ in range(20):
