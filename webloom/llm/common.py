@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Odd multipliers of the words of a shingle (fixed, so that hashes agree between jobs).
@@ -127,6 +127,21 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+# Order ------------------------------------------------------------------------------------------
+
+
+def ranked(df: DataFrame, order: list[Column], folder: str, name: str, into: str) -> DataFrame:
+    """Rows with their place (from 1) in a total order: sorted by ranges, counted by partition, no task holds them all."""
+    at = F.monotonically_increasing_id()  # partition in the upper bits, place in the lower 33
+    placed = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at), folder, name)
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    start = F.broadcast(sizes.select("__part", before.alias("__before")))
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn("__part", part).join(start, "__part").withColumn(into, place).drop("__part", "__at", "__before")
+
+
 # Connected components -------------------------------------------------------------------------
 
 
