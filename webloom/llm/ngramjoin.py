@@ -28,7 +28,7 @@ Hot groups are kept small like this:
   drop a link. Marks are ``MARKS`` bits, one set by each hash: sets differ in as many hashes at least.
 
 Verification compares whole sets, made anew from the texts of the documents concerned; a text that many pairs need is
-copied for every ``SHARE`` of them.
+copied for every ``SHARE`` of them. Texts move once, to be brought together with their class.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ SLICES = 64
 LONGEST = 16
 #: Price of comparing one shingle of a pair, in index entries.
 VERIFY = 0.25
-TURNS = 3
+TURNS = 2
 BLOCK = 256
 MARKS = 2048
 SHARE = 512
@@ -148,7 +148,7 @@ def marks(hashes: np.ndarray) -> bytes:
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int, table: np.ndarray) -> DataFrame:
-    """(low, n, f0, f1, k, marks, first): prefix of every text that has words."""
+    """(low, t, n, f0, f1, k, marks, first): prefix of every text that has words."""
     noise = float(table.mean(dtype=np.float64))
     noise += 3 * noise**0.5 + 1
 
@@ -161,13 +161,13 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, table: np.ndarray)
             ks, firsts = zip(*(prefix(s, table, noise, num, den) for s in sets))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(a).take(pa.array(at)), pa.array([len(s) for s in sets], pa.int32()), *_prints(sets), pa.array(ks, pa.int32()),
+                    *(batch.column(i).slice(a).take(pa.array(at)) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int32()), *_prints(sets), pa.array(ks, pa.int32()),
                     blobs([marks(s) for s in sets]), list_column(np.concatenate(firsts).view(np.int64), [len(f) for f in firsts], pa.int64()),
                 ],
-                ["low", "n", "f0", "f1", "k", "marks", "first"],
+                ["low", "t", "n", "f0", "f1", "k", "marks", "first"],
             )
 
-    return docs.mapInArrow(run, "low long, n int, f0 long, f1 long, k int, marks binary, first array<long>")
+    return docs.mapInArrow(run, "low long, t binary, n int, f0 long, f1 long, k int, marks binary, first array<long>")
 
 
 # Pairs ----------------------------------------------------------------------------------------
@@ -220,8 +220,13 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 
 def _star(rows: DataFrame, turn: int) -> DataFrame:
-    """For each document the hub of another component with which it shares most prefix hashes."""
-    hubs = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "c")).alias("hub"))
+    """For each document the hub of another component with which it shares most prefix hashes.
+
+    The first hub of a hash is the document with most shared ones among its own (of near copies, the one closest to
+    all), later ones are other documents.
+    """
+    order = -F.col("typical") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    hubs = rows.groupBy("h").agg(F.min(F.struct(order.alias("o"), "node", "c")).alias("hub"))
     met = rows.join(hubs, "h").filter("c <> hub.c").groupBy("node", F.col("hub.node").alias("b")).agg(F.count("*").alias("m"))
     best = met.groupBy("node").agg(F.max(F.struct("m", "b")).alias("x"))
     return best.select(F.col("node").alias("a"), F.col("x.b").alias("b"))
@@ -257,27 +262,28 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, te
     classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), folder, "classes")
 
     first = _prefixes(docs, size, num, den, _frequencies(profiles))
-    nodes = first.join(classes, ["f0", "f1", "low"]).select("node", "n", "k", "marks", "first").dropDuplicates(["node"])
+    nodes = first.join(classes, ["f0", "f1", "low"]).dropDuplicates(["f0", "f1", "low"]).select("node", "n", "k", "marks", "first", "t")
     nodes = keep(nodes, folder, "nodes")
-    entries = nodes.select("node", "n", "k", F.explode("first").alias("h"), F.col("node").alias("c"))
-    shared = F.count("*").over(Window.partitionBy("h"))
-    rows = keep(entries.withColumn("m", shared).filter("m > 1").drop("m"), folder, "entries-0")
-    wanted = rows.select("node").distinct().join(classes, "node").select(F.col("low").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    texts = keep(_named(texts, classes, size), folder, "texts")
+    entries = nodes.select(F.explode("first").alias("h"), "node").withColumn("m", F.count("*").over(Window.partitionBy("h")))
+    shared = keep(entries.filter("m > 1").select("h", "node"), folder, "shared")
+    typical = shared.groupBy("node").agg(F.count("*").alias("typical")).join(nodes.select("node", F.size("first").alias("of")), "node")
+    rows = shared.join(typical.select("node", (F.col("typical") / F.col("of")).alias("typical"), F.col("node").alias("c")), "node")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        # Each table is written before it meets the texts: Spark sees its size, and moves it rather than them if it is small.
+        alike = keep(_alike(keep(pairs, folder, f"met-{name}"), nodes, num, den), folder, f"alike-{name}")
+        return keep(_linked(alike, nodes.select("node", "t"), size, num, den), folder, f"links-{name}")
 
     links, comp = None, None
     for turn in range(TURNS):
-        pairs = _alike(_star(rows, turn), nodes, num, den)
-        found = keep(_linked(pairs, texts, size, num, den), folder, f"links-{turn}")
+        found = confirmed(_star(rows, turn), str(turn))
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         comp = keep(components(links, folder, f"star-{turn}"), folder, f"comp-{turn}")
         rows = rows.drop("c").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         rows = keep(_apart(rows), folder, f"entries-{turn + 1}")
-    rest = keep(_alike(_met(rows, num, den), nodes, num, den), folder, "rest")
-    found = keep(_linked(rest, texts, size, num, den), folder, "links-rest")
+    found = confirmed(_met(rows.join(nodes.select("node", "n", "k"), "node"), num, den), "rest")
     comp = components(found if links is None else links.union(found), folder, "all")
 
     of_node = classes.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
@@ -289,15 +295,3 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, te
         "doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_classes", F.lit(1)).alias("n_classes"),
     )
-
-
-def _named(texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(node, t): one text of each class that these texts stand for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, sets in _sets(batches, size):
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), *_prints(sets)], ["low", "t", "f0", "f1"])
-
-    named = texts.select("doc_id", "t").mapInArrow(run, "low long, t binary, f0 long, f1 long")
-    return named.join(classes, ["f0", "f1", "low"]).select("node", "t").dropDuplicates(["node"])
