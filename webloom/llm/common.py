@@ -45,9 +45,9 @@ def _hadoop(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def keep(df: DataFrame, folder: str, name: str) -> DataFrame:
+def keep(df: DataFrame, folder: str, name: str, codec: str = "snappy") -> DataFrame:
     """Write a work table and read it back: lineage ends here and outlives the executors."""
-    df.write.parquet(f"{folder}/{name}")
+    df.write.option("compression", codec).parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 

@@ -25,7 +25,9 @@ Hot groups are kept small like this:
 * Pairs of different components are then counted in full. A hash that many documents still have is cut into
   blocks of about ``BLOCK`` documents and each pair of blocks is a join key of its own, so no task gets all of a hash.
 * Pairs with too few shared prefix hashes, unlike sizes or too unlike marks are not verified; none of these tests can
-  drop a link. Marks are ``MARKS`` bits, one set by each hash: sets differ in as many hashes at least.
+  drop a link. Marks are ``MARKS`` parity bits, each turned by the hashes that fall on it: sets differ in as many hashes
+  at least as their marks in bits. Inside the join of a hash, marks of ``FOLD`` bits drop most pairs before they are
+  counted, so a group of many documents that are alike but not linked makes few rows.
 
 Verification compares whole sets, made anew from the texts of the documents concerned; a text that many pairs need is
 copied for every ``SHARE`` of them. Texts move once, to be brought together with their class.
@@ -51,6 +53,7 @@ VERIFY = 0.25
 TURNS = 2
 BLOCK = 256
 MARKS = 2048
+FOLD = 512
 SHARE = 512
 
 
@@ -141,14 +144,19 @@ def prefix(hashes: np.ndarray, table: np.ndarray, noise: float, num: int, den: i
     return k, hashes[order[: n - need + k]]
 
 
-def marks(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(MARKS, np.uint8)
-    bits[(hashes >> np.uint64(40)).astype(np.int64) & (MARKS - 1)] = 1
-    return np.packbits(bits).tobytes()
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """``MARKS`` parity bits, each of the hashes that fall on it, as 64-bit words."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & (MARKS - 1), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(words: np.ndarray) -> np.ndarray:
+    """The same for ``FOLD`` bits."""
+    return np.bitwise_xor.reduce(words.reshape(-1, FOLD // 64), axis=0)
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int, table: np.ndarray) -> DataFrame:
-    """(low, t, n, f0, f1, k, marks, first): prefix of every text that has words."""
+    """(low, t, n, f0, f1, k, marks, fold, first): prefix of every text that has words."""
     noise = float(table.mean(dtype=np.float64))
     noise += 3 * noise**0.5 + 1
 
@@ -159,15 +167,17 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, table: np.ndarray)
                 continue
             sets = [sets[i] for i in at]
             ks, firsts = zip(*(prefix(s, table, noise, num, den) for s in sets))
+            odd = [marks(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i).slice(a).take(pa.array(at)) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int32()), *_prints(sets), pa.array(ks, pa.int32()),
-                    blobs([marks(s) for s in sets]), list_column(np.concatenate(firsts).view(np.int64), [len(f) for f in firsts], pa.int64()),
+                    blobs([m.tobytes() for m in odd]), list_column(np.concatenate([folded(m) for m in odd]), np.full(len(odd), FOLD // 64), pa.int64()),
+                    list_column(np.concatenate(firsts).view(np.int64), [len(f) for f in firsts], pa.int64()),
                 ],
-                ["low", "t", "n", "f0", "f1", "k", "marks", "first"],
+                ["low", "t", "n", "f0", "f1", "k", "marks", "fold", "first"],
             )
 
-    return docs.mapInArrow(run, "low long, t binary, n int, f0 long, f1 long, k int, marks binary, first array<long>")
+    return docs.mapInArrow(run, "low long, t binary, n int, f0 long, f1 long, k int, marks binary, fold array<long>, first array<long>")
 
 
 # Pairs ----------------------------------------------------------------------------------------
@@ -238,10 +248,15 @@ def _met(rows: DataFrame, num: int, den: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
     placed = rows.join(blocks, "h").withColumn("own", own)
     # Blocks i <= j meet: a row stands on the left side for each j, on the right side for each i.
-    left = placed.withColumn("other", F.explode(F.sequence("own", F.col("g") - 1))).select("h", F.col("own").alias("i"), F.col("other").alias("j"), "node", "n", "k", "c")
+    mine = ("node", "n", "k", "c", "fold")
+    left = placed.withColumn("other", F.explode(F.sequence("own", F.col("g") - 1))).select("h", F.col("own").alias("i"), F.col("other").alias("j"), *mine)
     right = placed.withColumn("other", F.explode(F.sequence(F.lit(0), "own")))
-    right = right.select("h", F.col("other").alias("i"), F.col("own").alias("j"), *(F.col(x).alias(f"{x}_") for x in ("node", "n", "k", "c")))
-    pairs = left.join(right, ["h", "i", "j"]).filter("c <> c_ AND (i < j OR node < node_)").filter(den * F.least("n", "n_") >= num * F.greatest("n", "n_"))
+    right = right.select("h", F.col("other").alias("i"), F.col("own").alias("j"), *(F.col(x).alias(f"{x}_") for x in mine))
+    apart = sum(F.bit_count(F.col("fold")[i].bitwiseXOR(F.col("fold_")[i])) for i in range(FOLD // 64))
+    pairs = (
+        left.join(right, ["h", "i", "j"]).filter("c <> c_ AND (i < j OR node < node_)")
+        .filter(den * F.least("n", "n_") >= num * F.greatest("n", "n_")).filter((den + num) * apart <= (den - num) * (F.col("n") + F.col("n_")))
+    )
     a, b = F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")
     return pairs.groupBy(a, b, F.least("k", "k_").alias("ask")).agg(F.count("*").alias("m")).filter("m >= ask").select("a", "b")
 
@@ -262,8 +277,8 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, te
     classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), folder, "classes")
 
     first = _prefixes(docs, size, num, den, _frequencies(profiles))
-    nodes = first.join(classes, ["f0", "f1", "low"]).dropDuplicates(["f0", "f1", "low"]).select("node", "n", "k", "marks", "first", "t")
-    nodes = keep(nodes, folder, "nodes")
+    nodes = first.join(classes, ["f0", "f1", "low"]).dropDuplicates(["f0", "f1", "low"]).select("node", "n", "k", "marks", "fold", "first", "t")
+    nodes = keep(nodes, folder, "nodes", codec="zstd")
     entries = nodes.select(F.explode("first").alias("h"), "node").withColumn("m", F.count("*").over(Window.partitionBy("h")))
     shared = keep(entries.filter("m > 1").select("h", "node"), folder, "shared")
     typical = shared.groupBy("node").agg(F.count("*").alias("typical")).join(nodes.select("node", F.size("first").alias("of")), "node")
@@ -283,7 +298,7 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, te
         comp = keep(components(links, folder, f"star-{turn}"), folder, f"comp-{turn}")
         rows = rows.drop("c").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         rows = keep(_apart(rows), folder, f"entries-{turn + 1}")
-    found = confirmed(_met(rows.join(nodes.select("node", "n", "k"), "node"), num, den), "rest")
+    found = confirmed(_met(rows.join(nodes.select("node", "n", "k", "fold"), "node"), num, den), "rest")
     comp = components(found if links is None else links.union(found), folder, "all")
 
     of_node = classes.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
