@@ -133,7 +133,7 @@ def test_adaptive_rates(spark, tmp_path):
         (F.col("id") % 9 * 60.0).alias("latency_ms"), F.lit(4.0).alias("base_qps"),
     )
     got = collect(spark, stateful.adaptive_rates(stream_of(spark, str(tmp_path / "in"), log, 5)), "append")
-    want = tel.adaptive_trace(log, chunk_seconds=60)
+    want = tel.adaptive_trace(log)
     a = {r.id: r.qps for r in got.collect()}
     b = {r.fetch_id: r.qps for r in want.collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)

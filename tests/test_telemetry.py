@@ -32,9 +32,9 @@ def test_trailing_sums_equal_a_plain_window(log):
     width = 30 * S
     w = Window.partitionBy("domain").orderBy("us").rangeBetween(-width + 1, 0)
     plain = log.select("fetch_id", F.count("*").over(w), F.sum((F.col("status") == 429).cast("int")).over(w))
-    for chunk in (width, 17 * width, None):
+    for rows in (7, 100, None):
         got = ordered.trailing_sums(
-            log, ["domain"], "us", width, {"n": F.lit(1), "bad": (F.col("status") == 429).cast("int")}, chunk
+            log, ["domain"], "us", width, {"n": F.lit(1), "bad": (F.col("status") == 429).cast("int")}, rows
         )
         same(got.select("fetch_id", "n", "bad"), plain)
 
@@ -81,6 +81,65 @@ def test_chunk_length_follows_the_busiest_key(log):
     assert ordered.fitting_chunk_seconds(log.limit(0), ["domain"], "us", rows=1) == 60
 
 
+def test_equal_chunks_bound_the_largest_group(spark):
+    """Nine tenths of the rows under one key, most of them within one second."""
+    hot = [("hot", int(1e12) + (i if i % 10 else i * 1_000_000)) for i in range(9000)]
+    rows = hot + [(f"k{i % 40}", i * 1_000_000) for i in range(900)] + [(None, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, us bigint")
+    got, many = ordered.equal_chunks(df, ["k"], "us", rows=300)
+    sizes = {(r["k"], r["_chunk"]): r["count"] for r in got.groupBy("k", "_chunk").count().collect()}
+    assert many and sum(sizes.values()) == len(rows) and max(sizes.values()) <= 330
+    assert 25 <= sum(k == "hot" for k, _ in sizes) <= 35 and (None, 0) in sizes
+    spans = got.groupBy("k", "_chunk").agg(F.min("us").alias("a"), F.max("us").alias("b")).orderBy("k", "_chunk").collect()
+    assert all(x["k"] != y["k"] or x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
+    assert not ordered.equal_chunks(df, ["k"], "us")[1]
+
+
+def test_scans_in_equal_chunks_equal_plain_windows(log):
+    keys, order, w = ["domain"], ["us", "fetch_id"], Window.partitionBy("domain").orderBy("us", "fetch_id")
+    same(ordered.previous_row(log, keys, order, {"prev": "status"}, rows=20).select("fetch_id", "prev"), log.select("fetch_id", F.lag("status").over(w)))
+    same(ordered.running_count(log, keys, order, "i", rows=20).select("fetch_id", "i"), log.select("fetch_id", F.row_number().over(w)))
+    later = w.rowsBetween(1, Window.unboundedFollowing)
+    odd = log.withColumn("v", F.when(F.col("fetch_id") % 5 == 0, F.col("us")))
+    same(ordered.next_value(odd, keys, order, "v", "n", rows=20).select("fetch_id", "n"), odd.select("fetch_id", F.min("v").over(later)))
+
+
+def pool_replay(rows, limit=3):
+    """Evictions and the proxies out of use at the end, report by report."""
+    pool = {r[0] for r in rows if r[0]}
+    out, run, evictions = set(), dict.fromkeys(pool, 0), dict.fromkeys(pool, 0)
+    for proxy, status, *_ in sorted(rows, key=lambda r: (r[2], r[3])):
+        if not proxy:
+            continue
+        run[proxy] = 0 if status is not None and status < 500 and status != 407 else run[proxy] + 1
+        if run[proxy] >= limit and proxy not in out:
+            out.add(proxy)
+            evictions[proxy] += 1
+        if out == pool:
+            out, run = set(), dict.fromkeys(pool, 0)
+    return {p: (evictions[p], p not in out) for p in pool}
+
+
+@pytest.mark.parametrize("rows", [3, None])
+@pytest.mark.parametrize("seed", range(3))
+def test_proxy_totals_with_revivals(spark, seed, rows):
+    rng = random.Random(seed)
+    log = [(rng.choice(["a", "b", "c", None]), rng.choice([200, 200, 500, 503, 407, None]), i // 2, i) for i in range(400)]
+    df = spark.createDataFrame(log, "proxy_url string, status int, us bigint, fetch_id bigint")
+    got = tel.proxy_totals(df, rows=rows).collect()
+    assert {r.proxy_url: (r.evictions, r.healthy) for r in got} == pool_replay(log)
+    assert sum(r.evictions for r in got) > 6
+    assert {r.proxy_url: r.hits for r in got} == {p: sum(x[0] == p for x in log) for p in "abc"}
+
+
+def test_two_rounds_of_evictions(spark):
+    fails = [(p, 500) for p in ("a", "b") for _ in range(3)]
+    log = [(p, s, i, i) for i, (p, s) in enumerate([*fails, ("a", 200), ("b", 200), *fails])]
+    df = spark.createDataFrame(log, "proxy_url string, status int, us bigint, fetch_id bigint")
+    assert tuple(tel.pool_totals(tel.proxy_totals(df)).first()) == (2, 14, 12, 4, 2)
+    assert tel.proxy_totals(df.limit(0)).collect() == []
+
+
 def test_failure_runs(log):
     rows = sorted(log.collect(), key=lambda r: (r.us, r.fetch_id))
     run, want, first = {}, {}, {}
@@ -89,8 +148,8 @@ def test_failure_runs(log):
         want[r.fetch_id] = run[r.proxy_url]
         if run[r.proxy_url] == 3:
             first.setdefault(r.proxy_url, r.fetch_id)
-    for seconds in (1, 45, 100_000):
-        runs = tel.proxy_runs(log, seconds)
+    for size in (2, 45, 100_000):
+        runs = tel.proxy_runs(log, size)
         assert {r.fetch_id: r.consec for r in runs.collect()} == want
     assert {r.proxy_url: r.fetch_id for r in tel.proxy_evictions(runs).collect()} == first
 
@@ -114,8 +173,8 @@ def replay(rows, width=30 * S):
 def test_adaptive_trace(log):
     rows = sorted(log.collect(), key=lambda r: (r.us, r.fetch_id))
     want = replay(rows)
-    for chunk in (20, 100_000):
-        got = {r.fetch_id: r.qps for r in tel.adaptive_trace(log, chunk_seconds=chunk).collect()}
+    for block in (2, 5, 64, None):
+        got = {r.fetch_id: r.qps for r in tel.adaptive_trace(log, block=block).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
@@ -143,7 +202,7 @@ def admit(rows, q):
 def test_token_bucket(log):
     for q in (0.7, 2.0, 50.0):
         requests = log.select(F.col("fetch_id").alias("id"), "domain", "us").withColumn("qps", F.lit(q))
-        got = {r.id: r.admit_s for r in tel.admit_times(requests, chunk_seconds=30).collect()}
+        got = {r.id: r.admit_s for r in tel.admit_times(requests).collect()}
         by_domain = {}
         for r in sorted(requests.collect(), key=lambda r: (r.us, r.id)):
             by_domain.setdefault(r.domain, []).append(r)

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.text import blocked, failed, round_half_up
 from webloom.operators.ordered import (
-    CHUNK,
+    composed_clamps,
     failure_runs,
+    largest_key,
+    next_value,
     previous_row,
     running_count,
     running_max_before,
-    time_chunk,
     trailing_sums,
 )
+from webloom.session import cut_lineage
 
 SECOND = 1_000_000
 # Counters a task keeps.
@@ -118,74 +119,28 @@ def rate_factor(ratio: Column, avg_ms: Column) -> Column:
 MIN_QPS = 0.2
 
 
-def adaptive_trace(log: DataFrame, width_us: int = 30 * SECOND, chunk_seconds: int = 3600) -> DataFrame:
+def adaptive_trace(log: DataFrame, width_us: int = 30 * SECOND, block: int | None = None) -> DataFrame:
     """Rate of each domain after every fetch (W4). ``log`` carries base_qps next to the W1 columns.
 
-    A step maps the rate x to min(base, max(0.2, x * factor)). Such steps compose to the same shape
-    min(hi, max(lo, x * m)), so each time chunk is reduced to three numbers, the chunks of a domain
-    are chained, and the chunks are then replayed in parallel from their own start value.
-    Fetches without a domain belong to the domain ``default``.
+    A step maps the rate x to min(base, max(0.2, x * factor)); the first one starts from the domain's base rate and
+    leaves one value only. Steps compose to maps of the same shape, so all rates come from a parallel prefix over
+    the steps of a domain. Fetches without a domain belong to the domain ``default``.
     """
     log = log.withColumn("domain", F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit("default")))
     base = F.when(F.col("base_qps") > 0, F.col("base_qps")).otherwise(F.lit(2.0))
     steps = (
         block_trace(log, width_us)
         .withColumn("factor", rate_factor(F.col("ratio"), F.col("avg_ms")))
-        .withColumn("_base", base)
-        .withColumn(CHUNK, time_chunk(F.col("us"), chunk_seconds))
+        .select("domain", "us", "fetch_id", F.col("factor").cast("double").alias("factor"), base.cast("double").alias("hi"))
     )
-    slim = steps.select("domain", CHUNK, "us", "fetch_id", "factor", "_base")
-
-    def clamp(x: Column, s: Column) -> Column:
-        return F.least(s["_base"], F.greatest(F.lit(MIN_QPS), x * s["factor"]))
-
-    # The group of a (domain, chunk) is bounded by the chunk length.
-    ordered = F.array_sort(F.collect_list(F.struct("us", "fetch_id", "factor", "_base")))
-    folded = F.aggregate(
-        F.col("_steps"),
-        F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi")),
-        lambda a, s: F.struct(
-            (a["m"] * s["factor"]).alias("m"), clamp(a["lo"], s).alias("lo"), clamp(a["hi"], s).alias("hi")
-        ),
-    )
-    chunks = (
-        slim.groupBy("domain", CHUNK)
-        .agg(ordered.alias("_steps"))
-        .select("domain", CHUNK, folded.alias("f"), F.get("_steps", F.lit(0))["_base"].alias("_base"))
-        .select("domain", CHUNK, "f.m", "f.lo", "f.hi", "_base")
-    )
-    starts = chunks.groupBy("domain").applyInPandas(
-        _chain_chunks, "domain string, _chunk bigint, _start double"
-    )
-    return (
-        steps.join(starts, ["domain", CHUNK])
-        .groupBy("domain", CHUNK)
-        .applyInPandas(_replay_chunk, _trace_schema(log))
-    )
-
-
-def _trace_schema(log: DataFrame) -> str:
-    ids = {f.name: f.dataType.simpleString() for f in log.schema.fields}
-    return f"domain string, fetch_id {ids['fetch_id']}, us bigint, factor double, qps double"
-
-
-def _chain_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Start rate of each chunk from the three numbers of the chunks before it (one row per chunk)."""
-    pdf = pdf.sort_values("_chunk")
-    x, starts = float(pdf["_base"].iloc[0]), []
-    for m, lo, hi in zip(pdf["m"], pdf["lo"], pdf["hi"], strict=True):
-        starts.append(x)
-        x = min(hi, max(lo, x * m))
-    return pd.DataFrame({"domain": pdf["domain"], "_chunk": pdf["_chunk"], "_start": starts})
-
-
-def _replay_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["us", "fetch_id"])
-    x, out = float(pdf["_start"].iloc[0]), []
-    for factor, base in zip(pdf["factor"], pdf["_base"], strict=True):
-        x = min(base, max(MIN_QPS, x * factor))
-        out.append(x)
-    return pdf[["domain", "fetch_id", "us", "factor"]].assign(qps=out)
+    steps = cut_lineage(steps)
+    placed = running_count(steps, ["domain"], ["us", "fetch_id"], "_i")
+    start = F.least(F.col("hi"), F.greatest(F.lit(MIN_QPS), F.col("hi") * F.col("factor")))
+    first = F.col("_i") == 1
+    maps = placed.withColumn("m", F.when(first, 1.0).otherwise(F.col("factor"))).withColumn("lo", F.when(first, start).otherwise(F.lit(MIN_QPS)))
+    maps = maps.withColumn("hi", F.when(first, start).otherwise(F.col("hi")))
+    out = composed_clamps(maps.select("domain", "us", "fetch_id", "factor", "_i", "m", "lo", "hi"), ["domain"], "_i", largest_key(steps, ["domain"]), block)
+    return out.select("domain", "fetch_id", "us", "factor", F.col("lo").alias("qps"))
 
 
 def recent_points(series: DataFrame, keys: list[str], order: list[str], n: int = 60) -> DataFrame:
@@ -204,7 +159,7 @@ def recent_cluster_points(frames: DataFrame, n: int = 40) -> DataFrame:
 # Rates ----------------------------------------------------------------------------------------
 
 
-def admit_times(requests: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def admit_times(requests: DataFrame) -> DataFrame:
     """When a token bucket admits each request of a domain.
 
     ``requests``: domain, us, id, qps (one value per domain). The bucket starts with qps tokens at
@@ -214,18 +169,17 @@ def admit_times(requests: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     whole token and nothing is admitted.
     """
     first = requests.groupBy("domain").agg(F.min("us").alias("_t0"))
-    chunk = time_chunk(F.col("us"), chunk_seconds)
-    timed = running_count(requests, ["domain"], ["us", "id"], "_i", chunk).join(first, "domain")
+    timed = running_count(requests, ["domain"], ["us", "id"], "_i").join(first, "domain")
     sec = (F.col("us") - F.col("_t0")) / F.lit(float(SECOND))
     timed = timed.withColumn("_sec", sec).withColumn("_slack", sec - (F.col("_i") - 1) / F.col("qps"))
-    timed = running_max_before(timed, ["domain"], ["us", "id"], "_slack", "_m", time_chunk(F.col("us"), chunk_seconds))
+    timed = running_max_before(timed, ["domain"], ["us", "id"], "_slack", "_m")
     ahead = F.greatest(F.lit(1.0), F.col("_m"))
     earliest = (F.col("_i") - 1) / F.col("qps") + ahead - 2 + F.lit(1.0) / F.col("qps")
     admit = F.when(F.col("qps") >= 0.5, F.greatest(F.col("_sec"), earliest))
     return timed.select(*requests.columns, (admit - F.col("_sec")).alias("wait_s"), admit.alias("admit_s"))
 
 
-def burst_plan(requests: DataFrame, order: list[str], chunk: Column) -> DataFrame:
+def burst_plan(requests: DataFrame, order: list[str], chunk: Column | None = None) -> DataFrame:
     """Admit time of each request when all arrive at once: max(0, (i - qps) / qps)."""
     placed = running_count(requests, ["domain"], order, "i", chunk)
     return placed.withColumn("admit_s", F.greatest(F.lit(0.0), (F.col("i") - F.col("qps")) / F.col("qps")))
@@ -243,11 +197,9 @@ def rate_audit(log: DataFrame, qps: Column, band: float = 0.1) -> DataFrame:
     )
 
 
-def cpu_percent(samples: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def cpu_percent(samples: DataFrame, rows: int | None = None) -> DataFrame:
     """CPU share between two readings of a usage counter, within 0..400."""
-    both = previous_row(
-        samples, ["worker_id"], ["us", "id"], {"_u0": "usec", "_t0": "us"}, time_chunk(F.col("us"), chunk_seconds)
-    )
+    both = previous_row(samples, ["worker_id"], ["us", "id"], {"_u0": "usec", "_t0": "us"}, rows=rows)
     pct = (F.col("usec") - F.col("_u0")) / (F.col("us") - F.col("_t0")) * 100.0
     # An unsigned counter that runs backwards wraps to a huge difference, which the clamp cuts.
     usable = (F.col("_u0") != 0) & (F.col("us") > F.col("_t0"))
@@ -263,12 +215,9 @@ def proxy_ok(status: Column) -> Column:
     return F.coalesce((status < 500) & (status != 407), F.lit(False))
 
 
-def proxy_runs(log: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def proxy_runs(log: DataFrame, rows: int | None = None) -> DataFrame:
     """Consecutive failures of a proxy after each report."""
-    return failure_runs(
-        log, ["proxy_url"], ["us", "fetch_id"], proxy_ok(F.col("status")), "consec",
-        time_chunk(F.col("us"), chunk_seconds),
-    )
+    return failure_runs(log, ["proxy_url"], ["us", "fetch_id"], proxy_ok(F.col("status")), "consec", rows=rows)
 
 
 def proxy_evictions(runs: DataFrame, limit: int = 3) -> DataFrame:
@@ -279,15 +228,72 @@ def proxy_evictions(runs: DataFrame, limit: int = 3) -> DataFrame:
     )
 
 
-def proxy_totals(log: DataFrame, limit: int = 3, chunk_seconds: int = 3600) -> DataFrame:
-    """Hits, fails and health of each proxy (A5)."""
-    runs = proxy_runs(log, chunk_seconds)
-    fails = F.count_if(~proxy_ok(F.col("status")))
-    return runs.groupBy("proxy_url").agg(
-        F.count(F.lit(1)).alias("hits"),
-        fails.alias("fails"),
-        F.max("consec").alias("longest_run"),
-        (F.max("consec") < limit).alias("healthy"),
+_AT = ("us", "fetch_id")
+
+
+def pool_revivals(runs: DataFrame, limit: int = 3, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """When the pool was revived: (revivals, spans) with spans = the ``limit`` failures in a row that evict a proxy.
+
+    A proxy is evicted by ``limit`` failures in a row since the last revival, and the pool is revived when its last
+    proxy is evicted. So the revival after a time T is the latest, over all proxies, of the first spans that begin after
+    T. That is worked out for the end of every span at once, which gives each possible revival its successor; the
+    revivals that did happen are those reached from the first one, found by doubling the steps.
+    """
+    order = F.struct(*_AT)
+    begin = previous_starts(runs, limit, rows)
+    spans = cut_lineage(begin.filter(F.col("consec") >= limit).select("proxy_url", F.col("_start.us").alias("us"), F.col("_start.fetch_id").alias("fetch_id"), order.alias("ends")))
+    pool = [r["proxy_url"] for r in runs.select("proxy_url").distinct().collect()]  # the proxies of one pool
+    # Every end of a span asks each proxy; at one place in the log the question stands behind the span that begins there.
+    asked = spans.select(F.col("ends").alias("t")).distinct().select(F.explode(F.array(*[F.lit(p) for p in pool]).cast("array<string>")).alias("proxy_url"), "t")
+    none = F.lit(None).cast(asked.schema["t"].dataType)
+    both = spans.select("proxy_url", *_AT, F.lit(0).alias("ask"), "ends", none.alias("t")).unionByName(
+        asked.select("proxy_url", "t.us", "t.fetch_id", F.lit(1).alias("ask"), none.alias("ends"), "t")
+    )
+    answers = next_value(both, ["proxy_url"], [*_AT, "ask"], "ends", "first", rows).filter("ask = 1")
+
+    def latest(df: DataFrame) -> DataFrame:
+        return df.groupBy("t").agg(F.max("first").alias("next"), F.count("first").alias("_n")).filter(F.col("_n") == len(pool)).select("t", "next")
+
+    step = cut_lineage(latest(answers))
+    start = spans.groupBy("proxy_url").agg(F.min("ends").alias("first")).withColumn("t", F.lit(0))
+    reached = cut_lineage(latest(start).select(F.col("next").alias("t")))
+    while True:
+        more = reached.join(step, "t").select(F.col("next").alias("t"))
+        wider = cut_lineage(reached.union(more).distinct())
+        if wider.count() == reached.count():
+            return reached, spans
+        reached = wider
+        step = cut_lineage(step.join(step.select(F.col("t").alias("next"), F.col("next").alias("then")), "next").select("t", F.col("then").alias("next")))
+
+
+def previous_starts(runs: DataFrame, limit: int, rows: int | None = None) -> DataFrame:
+    """Adds ``_start``: us and fetch_id of the report ``limit`` - 1 reports of the proxy before."""
+    out = runs.withColumn("_start", F.struct(*_AT))
+    for _ in range(limit - 1):
+        out = previous_row(out, ["proxy_url"], list(_AT), {"_before_start": "_start"}, rows=rows)
+        out = out.withColumn("_start", F.col("_before_start")).drop("_before_start")
+    return out
+
+
+def proxy_totals(log: DataFrame, limit: int = 3, rows: int | None = None) -> DataFrame:
+    """Hits, fails, evictions and health of each proxy (A5); fetches without a proxy count for none.
+
+    An evicted proxy is healthy again once the pool is revived. A pool whose last proxy is evicted counts as revived,
+    as the next fetch does that first.
+    """
+    runs = cut_lineage(proxy_runs(log.filter(F.col("proxy_url").isNotNull()).select("proxy_url", "status", *_AT), rows))
+    revivals, spans = pool_revivals(runs, limit, rows)
+    last = revivals.agg(F.count("*").alias("rounds"), F.max("t").alias("t")).first()
+    if last["t"] is not None:
+        us, fetch = F.lit(last["t"]["us"]), F.lit(last["t"]["fetch_id"])
+        spans = spans.filter((F.col("us") > us) | ((F.col("us") == us) & (F.col("fetch_id") > fetch)))
+    out_now = spans.select("proxy_url").distinct().withColumn("out", F.lit(True))
+    totals = runs.groupBy("proxy_url").agg(
+        F.count(F.lit(1)).alias("hits"), F.count_if(~proxy_ok(F.col("status"))).alias("fails"), F.max("consec").alias("longest_run")
+    )
+    gone = F.coalesce("out", F.lit(False))
+    return totals.join(out_now, "proxy_url", "left").select(
+        "proxy_url", "hits", "fails", "longest_run", (F.lit(last["rounds"]) + gone.cast("bigint")).alias("evictions"), (~gone).alias("healthy")
     )
 
 
@@ -297,13 +303,13 @@ def pool_totals(proxies: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("size"),
         F.sum("hits").alias("hits"),
         F.sum("fails").alias("fails"),
-        F.count_if(~F.col("healthy")).alias("evictions"),
+        F.sum("evictions").alias("evictions"),
         F.count_if("healthy").alias("healthy"),
     )
 
 
 def round_robin(
-    requests: DataFrame, pool: list[str], order: list[str], proxies: Column, chunk: Column
+    requests: DataFrame, pool: list[str], order: list[str], proxies: Column, chunk: Column | None = None
 ) -> DataFrame:
     """Proxy of each request when the alive set is fixed (W6): position modulo pool size."""
     placed = running_count(requests, pool, order, "_i", chunk)
@@ -360,7 +366,6 @@ def unexpired(df: DataFrame, created_us: str, as_of_us: Column, ttl_us: int) ->
 
 def compliance_changes(versions: DataFrame) -> DataFrame:
     """Rule versions that switch robots respect off; new rules start from 'on' (W13)."""
-    chunk = F.floor(F.col("version") / 1024).cast("bigint")
-    both = previous_row(versions, ["id"], ["version"], {"_was": "respect_robots"}, chunk)
+    both = previous_row(versions, ["id"], ["version"], {"_was": "respect_robots"})
     off = F.coalesce(F.col("_was"), F.lit(True)) & ~F.col("respect_robots")
     return both.filter(off).select("id", "version", F.lit("robots_disabled").alias("action"))

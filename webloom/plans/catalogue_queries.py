@@ -8,7 +8,7 @@ from webloom.functions import clock, text, urls
 from webloom.functions.hashing import affinity_shard
 from webloom.operators import catalogue as cat
 from webloom.operators.extract import cap_body
-from webloom.operators.ordered import previous_row, time_chunk
+from webloom.operators.ordered import previous_row
 from webloom.plans.registry import query
 from webloom.plans.views import with_tables
 from webloom.sources import tables as src
@@ -364,8 +364,7 @@ def transition_violations(t):
 )
 def status_history(t):
     return previous_row(
-        t.task_events.select("id", "task_id", "us", "status"), ["task_id"], ["us", "id"], {"prev_status": "status"},
-        time_chunk(F.col("us"), 86_400),
+        t.task_events.select("id", "task_id", "us", "status"), ["task_id"], ["us", "id"], {"prev_status": "status"}
     ).select("id", "task_id", "status", "prev_status")
 
 

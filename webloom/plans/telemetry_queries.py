@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from webloom.functions.clock import micros
 from webloom.operators import dedup, queue
 from webloom.operators import telemetry as tel
-from webloom.operators.ordered import time_chunk
 from webloom.plans.registry import query
 from webloom.plans.views import with_tables
 from webloom.streaming import windows as stream
@@ -104,36 +104,49 @@ def pending_per_task(t):
     return queue.pending_per_task(t.jobs)
 
 
-@query(
-    "a5_proxy_totals",
-    with_tables(
-        "fetch_log",
-        g="""SELECT *, sum(CASE WHEN status < 500 THEN 1 ELSE 0 END)
-                 OVER (PARTITION BY proxy_url ORDER BY us, fetch_id ROWS UNBOUNDED PRECEDING) AS island FROM fetch_log""",
-        r="""SELECT proxy_url, island, count(*) FILTER (status >= 500) AS run FROM g GROUP BY proxy_url, island""",
-    )
-    + """SELECT proxy_url, (SELECT count(*) FROM fetch_log f WHERE f.proxy_url = r.proxy_url) AS hits,
-                CAST(sum(run) AS BIGINT) AS fails, max(run) AS longest_run, max(run) < 3 AS healthy FROM r GROUP BY proxy_url""",
-)
+def _pool_log(t):
+    """Reports of three proxies that all fail now and then, so the pool is evicted and revived again and again."""
+    return t.events.select(
+        F.col("event_id").alias("fetch_id"), micros(F.col("ts")).alias("us"),
+        F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("proxy-"), (F.col("user_id") % 3 + 1).cast("string"))).alias("proxy_url"),
+        F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "signup", 407).otherwise(200).alias("status"),
+    )
+
+
+_POOL = with_tables(
+    l="""SELECT 'proxy-' || CAST(user_id % 3 + 1 AS VARCHAR) AS proxy_url, event_type IN ('error', 'signup') AS bad,
+                row_number() OVER (ORDER BY ts, event_id) AS rn FROM events WHERE event_id % 11 <> 0""",
+    g="""SELECT *, bad AND lag(bad, 1) OVER w AND lag(bad, 2) OVER w AS ends, lag(rn, 2) OVER w AS s,
+                sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY proxy_url ORDER BY rn ROWS UNBOUNDED PRECEDING) AS island
+         FROM l WINDOW w AS (PARTITION BY proxy_url ORDER BY rn)""",
+    span="SELECT proxy_url, s, rn AS e FROM g WHERE ends",
+    size="SELECT count(DISTINCT proxy_url) AS n FROM l",
+    round="""SELECT 0::BIGINT AS k, 0::BIGINT AS t UNION ALL
+             SELECT k + 1, max(e) FROM (SELECT k, proxy_url, min(e) AS e FROM round JOIN span ON s > t GROUP BY k, proxy_url), size
+             GROUP BY k, n HAVING count(*) = n""",
+    last="SELECT max(k) AS k, max(t) AS t FROM round",
+    proxy="""SELECT l.proxy_url, count(*) AS hits, count(*) FILTER (bad) AS fails, (SELECT max(r) FROM (SELECT count(*) FILTER (bad) AS r FROM g
+                 WHERE g.proxy_url = l.proxy_url GROUP BY island)) AS longest_run FROM l GROUP BY l.proxy_url""",
+    gone="SELECT DISTINCT proxy_url FROM span, last WHERE s > t",
+    recursive=True,
+)
+_POOL_ROWS = """SELECT proxy.*, last.k + CASE WHEN gone.proxy_url IS NULL THEN 0 ELSE 1 END AS evictions, gone.proxy_url IS NULL AS healthy
+    FROM last, proxy LEFT JOIN gone ON gone.proxy_url = proxy.proxy_url"""
+
+
+@query("a5_proxy_totals", _POOL + _POOL_ROWS, evictions="BIGINT")
 def proxy_totals(t):
-    return tel.proxy_totals(t.fetch_log, chunk_seconds=86_400)
+    return tel.proxy_totals(_pool_log(t))
 
 
 @query(
     "a5_pool_totals",
-    with_tables("fetch_log")
-    + """SELECT count(DISTINCT proxy_url) AS size, count(*) AS hits, count(*) FILTER (status >= 500) AS fails,
-                CAST((SELECT count(DISTINCT proxy_url) FROM (SELECT proxy_url, status, lag(status, 1) OVER w AS s1,
-                    lag(status, 2) OVER w AS s2 FROM fetch_log WINDOW w AS (PARTITION BY proxy_url ORDER BY us, fetch_id))
-                    WHERE status >= 500 AND s1 >= 500 AND s2 >= 500) AS BIGINT) AS evictions,
-                count(DISTINCT proxy_url) - CAST((SELECT count(DISTINCT proxy_url) FROM (SELECT proxy_url, status,
-                    lag(status, 1) OVER w AS s1, lag(status, 2) OVER w AS s2 FROM fetch_log
-                    WINDOW w AS (PARTITION BY proxy_url ORDER BY us, fetch_id))
-                    WHERE status >= 500 AND s1 >= 500 AND s2 >= 500) AS BIGINT) AS healthy
-         FROM fetch_log""",
+    _POOL
+    + f"""SELECT count(*) AS size, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(fails) AS BIGINT) AS fails,
+                 CAST(sum(evictions) AS BIGINT) AS evictions, count(*) FILTER (healthy) AS healthy FROM ({_POOL_ROWS})""",
 )
 def pool_totals(t):
-    return tel.pool_totals(tel.proxy_totals(t.fetch_log, chunk_seconds=86_400))
+    return tel.pool_totals(tel.proxy_totals(_pool_log(t)))
 
 
 @query(
@@ -148,7 +161,7 @@ def pool_totals(t):
                     ROWS UNBOUNDED PRECEDING) END AS BIGINT) AS consec FROM g""",
 )
 def failure_runs(t):
-    return tel.proxy_runs(t.fetch_log, chunk_seconds=86_400).select("fetch_id", "proxy_url", "consec")
+    return tel.proxy_runs(t.fetch_log).select("fetch_id", "proxy_url", "consec")
 
 
 @query(
@@ -160,7 +173,7 @@ def failure_runs(t):
          WHERE status >= 500 AND s1 >= 500 AND s2 >= 500 GROUP BY proxy_url""",
 )
 def proxy_evictions(t):
-    return tel.proxy_evictions(tel.proxy_runs(t.fetch_log, chunk_seconds=86_400))
+    return tel.proxy_evictions(tel.proxy_runs(t.fetch_log))
 
 
 _RR = """SELECT fetch_id, us, (row_number() OVER (ORDER BY us, fetch_id) - 1) % 3 AS slot FROM fetch_log"""
@@ -177,7 +190,7 @@ def round_robin(t):
 def _assigned(t):
     pool = F.array(*[F.lit(f"proxy-{i}") for i in (1, 2, 3)])
     log = t.fetch_log.select("fetch_id", "us").withColumn("pool", F.lit("main"))
-    return tel.round_robin(log, ["pool"], ["us", "fetch_id"], pool, time_chunk(F.col("us"), 86_400))
+    return tel.round_robin(log, ["pool"], ["us", "fetch_id"], pool)
 
 
 @query(
@@ -283,7 +296,7 @@ def recent_points(t):
 )
 def adaptive_rate(t):
     log = t.fetch_log.withColumn("base_qps", F.lit(4.0))
-    out = tel.adaptive_trace(log, HOUR, chunk_seconds=86_400)
+    out = tel.adaptive_trace(log, HOUR)
     return out.select("fetch_id", "domain", "factor", F.round("qps", 6).alias("qps"))
 
 
@@ -295,7 +308,7 @@ def adaptive_rate(t):
 )
 def burst_plan(t):
     requests = t.fetch_log.select("fetch_id", "domain", "us").withColumn("qps", F.lit(2.5))
-    out = tel.burst_plan(requests, ["us", "fetch_id"], time_chunk(F.col("us"), 86_400))
+    out = tel.burst_plan(requests, ["us", "fetch_id"])
     return out.select("fetch_id", "domain", F.round("admit_s", 6).alias("admit_s"))
 
 
@@ -325,7 +338,7 @@ def token_bucket(t):
         F.col("fetch_id").alias("id"), "domain", F.floor(F.col("us") / 20_000).alias("us"),
         (F.substring("domain", 2, 9).cast("int") % 5 + 1.0).alias("qps"),
     )
-    out = tel.admit_times(requests, chunk_seconds=20)
+    out = tel.admit_times(requests)
     return out.select(F.col("id").alias("fetch_id"), "domain", _six("wait_s"))
 
 
