@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import canonical_url
-from webloom.session import cut_lineage
+from webloom.session import cut_lineage, work_folder
 
 
 def link_graph(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -20,29 +20,35 @@ def link_graph(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(known, "link", "left").select(F.col("page_id").alias("from_page"), "link", "to_page")
 
 
-def expand_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+def expand_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """URLs reached from the seeds of each task and the depth they are first seen at.
 
-    ``seeds``: task_id, url; ``edges``: src, dst. One round per depth: the frontier meets the edges,
-    targets are made distinct, what was seen falls away. Each round is written to the checkpoint
-    folder, so a lost executor does not replay earlier rounds. Rounds end with an empty frontier or after
-    ``max_depth``, which has no upper limit; at least one round is run.
+    ``seeds``: task_id, url; ``edges``: src, dst. One round per depth: the last round's URLs meet the edges, targets are
+    made distinct, what was seen falls away, and the rest is appended to the table of what was seen. That table lies
+    in the checkpoint folder, bucketed by (task_id, url): a round moves its own targets to the buckets and nothing of
+    the rounds before it, and a lost executor replays one round. Rounds end with an empty one or after ``max_depth``,
+    if that is given; at least one is run.
     """
-    frontier = cut_lineage(seeds.select("task_id", "url").distinct().withColumn("depth", F.lit(0)))
-    rounds = [frontier]
-    for d in range(1, max(max_depth, 1) + 1):
-        # Distinct before the anti join: a hub's repeated targets are merged in the map tasks.
-        found = (
-            frontier.select("task_id", F.col("url").alias("src"))
-            .join(edges.select("src", "dst"), "src")
-            .select("task_id", F.col("dst").alias("url"))
-            .distinct()
-        )
-        seen = reduce(DataFrame.unionByName, rounds).select("task_id", "url")
-        frontier = cut_lineage(
-            found.join(seen, ["task_id", "url"], "left_anti").withColumn("depth", F.lit(d))
-        )
-        if frontier.isEmpty():
-            break
-        rounds.append(frontier)
-    return reduce(DataFrame.unionByName, rounds)
+    spark = seeds.sparkSession
+    buckets, name, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), f"frontier_{uuid.uuid4().hex}", work_folder(spark)
+    key = ["task_id", "url"]
+
+    def add(delta: DataFrame) -> None:
+        delta.select(*key, "depth").write.mode("append").bucketBy(buckets, *key).option("path", folder).saveAsTable(name)
+
+    add(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
+    edges, depth = edges.select("src", "dst"), 0
+    try:
+        while depth < (max(max_depth, 1) if max_depth is not None else depth + 1):
+            last = spark.table(name).filter(F.col("depth") == depth).select("task_id", F.col("url").alias("src"))
+            depth += 1
+            # Distinct before the anti join: a hub's repeated targets are merged in the map tasks.
+            found = last.join(edges, "src").select("task_id", F.col("dst").alias("url")).distinct()
+            # Written aside before it is appended: a round reads the table that it adds to.
+            new = cut_lineage(found.join(spark.table(name).select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
+            if new.isEmpty():
+                break
+            add(new)
+        return spark.read.schema("task_id {}, url string, depth int".format(seeds.schema["task_id"].dataType.simpleString())).parquet(folder)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the name only: its files stay

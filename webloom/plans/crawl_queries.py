@@ -306,17 +306,17 @@ def link_graph(t):
     "x15_frontier",
     with_tables(
         "edges",
-        reach="""SELECT task_id, url, 0 AS depth FROM (VALUES (1, 'o1'), (1, 'o2'), (2, 'o1'), (2, 'o3')) s(task_id, url)
-                 UNION SELECT r.task_id, e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.url WHERE r.depth < 3""",
+        reach="""SELECT o_custkey AS task_id, 'o' || CAST(o_orderkey AS VARCHAR) AS url, 0 AS depth FROM orders
+                 UNION SELECT r.task_id, e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.url""",
         recursive=True,
     )
     + "SELECT task_id, url, min(depth) AS depth FROM reach GROUP BY task_id, url",
 )
 def frontier_rounds(t):
-    rows = [(1, "o1"), (1, "o2"), (2, "o1"), (2, "o3")]
-    seeds = t.lineitem.select(F.explode(F.array(*[F.struct(F.lit(a).alias("task_id"), F.lit(b).alias("url")) for a, b in rows])).alias("s"))
+    """Every customer is a task and starts from all its orders; rounds go on until nothing new is found."""
+    seeds = t.orders.select(F.col("o_custkey").alias("task_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("url"))
     # The edges are an aggregate here; they are written once instead of once per round.
-    return frontier.expand_frontier(seeds.select("s.*"), cut_lineage(t.edges), 3)
+    return frontier.expand_frontier(seeds, cut_lineage(t.edges))
 
 
 # One crawl step -----------------------------------------------------------------------------------

@@ -205,17 +205,15 @@ def balance(t):
 @query(
     "j9_shared_hits",
     with_tables("fetch_log")
-    + """SELECT l.proxy_url, greatest(l.hits, coalesce(s.hits, 0)) AS hits FROM
-           (SELECT proxy_url, count(*) AS hits FROM fetch_log WHERE worker_id = 'worker-1' GROUP BY 1) l LEFT JOIN
-           (SELECT proxy_url, count(*) AS hits FROM fetch_log WHERE proxy_url <> 'proxy-2' GROUP BY 1) s
-           ON l.proxy_url = s.proxy_url""",
+    + """SELECT l.worker_id, l.proxy_url, greatest(l.hits, s.hits) AS hits FROM
+           (SELECT worker_id, proxy_url, count(*) AS hits FROM fetch_log GROUP BY 1, 2) l LEFT JOIN
+           (SELECT proxy_url, count(*) // 4 AS hits FROM fetch_log GROUP BY 1) s ON l.proxy_url = s.proxy_url""",
 )
 def shared_hits(t):
-    def hits(df):
-        return df.groupBy("proxy_url").agg(F.count(F.lit(1)).alias("hits"))
-
-    local, shared = t.fetch_log.filter("worker_id = 'worker-1'"), t.fetch_log.filter("proxy_url <> 'proxy-2'")
-    return tel.shared_hits(hits(local), hits(shared))
+    """Counters of every worker against a shared one that holds a quarter of all hits."""
+    local = t.fetch_log.groupBy("worker_id", "proxy_url").agg(F.count(F.lit(1)).alias("hits"))
+    shared = t.fetch_log.groupBy("proxy_url").agg(F.floor(F.count(F.lit(1)) / 4).alias("hits"))
+    return tel.shared_hits(local, shared).select("worker_id", "proxy_url", "hits")
 
 
 @query(
@@ -423,7 +421,8 @@ def job_order(t):
     "t3_take_next",
     with_tables("jobs")
     + """SELECT id, priority, 'worker-1' AS owner, CAST(1000030 AS BIGINT) AS lease_expiry FROM jobs
-         WHERE lease_expiry IS NULL ORDER BY priority DESC, enqueued_at, attempt, id LIMIT 25""",
+         WHERE lease_expiry IS NULL
+         ORDER BY -CAST(priority AS DOUBLE) * 1e13 + CAST(enqueued_at AS DOUBLE) + attempt * CAST(0.001 AS DOUBLE), id LIMIT 25""",
 )
 def take_next(t):
     ready = t.jobs.filter("lease_expiry IS NULL")
@@ -479,7 +478,7 @@ def dropped_counts(t):
     "j8_idle_tasks",
     with_tables(
         "jobs", "tasks", "fetch_log",
-        pending="SELECT DISTINCT task_id FROM jobs WHERE enqueued_at <= 789177600",
+        pending="SELECT DISTINCT task_id FROM jobs WHERE lease_expiry IS NOT NULL",
         stats="""SELECT task_id, count(*) FILTER (fetch_id % 17 <> 0 AND fetch_id % 13 <> 0) AS crawled
                  FROM fetch_log GROUP BY task_id""",
     )
@@ -487,11 +486,10 @@ def dropped_counts(t):
          WHERE status = 'running' AND t.id NOT IN (SELECT task_id FROM pending)""",
 )
 def idle_tasks(t):
-    """Pending here: the jobs of the first days."""
-    pending = t.jobs.filter("enqueued_at <= 789177600")
+    """Running tasks with no job in flight."""
     stats = tel.task_counters(_outcomes(t))
     tasks = t.tasks.withColumnRenamed("id", "task_id")
-    return queue.idle_tasks(tasks, pending, stats).select("task_id", "crawled")
+    return queue.idle_tasks(tasks, t.jobs.filter("lease_expiry IS NOT NULL"), stats).select("task_id", "crawled")
 
 
 @query(
@@ -558,6 +556,7 @@ def fresh_urls_by_bloom(t):
 _BITS = """SELECT DISTINCT task_id, (h1 + i * h2) % 4093 AS p FROM (
              SELECT task_id, ('0x' || substr(md5(url), 1, 8))::BIGINT AS h1, ('0x' || substr(md5(url), 9, 8))::BIGINT AS h2
              FROM (SELECT DISTINCT task_id, url FROM crawl_results WHERE l_linenumber = 1)), range(4) r(i)"""
+_ALL_BITS = _BITS.replace(" WHERE l_linenumber = 1", "")
 
 
 @query(
@@ -569,7 +568,7 @@ _BITS = """SELECT DISTINCT task_id, (h1 + i * h2) % 4093 AS p FROM (
          LEFT JOIN bits b ON b.task_id = o.task_id AND b.p = o.p GROUP BY o.task_id, o.url""",
 )
 def maybe_seen(t):
-    bloom = dedup.build_bloom(_seen(t), 4093, 4, "md5")
+    bloom = dedup.build_bloom(_offers(t), 4093, 4, "md5")
     return dedup.maybe_seen(_offers(t), bloom, 4093, 4, "md5")
 
 
@@ -588,24 +587,24 @@ def bloom_sizing(t):
 
 @query(
     "a7_bloom_pieces",
-    with_tables("crawl_results", bits=_BITS.replace("4093", "95850583").replace("range(4)", "range(7)"))
+    with_tables("crawl_results", bits=_ALL_BITS.replace("4093", "95850583").replace("range(4)", "range(7)"))
     + """SELECT task_id, CASE WHEN p > 0 THEN 1 + (p - 1) // 32768 ELSE 0 END AS bucket, count(*) AS n_bits
          FROM bits GROUP BY 1, 2""",
 )
 def bloom_pieces(t):
-    bloom = dedup.build_bloom(_seen(t), hasher="md5")
+    bloom = dedup.build_bloom(_offers(t), hasher="md5")
     return bloom.select("task_id", "bucket", F.bitmap_count("bits").alias("n_bits"))
 
 
 @query(
     "a8_bloom_stats",
-    with_tables("crawl_results", bits=_BITS, s="SELECT task_id, count(*) AS set_bits FROM bits GROUP BY task_id")
+    with_tables("crawl_results", bits=_ALL_BITS, s="SELECT task_id, count(*) AS set_bits FROM bits GROUP BY task_id")
     + """SELECT task_id, set_bits, round(set_bits / 4093.0, 9) AS fill_ratio,
                 round(-4093.0 / 4 * ln(1 - set_bits / 4093.0), 6) AS est_items, round(pow(set_bits / 4093.0, 4), 9) AS est_fp_rate
          FROM s""",
 )
 def bloom_stats(t):
-    out = dedup.bloom_stats(dedup.build_bloom(_seen(t), 4093, 4, "md5"), 4093, 4)
+    out = dedup.bloom_stats(dedup.build_bloom(_offers(t), 4093, 4, "md5"), 4093, 4)
     return out.select(
         "task_id", "set_bits", F.round("fill_ratio", 9).alias("fill_ratio"), F.round("est_items", 6).alias("est_items"),
         F.round("est_fp_rate", 9).alias("est_fp_rate"),

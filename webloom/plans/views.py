@@ -49,7 +49,7 @@ class Tables:
             F.col("o_custkey").alias("task_id"),
             (F.lit(6) - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"),
             F.floor(micros(F.col("o_orderdate")) / 1_000_000).alias("enqueued_at"),
-            F.lit(0).alias("attempt"),
+            (F.col("o_orderkey") % 4).alias("attempt"),
             (F.col("o_orderkey") % 2).alias("reclaims"),
         ).join(leases, "id", "left")
 
@@ -170,7 +170,7 @@ CTE = {
     "jobs": """
         SELECT o_orderkey AS id, o_custkey AS task_id,
                6 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority,
-               CAST(floor(epoch(o_orderdate)) AS BIGINT) AS enqueued_at, 0 AS attempt, o_orderkey % 2 AS reclaims,
+               CAST(floor(epoch(o_orderdate)) AS BIGINT) AS enqueued_at, o_orderkey % 4 AS attempt, o_orderkey % 2 AS reclaims,
                lease_expiry
         FROM orders LEFT JOIN leases ON leases.id = orders.o_orderkey""",
     "rules": """

@@ -41,15 +41,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a table into the checkpoint folder and read it back; it outlives the executors, and goes when the driver ends.
-
-    Unlike a checkpoint of Spark's own, which runs a query once to count it and once to save it, this runs it once.
-    """
-    spark = df.sparkSession
+def work_folder(spark: SparkSession) -> str:
+    """Path for a work table inside the checkpoint folder; it is deleted when the driver ends."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a table into the checkpoint folder and read it back; it outlives the executors.
+
+    Unlike a checkpoint of Spark's own, which runs a query once to count it and once to save it, this runs it once.
+    """
+    folder = work_folder(df.sparkSession)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
