@@ -17,7 +17,6 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,7 +93,6 @@ def _script(letter: str) -> str:
     return unicodedata.name(letter, "LATIN").split(" ")[0].split("-")[0]
 
 
-@lru_cache(maxsize=None)
 def _pool(script: str) -> str:
     """Letters of a script, in lower case where it has cases."""
     return ALPHABETS.get(script) or "".join(c for c in map(chr, range(0x10000)) if c.isalpha() and c == c.lower() and _script(c) == script)
@@ -105,6 +103,12 @@ class Surrogates:
 
     def __init__(self, key: bytes):
         self.key = key
+        self.pools: dict[str, str] = {}
+
+    def _letters(self, script: str) -> str:
+        if script not in self.pools:
+            self.pools[script] = _pool(script)
+        return self.pools[script]
 
     def _stream(self, *parts: object) -> int:
         return int.from_bytes(hmac.digest(self.key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256), "big")
@@ -131,7 +135,7 @@ class Surrogates:
     def _word(self, like: str, seed: int, end: str = "", least: int = 6) -> str:
         """Pronounceable letters, in the case of ``like``; letters beyond ASCII call for one of their script."""
         script = next((_script(c) for c in like if c.isalpha()), "LATIN")
-        if script != "LATIN" and (pool := _pool(script)):
+        if script != "LATIN" and (pool := self._letters(script)):
             cased = like.lower() != like.upper()
             size, out = max(len(like), least if cased else 3), ""
             for _ in range(size):
