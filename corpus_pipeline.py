@@ -19,10 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; rows without id stay."""
+    """One document, that of the smallest id, of each group of near duplicates; rows without id stay.
+
+    Repeated rows are one; an id with several texts keeps each of them.
+    """
     found = neardup.near_duplicates(docs, size=5)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
 
 
@@ -38,8 +41,13 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length bucket, batch and slot of every document."""
-    return packing.pack(docs, packing.words_in(F.col("text")))
+    """Every document with its length in words, bucket, padded length, batch and slot.
+
+    Rows are numbered in a work table, so repeated ids and rows without id keep their own texts.
+    """
+    rows = keep(docs.withColumn("__row", F.monotonically_increasing_id()), work_folder(spark, "pack"), "rows")
+    placed = packing.pack(rows.select("__row", "text"), packing.words_in(F.col("text")), key="__row")
+    return rows.join(placed, "__row").drop("__row")
 
 
 STAGES = [
@@ -50,7 +58,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: The stages learn a model, estimate similarities and run dynamic programmes: no SQL; tested against brute force.
+#: The stages learn a model, estimate similarities and run dynamic programmes: no SQL.
 ORACLE_SQL = None
 
 
