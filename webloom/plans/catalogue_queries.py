@@ -101,7 +101,7 @@ def encode_json(t):
     with_tables("jobs")
     + """SELECT CAST(id AS VARCHAR) AS id, task_id, task_id AS rule_id, CAST(1 AS INT) AS rule_version,
                 'http://h/' || CAST(id AS VARCHAR) AS url, CAST(0 AS INT) AS depth, CAST(priority AS INT) AS priority,
-                CAST(0 AS INT) AS attempt, enqueued_at FROM jobs""",
+                CAST(attempt AS INT) AS attempt, enqueued_at FROM jobs""",
 )
 def job_messages(t):
     """Jobs through their JSON message and back."""
