@@ -198,3 +198,21 @@ def rebuilt_lengths(rows):
 def test_prefix_trie_of_nothing(spark):
     got = trie.build(op12.rebuilt(trie.sequences(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))))
     assert got.nodes.collect() == [] and trie.digest_of_ends(got.ends).collect() == []
+
+
+def test_words_encoded_by_pieces_equal_whole_texts():
+    """Runs that mix plain words, signs, other scripts, combining marks, special tokens and broken UTF-8."""
+    import random
+
+    from webloom.llm import tokens
+    from webloom.llm.op2 import word_tokenizer
+
+    parts = ["a", "B", "é", "É", "ß", "1", "2", ".", "'", "é", " ", " ", "  ", "\t", "\r\n", "\x0b", "\x1c", "\x85", "日本", "<|", "ﬁ", "🙂", "don't", "​", ""]
+    draw = random.Random(1)
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))).encode() for _ in range(1500)]
+    texts += [b"", b"  ", b"\xff\xfe a", b"\xcc"]
+    encoder = tokens.Encoder(word_tokenizer(), True)
+    for _ in range(2):  # the second time all words are known
+        ids, n = encoder(texts)
+        whole = encoder._raw(texts)
+        assert n.tolist() == [len(x) for x in whole] and ids.tolist() == [i for x in whole for i in x]

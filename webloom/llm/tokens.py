@@ -17,13 +17,16 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +42,13 @@ STORE_WORDS = 1_200_000
 # Encoding of texts ----------------------------------------------------------------------------
 
 
-SIMPLE = "[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\\[-`{-~]+"
+SIGNS = "[!-&(-/:-@\\[-`{-~]+"
+PIECE = f"[a-zß-öø-ÿ]+|[0-9]|{SIGNS}"
 
 
-class Numbered(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
+def _listed(column: pa.Array) -> list:
+    """As ``to_pylist``, several times as fast for strings."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
@@ -80,12 +77,12 @@ class Encoder:
             vocab = self.tok.get_vocab()
             self.last = np.zeros(max(vocab.values()) + 1, bool)
             self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-            self.piece = re.compile(SIMPLE)
-            self.plain = re.compile(f"(?:{SIMPLE})+")
+            self.piece = re.compile(PIECE)
+            self.plain = re.compile(f"(?:{PIECE})+")
         self._empty()
 
     def _empty(self) -> None:
-        self.known = Numbered()
+        self.known: dict[bytes, int] = {}
         self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,36 +96,55 @@ class Encoder:
         batch = [t.decode("utf-8", "replace") for t in texts]
         return [e.ids for e in self.tok.encode_batch_fast(batch, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        """Ids of the words numbered since the last call: plain ones by their pieces, others as the library takes them."""
-        fresh, base = self.known.fresh, len(self.at)
-        leaves, texts, odd, joined, parts = [], [], [], [], []
-        for i, w in enumerate(fresh):  # pieces that are new are appended meanwhile
-            u = w.decode("utf-8", "replace")
-            u = u if u.isascii() else u.lower()
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words; new ones are learnt."""
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh = list(map(words.__getitem__, new.tolist()))
+            number[new] = base = np.arange(len(self.known), len(self.known) + len(fresh))
+            self.known.update(zip(fresh, base.tolist()))
+            self._learn(fresh, base)
+        return number
+
+    def _learn(self, fresh: list[bytes], number: np.ndarray) -> None:
+        """Ids of new words: plain ones by their pieces, others as the library takes them."""
+        self.at = np.concatenate([self.at, np.zeros(len(fresh), np.int64)])
+        self.size = np.concatenate([self.size, np.zeros(len(fresh), np.int64)])
+        words = blobs(fresh).view(pa.string())
+        leaf = pc.match_substring_regex(words, f"^(?:{PIECE})$").to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(words, f"^(?:{PIECE})+$").to_numpy(zero_copy_only=False) & ~leaf
+        texts, leaves, odd, joined, parts = _listed(words.filter(pa.array(leaf))), number[leaf].tolist(), [], [], []
+        for i in np.flatnonzero(~(leaf | plain)).tolist():
+            u = fresh[i].decode("utf-8", "replace").lower()
             if not self.plain.fullmatch(u):
                 odd.append(i)
             elif len(ps := self.piece.findall(u)) == 1:
-                leaves.append(i), texts.append(u)
+                leaves.append(number[i]), texts.append(u)
             else:
-                joined.append(i), parts.append([self.known[p.encode()] for p in ps])
+                joined.append(i), parts.append(ps)
         rows = [" ".join(texts[i : i + 400]) for i in range(0, len(texts), 400)]
         ids = [np.asarray(e.ids, np.uint32) for e in self.lean.encode_batch_fast(rows, add_special_tokens=False)]
-        self.at = np.concatenate([self.at, np.zeros(len(fresh), np.int64)])
-        self.size = np.concatenate([self.size, np.zeros(len(fresh), np.int64)])
         flat = np.concatenate([np.zeros(0, np.uint32), *ids])
         ends = np.flatnonzero(self.last[flat]) + 1
         if len(ends) != len(leaves):
             raise ValueError("this tokenizer does not mark the end of words; use by_word=False")
-        self._put(base + np.array(leaves, np.int64), flat, np.diff(np.concatenate(([0], ends))))
+        self._put(np.array(leaves, np.int64), flat, np.diff(np.concatenate(([0], ends))))
         ids = self._raw([fresh[i] for i in odd])
         size = np.array([len(x) for x in ids], np.int64)
-        self._put(base + np.array(odd, np.int64), np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size)
-        if joined:
-            n = np.array([len(p) for p in parts], np.int64)
-            flat, size = self._gather(np.fromiter((i for p in parts for i in p), np.int64, int(n.sum())))
-            self._put(base + np.array(joined, np.int64), flat, np.add.reduceat(size, np.cumsum(n) - n))
-        fresh.clear()
+        self._put(number[odd], np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size)
+        cut = pc.replace_substring_regex(words.filter(pa.array(plain)), f"({PIECE})", "\\1 ")
+        cut = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(cut))
+        self._put_joined(number[plain], pc.list_value_length(cut), cut.flatten())
+        self._put_joined(number[joined], pa.array([len(p) for p in parts], pa.int32()), pa.array(list(chain.from_iterable(parts)), pa.string()))
+
+    def _put_joined(self, which: np.ndarray, n: pa.Array, pieces: pa.Array) -> None:
+        """Words that consist of ``n`` pieces each, all pieces in a row."""
+        if len(which):
+            n = n.to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pieces.view(pa.binary()).dictionary_encode()
+            flat, size = self._gather(self._numbers(_listed(coded.dictionary))[coded.indices.to_numpy()])
+            self._put(which, flat, np.add.reduceat(size, np.cumsum(n) - n))
 
     def _put(self, which: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         self.at[which], self.size[which] = len(self.pool) + np.cumsum(size) - size, size
@@ -136,27 +152,34 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, tokens per text)."""
-        whole = [not self.by_word or b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
-        if any(whole):
-            ids = [self._raw([t])[0] if x else self([t])[0] for t, x in zip(texts, whole)]
-            return np.concatenate([np.asarray(x, np.uint32) for x in ids]), np.array([len(x) for x in ids], np.int64)
+        whole = np.array([not self.by_word or b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts], bool)
+        if not whole.any():
+            return self._by_words(texts)
+        alone = [np.asarray(x, np.uint32) for x in self._raw([t for t, x in zip(texts, whole) if x])]
+        flat, n = self._by_words([t for t, x in zip(texts, whole) if not x])
+        others = np.split(flat, np.cumsum(n))
+        turns = [iter(others), iter(alone)]
+        ids = [next(turns[int(x)]) for x in whole]
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+    def _by_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words are split and numbered by Arrow: Python meets each distinct word of a run once.
+
+        White space at an end of a text gives an empty word, which has no ids.
+        """
         if len(self.at) > STORE_WORDS:
             self._empty()
-        words = [t.lower().split() for t in texts]
-        n = np.array([len(ws) for ws in words], np.int64)
-        which = np.array([*map(self.known.__getitem__, chain.from_iterable(words))], np.int64)
-        if self.known.fresh:
-            self._learn()
-        flat, size = self._gather(which)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(blobs(texts).view(pa.string())))
+        n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().view(pa.binary()).dictionary_encode()
+        flat, size = self._gather(self._numbers(_listed(coded.dictionary))[coded.indices.to_numpy()])
         last = np.concatenate(([0], np.cumsum(size)))[np.cumsum(n)]
         return flat, np.diff(np.concatenate(([0], last)))
 
 
 def encoder_of(path: str, by_word: bool) -> Encoder:
     """The encoder of this Python worker; it outlives the task, as the code of a task does not."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders")).__dict__
     if (path, by_word) not in kept:
         kept[path, by_word] = Encoder(path, by_word)
     return kept[path, by_word]
@@ -212,7 +235,7 @@ class Codec:
         size = lengths[order].astype(np.int64)
         room = 1 << (self.width - size)
         self.cell = 2 if self.width <= 16 else 4  # bytes that a code is written from
-        self.left = np.zeros(len(lengths), f">u{self.cell}")
+        self.left = np.zeros(len(lengths), np.uint64)
         self.left[order] = (np.cumsum(room) - room) << (8 * self.cell - self.width)
         self.symbol, self.step = np.zeros(1 << self.width, np.uint32), np.ones(1 << self.width, np.uint8)
         self.symbol[: room.sum()], self.step[: room.sum()] = np.repeat(order, room), np.repeat(size, room)
@@ -220,22 +243,32 @@ class Codec:
     def encode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         """Per document its bits, filled up to whole bytes, and the bit offsets of every STRIDE-th id (u32)."""
         size = self.lengths[ids].astype(np.int64)
-        ends = np.cumsum(counts)
-        total = np.diff(np.concatenate(([0], np.concatenate(([0], np.cumsum(size)))[ends])))
-        left = np.insert(self.left[ids], ends, 0)
-        size = np.insert(size, ends, -total % 8)  # the fill after each document
-        parts, rest = [], np.zeros(0, np.uint8)
-        for a in range(0, len(size), 1 << 15):
-            bits = np.unpackbits(left[a : a + (1 << 15)].view(np.uint8).reshape(-1, self.cell), axis=1)
-            bits = np.concatenate([rest, bits[np.arange(8 * self.cell) < size[a : a + (1 << 15), None]]])
-            whole = len(bits) // 8 * 8
-            parts.append(np.packbits(bits[:whole]).tobytes())
-            rest = bits[whole:]
-        raw, starts = b"".join(parts), np.cumsum(size) - size
+        at = np.cumsum(size) - size
+        firsts = np.cumsum(counts) - counts
+        total = np.diff(np.concatenate((at, [size.sum()]))[np.append(firsts, len(ids))])
         cuts = np.concatenate(([0], np.cumsum((total + 7) // 8)))
-        first = np.concatenate(([0], (ends + np.arange(1, len(ends) + 1))[:-1]))
-        marks = [(starts[f : f + n : STRIDE] - starts[f]).astype("<u4").tobytes() for f, n in zip(first, counts)]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])], marks
+        at += np.repeat(8 * cuts[:-1] - (np.cumsum(total) - total), counts)  # a document begins at a whole byte
+        raw = self._bits(self.left[ids], at, int(cuts[-1]))
+        strides = -(-counts // STRIDE)
+        ends = np.cumsum(strides)
+        rank = np.arange(int(strides.sum())) - np.repeat(ends - strides, strides)
+        marks = at[np.repeat(firsts, strides) + STRIDE * rank] - np.repeat(8 * cuts[:-1], strides)
+        marks, ends = marks.astype("<u4").tobytes(), np.concatenate(([0], 4 * ends)).tolist()
+        cuts = cuts.tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])], [marks[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _bits(self, left: np.ndarray, at: np.ndarray, size: int) -> bytes:
+        """Codes laid down at their ascending bit offsets: those that begin in one 32-bit cell are added up in 64 bits,
+        whose lower half belongs to the next cell."""
+        out = np.zeros(size // 4 + 2, np.uint32)
+        if len(at):
+            cell = at >> 5
+            value = left << (np.uint64(64 - 8 * self.cell) - (at & 31).astype(np.uint64))
+            begins = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            value, cell = np.add.reduceat(value, begins), cell[begins]
+            out[cell] = (value >> np.uint64(32)).astype(np.uint32)
+            out[cell + 1] += value.astype(np.uint32)
+        return out.astype(">u4").tobytes()[:size]
 
     def decode(self, blocks: list[tuple[bytes, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """Ids of blocks (bits, checkpoints, tokens from each checkpoint); all strides of all blocks advance together."""
@@ -305,25 +338,36 @@ def _lengths(f) -> np.ndarray:
     return np.frombuffer(zlib.decompress(f.read(size)), np.uint8, n)
 
 
+ENCODED = "k long, width int, ids binary, counts binary"
 MANIFEST = "file string, part int, block int, offset long, size long, documents long, tokens long, before long"
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool, text: str, key: str) -> DataFrame:
-    """(k, ids) per row: ids of the whole text and the end id, as u16 or, for larger vocabularies, u32."""
+    """(k, ids) per row: ids of the whole text and the end id, as u16 or, for larger vocabularies, u32.
+
+    The last row of a task has no ids but ``counts``, how often each id occurred in the task (i64 by id).
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer, by_word)
         kind = "<u2" if max(encoder.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        total, names = np.zeros(0, np.int64), ["k", "width", "ids", "counts"]
         for batch in batches:
-            for a, texts in texts_of(batch.column(1), 4 << 20):
+            for a, texts in texts_of(batch.column(1), 8 << 20):
                 flat, n = _with_end(*encoder(texts), end_id)
-                ends, flat = np.cumsum(n), flat.astype(kind)
+                more = np.bincount(flat, minlength=len(total))
+                more[: len(total)] += total
+                ends, flat, total = np.cumsum(n), flat.astype(kind), more
                 rows = [flat[e - c : e].tobytes() for e, c in zip(ends, n)]
                 wide = pa.array(np.full(len(rows), int(kind[-1]), np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(rows)), wide, blobs(rows)], ["k", "width", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(rows)), wide, blobs(rows), pa.nulls(len(rows), pa.binary())], names)
+        if len(total):
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), blobs([total.astype("<i8").tobytes()])], names
+            )
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), bytes_of(F.col(f"`{text}`")).alias("t"))
-    return rows.mapInArrow(encode, "k long, width int, ids binary")
+    return rows.mapInArrow(encode, ENCODED)
 
 
 def _ids(batch: pa.RecordBatch, width: int, ids: int, most: int = 1 << 20):
@@ -335,19 +379,17 @@ def _ids(batch: pa.RecordBatch, width: int, ids: int, most: int = 1 << 20):
 
 
 def count_ids(encoded: DataFrame) -> np.ndarray:
-    """Global counts of ids. Tasks send one row per id that they saw; the driver gets one per id of the vocabulary."""
+    """Global counts of ids from the counts of the tasks; the driver gets one row per id of the vocabulary."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for _, flat, _ in _ids(batch, 0, 1):
-                more = np.bincount(flat, minlength=len(total))
-                more[: len(total)] += total
-                total = more
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+            for raw in batch.column(0).to_pylist():
+                total = np.frombuffer(raw, "<i8")
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    rows = encoded.select("width", "ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = encoded.filter("counts IS NOT NULL").select("counts").mapInArrow(counts, "id long, n long")
+    rows = rows.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
     total[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return total
@@ -358,14 +400,14 @@ def write_corpus(
 ) -> DataFrame:
     """Encode all texts and write them in ascending key order below ``folder``; gives the manifest.
 
-    Texts are encoded once into a work table, from which ids are counted and coded; only coded bits
+    Texts are encoded once into a work table, and their ids counted on the way; only coded bits
     are shuffled, by ranges of the key. A task writes under a name of its own, and only files of tasks
     that succeeded are in the manifest. Null texts are empty, null keys come first, rows of equal keys
     follow each other in order of their bits.
     """
     spark = docs.sparkSession
     encode_texts(docs, tokenizer, end_id, by_word, text, key).write.option("compression", "zstd").parquet(f"{folder}/ids")
-    encoded = spark.read.schema("k long, width int, ids binary").parquet(f"{folder}/ids")
+    encoded = spark.read.schema(ENCODED).parquet(f"{folder}/ids")
     lengths = code_lengths(count_ids(encoded))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +457,7 @@ def write_corpus(
             columns = [x.split(" ") for x in MANIFEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*rows), columns)], [c for c, _ in columns])
 
-    coded = encoded.mapInArrow(code, "k long, n long, bits binary, marks binary")
+    coded = encoded.filter("counts IS NULL").select("k", "width", "ids").mapInArrow(code, "k long, n long, bits binary, marks binary")
     ordered = coded.repartitionByRange("k").sortWithinPartitions("k", "n", "bits")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     discard(spark, folder, "ids")
