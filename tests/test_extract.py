@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.functions.selectors import css_plan_lit, read_css, read_regex, read_xpath
+from webloom.functions.selectors import css_plan_lit, path_plan_lit, read_css, read_regex, read_xpath
 from webloom.operators import extract, induction
 from webloom.sources.tables import append_results
 
@@ -89,7 +89,10 @@ def doms(library):
         ("li span:nth-of-type(2)", 9), ("p a:not-supported", None), ("p a:only-of-type", 1),
         ("li:nth-child(3) .year, h1", 2),
         ("a:not(.entry)", 1), ("li:not(#w-2):not([id='w-3'])", 7), ("span:not(.who, .year)", 0), ("li > :not(span)", 27),
-        ("meta:empty", 1), ("li:empty", 0), (":not(a.entry)", None), ("a:not()", None),
+        ("meta:empty", 1), ("li:empty", 0), ("a:not()", None),
+        ("li > :not(span.who)", 36), ("li:has(cite)", 9), ("li:has(> cite)", 9), ("ol:has(> cite)", 0), ("li:has(> a)", 9), ("ol:has(span.year, b)", 1),
+        ("li:has(h1)", 0), ("cite:contains('Study 3')", 1), ("li:contains(Study)", 9), ("li:containsOwn(Study)", 0),
+        ("li:has(cite:contains('Study 3')) > span", 2), ("li:not(:contains('Study 3'))", 8), ("li:has(a:has(b))", None),
     ],
 )
 def test_css_subset(doms, selector, hits):
@@ -104,7 +107,7 @@ def test_readers_reject_what_they_do_not_cover():
     for bad in ("", "a >", "> a", "a,,b", "a b[", "div:hover"):
         with pytest.raises(ValueError):
             read_css(bad)
-    for bad in ("", "//a[text()='x']", "(//a)[1]", "a|b", "//a[@x"):
+    for bad in ("", "(//a)[1]", "a|@b", "//a[@x", "//a|", "//a[not(not(@x))]"):
         with pytest.raises(ValueError):
             read_xpath(bad)
     assert read_regex(r"(?P<a>x)(y)") == (r"(?d)(?<a>x)(y)", 1)
@@ -148,3 +151,15 @@ def test_results_are_appended_per_task(spark, library, tmp_path):
 def test_body_cap(spark):
     big = spark.range(1).select(F.concat(F.repeat(F.lit("a"), extract.BODY_CAP - 1), F.lit("éb")).alias("h"))
     assert big.select(F.length(extract.cap_body(F.col("h")))).first()[0] == extract.BODY_CAP
+
+
+@pytest.mark.parametrize(
+    ("path", "hits"),
+    [
+        ("//cite | //h1", 10), ("//cite[text()='Study 3']", 1), ("//li[contains(., 'Study 3')]", 1),
+        ("//span[not(@class='who')]", 9), ("//li[starts-with(text(), 'Study')]", 0), ("//a[not(contains(@href, '/works'))]", 1),
+    ],
+)
+def test_xpath_unions_and_tests(doms, path, hits):
+    found = extract.select_nodes(F.col("dom.nodes"), path_plan_lit(path), F.lit(0), F.lit(0), F.col("dom.text"))
+    assert doms.select(F.size(found).alias("hits")).first().hits == hits

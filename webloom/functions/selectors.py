@@ -16,11 +16,15 @@ from pyspark.sql.types import StringType
 
 from webloom.functions.urls import apply_sql, let
 
-STEP = (
-    "struct<comb:string,tag:string,id:string,classes:array<string>,"
+_TESTS = (
+    "comb:string,tag:string,id:string,classes:array<string>,"
     "attrs:array<struct<name:string,op:string,value:string>>,nth:array<struct<of:string,a:int,b:int>>,"
-    "barred:array<struct<kind:string,name:string,op:string,value:string>>>"
+    "texts:array<struct<own:boolean,op:string,value:string>>"
 )
+# What an element must not match (``barred``), and lists of which it must hold a match each (``has``).
+BARRED = f"array<struct<{_TESTS}>>"
+HAS = f"array<array<struct<{_TESTS}>>>"
+STEP = f"struct<{_TESTS},barred:{BARRED},has:{HAS}>"
 ALTERNATIVES = f"array<array<{STEP}>>"
 FIELD_PLAN = (
     f"struct<name:string,kind:string,attr:string,alts:{ALTERNATIVES},take:string,"
@@ -36,7 +40,8 @@ _CSS_PART = re.compile(
     |\.(?P<cls>[\w-]+)
     |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*!]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]
     |:(?P<nth>nth-(?:last-)?(?:child|of-type))\(\s*(?P<expr>[^)]*?)\s*\)
-    |:not\((?P<barred>[^()]*)\)
+    |:(?P<inner>not|has)\((?P<list>(?:[^()"']|"[^"]*"|'[^']*'|\([^()]*\))*)\)
+    |:(?P<text>contains|containsOwn)\(\s*(?:"(?P<tdq>[^"]*)"|'(?P<tsq>[^']*)'|(?P<tbare>[^()"']*?))\s*\)
     |:(?P<pseudo>empty|first-child|last-child|only-child|first-of-type|last-of-type|only-of-type)""",
     re.X,
 )
@@ -53,23 +58,25 @@ _PSEUDO = {
 
 
 def _step(comb: str) -> dict:
-    return {"comb": comb, "tag": "", "id": "", "classes": [], "attrs": [], "nth": [], "barred": []}
+    return {"comb": comb, "tag": "", "id": "", "classes": [], "attrs": [], "nth": [], "texts": [], "barred": [], "has": []}
 
 
 def _attr_test(m: re.Match) -> dict:
     return {"name": m["attr"].lower(), "op": m["op"] or "", "value": m["dq"] or m["sq"] or m["bare"] or ""}
 
 
-def _barred(part: str, selector: str) -> dict:
-    """One simple selector (tag, id, class or attribute) inside :not()."""
-    m = _CSS_PART.fullmatch(part)
-    if m and m["attr"]:
-        return {"kind": "attr", **_attr_test(m)}
-    for group, kind in (("tag", "tag"), ("id", "id"), ("cls", "class")):
-        if m and m[group]:
-            value = m[group].lower() if kind == "tag" else m[group]
-            return {"kind": kind, "name": "", "op": "", "value": "" if value == "*" else value}
-    raise ValueError(f"unsupported :not(): {selector}")
+def _compounds(listed: str, selector: str, lead: bool = False) -> list[dict]:
+    """The members of a list inside :not() or :has(): compounds of simple selectors, after ``>`` if ``lead``."""
+    out = []
+    for part in _split_list(listed):
+        part, comb = part.strip(), " "
+        if lead and part.startswith(">"):
+            part, comb = part[1:], ">"
+        steps = read_css(part)[0]
+        if len(steps) > 1 or steps[0]["barred"] or steps[0]["has"]:
+            raise ValueError(f"unsupported inside :not() or :has(): {selector}")
+        out.append(steps[0] | {"comb": comb})
+    return out
 
 
 def _a_n_plus_b(expr: str) -> tuple[int, int]:
@@ -110,8 +117,13 @@ def read_css(selector: str) -> list[list[dict]]:
                 step["classes"].append(m["cls"])
             elif m["attr"]:
                 step["attrs"].append(_attr_test(m))
-            elif m["barred"] is not None:
-                step["barred"] += [_barred(part.strip(), selector) for part in _split_list(m["barred"])]
+            elif m["inner"] == "not":
+                step["barred"] += _compounds(m["list"], selector)
+            elif m["inner"] == "has":
+                step["has"].append(_compounds(m["list"], selector, lead=True))
+            elif m["text"]:
+                value = next(v for v in (m["tdq"], m["tsq"], m["tbare"]) if v is not None)
+                step["texts"].append({"own": m["text"] == "containsOwn", "op": "*=", "value": value})
             elif m["nth"]:
                 a, b = _a_n_plus_b(m["expr"])
                 step["nth"].append({"of": m["nth"].removeprefix("nth-"), "a": a, "b": b})
@@ -136,12 +148,22 @@ _XP_CLASS = re.compile(
 _XP_TEST = re.compile(
     r"(?P<pos>\d+)\Z|(?P<last>last\(\))\Z|@(?P<attr>[\w:-]+)(?:\s*=\s*(?:'(?P<sq>[^']*)'|\"(?P<dq>[^\"]*)\"))?\Z"
     r"|(?P<fn>contains|starts-with)\(\s*@(?P<fattr>[\w:-]+)\s*,\s*(?:'(?P<fsq>[^']*)'|\"(?P<fdq>[^\"]*)\")\s*\)\Z"
+    r"|(?P<tfn>contains|starts-with)\(\s*(?P<tof>\.|text\(\))\s*,\s*(?:'(?P<tsq>[^']*)'|\"(?P<tdq>[^\"]*)\")\s*\)\Z"
+    r"|(?P<eof>\.|text\(\))\s*=\s*(?:'(?P<esq>[^']*)'|\"(?P<edq>[^\"]*)\")\Z"
+    r"|not\(\s*(?P<none>[^()]*(?:\([^()]*\))?)\s*\)\Z"
 )
 
 
 def read_xpath(expr: str) -> tuple[list[list[dict]], str]:
-    """Steps of a location path and what to take: '' (element), 'text()' or '@name'."""
-    text, at, steps, take, lead = expr.strip(), 0, [], "", True
+    """Paths (of a union, each as steps) and what to take: '' (element), 'text()' or '@name'."""
+    paths = [_read_path(part, expr) for part in re.split(r"""\|(?=(?:[^"']|"[^"]*"|'[^']*')*$)""", expr)]
+    if len({take for _, take in paths}) > 1:
+        raise ValueError(f"a union of elements and values: {expr}")
+    return [steps for steps, _ in paths], paths[0][1]
+
+
+def _read_path(path: str, expr: str) -> tuple[list[dict], str]:
+    text, at, steps, take, lead = path.strip(), 0, [], "", True
     if text.startswith(("./", "(")):
         if text[0] == "(":
             raise ValueError(f"unsupported xpath: {expr}")
@@ -169,7 +191,7 @@ def read_xpath(expr: str) -> tuple[list[list[dict]], str]:
         steps.append(step)
     if not steps:
         raise ValueError(f"unsupported xpath: {expr}")
-    return [steps], take
+    return steps, take
 
 
 def _closing(text: str, at: int) -> int:
@@ -202,6 +224,16 @@ def _add_test(step: dict, test: str, expr: str) -> None:
         step["attrs"].append(
             {"name": m["attr"].lower(), "op": "=" if has_value else "", "value": m["sq"] or m["dq"] or ""}
         )
+    elif m["none"] is not None:
+        barred = _step(" ") | {"tag": step["tag"]}
+        _add_test(barred, m["none"].strip(), expr)
+        if barred["barred"]:
+            raise ValueError(f"unsupported predicate: {expr}")
+        step["barred"].append(barred)
+    elif m["tfn"] or m["eof"]:
+        op = {"contains": "*=", "starts-with": "^=", None: "="}[m["tfn"]]
+        value = next((m[g] for g in ("tsq", "tdq", "esq", "edq") if m[g]), "")
+        step["texts"].append({"own": (m["tof"] or m["eof"]) != ".", "op": op, "value": value})
     else:
         op = "*=" if m["fn"] == "contains" else "^="
         step["attrs"].append({"name": m["fattr"].lower(), "op": op, "value": m["fsq"] or m["fdq"] or ""})
@@ -272,6 +304,10 @@ def css_plan_lit(selector: str) -> Column:
     return F.from_json(F.lit(json.dumps(read_css(selector))), ALTERNATIVES)
 
 
+def path_plan_lit(expr: str) -> Column:
+    return F.from_json(F.lit(json.dumps(read_xpath(expr)[0])), ALTERNATIVES)
+
+
 @F.arrow_udf(StringType())
 def _plan_json(packed):
     import pyarrow as pa
@@ -296,11 +332,24 @@ _NTH_AT = """CASE t.of WHEN 'size' THEN n.end_pos - n.pos + n.t1 - n.t0 WHEN 'ch
     WHEN 'last-child' THEN n.n_el - n.el_idx + 1 ELSE n.n_type - n.type_idx + 1 END"""
 _NTH_OK = f"""CASE WHEN t.a = 0 THEN {_NTH_AT} = t.b
     ELSE ({_NTH_AT} - t.b) % t.a = 0 AND ({_NTH_AT} - t.b) * sign(t.a) >= 0 END"""
-_BARRED = f"""coalesce(CASE t.kind WHEN 'tag' THEN t.value = '' OR n.tag = t.value WHEN 'id' THEN n.id_attr = t.value
-    WHEN 'class' THEN array_contains(n.classes, t.value) ELSE {_ATTR_OK} END, false)"""
-_STEP_OK = f"""(st.tag = '' OR n.tag = st.tag) AND (st.id = '' OR n.id_attr = st.id)
+_TEXT = "if(t.own, n.own_text, substring(q.text, n.t0 + 1, n.t1 - n.t0))"
+_TEXT_OK = f"""coalesce(CASE t.op WHEN '=' THEN {_TEXT} = t.value WHEN '^=' THEN startswith({_TEXT}, t.value)
+    ELSE contains({_TEXT}, t.value) END, false)"""
+_COMPOUND_OK = f"""(st.tag = '' OR n.tag = st.tag) AND (st.id = '' OR n.id_attr = st.id)
     AND forall(st.classes, c -> array_contains(n.classes, c)) AND forall(st.attrs, t -> {_ATTR_OK})
-    AND forall(st.nth, t -> {_NTH_OK}) AND NOT exists(st.barred, t -> {_BARRED})"""
+    AND forall(st.nth, t -> {_NTH_OK}) AND forall(st.texts, t -> {_TEXT_OK})"""
+
+
+def _compound_ok(node: str, test: str) -> str:
+    """The tests of one compound on one element, both named as given."""
+    return re.sub(r"\bst\.", f"{test}.", re.sub(r"\bn\.", f"{node}.", _COMPOUND_OK))
+
+
+# The elements below one follow it in document order, so those it has to hold are looked for in a slice.
+_INSIDE = "slice(q.nodes, n.pos - q.below + 1, n.end_pos - n.pos)"
+_HOLDS = f"exists({_INSIDE}, d -> (h.comb = ' ' OR d.parent_pos = n.pos) AND {_compound_ok('d', 'h')})"
+_STEP_OK = f"""{_COMPOUND_OK} AND NOT exists(st.barred, b -> {_compound_ok("n", "b")})
+    AND forall(st.has, hs -> exists(hs, h -> {_HOLDS}))"""
 
 
 def _marked(marks: str, pos: str) -> str:
@@ -315,7 +364,7 @@ _LINKED = f"""CASE st.comb WHEN '' THEN true
 
 
 def select_sql(query: str) -> str:
-    """Elements that match ``query`` = STRUCT<nodes, alts, below, context>, in document order.
+    """Elements that match ``query`` = STRUCT<nodes, alts, below, context, text>, in document order.
 
     Each step turns the flags of the elements reached so far into the flags of the next ones; the
     cheap test on the element itself stands before the walk over its ancestors.
@@ -331,13 +380,15 @@ def select_sql(query: str) -> str:
 _SELECT = f"x -> {select_sql('x')}"
 
 
-def select_nodes(nodes: Column, alts: Column, below: Column, context: Column) -> Column:
+def select_nodes(nodes: Column, alts: Column, below: Column, context: Column, text: Column | None = None) -> Column:
     """Elements of a scope that match, in document order (T6 takes the first).
 
     ``nodes`` is a contiguous run of elements, ``below`` the position just before it. ``context`` is
-    NULL for CSS; for XPath it is the offset (pos - below) of the node the path starts from.
+    NULL for CSS; for XPath it is the offset (pos - below) of the node the path starts from. ``text`` is
+    the page's text; without it, tests of the text below an element fail.
     """
     query = F.struct(
-        nodes.alias("nodes"), alts.alias("alts"), below.alias("below"), context.cast("int").alias("context")
-    )
+        nodes.alias("nodes"), alts.alias("alts"), below.alias("below"), context.cast("int").alias("context"),
+        (F.lit(None) if text is None else text).cast("string").alias("text"),
+    )
     return apply_sql(query, _SELECT)

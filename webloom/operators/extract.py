@@ -91,7 +91,8 @@ _NO_CONTEXT = "cast(NULL AS int)"
 
 
 def _select(nodes: str, alts: str, below: str, context: str) -> str:
-    return select_sql(f"named_struct('nodes', {nodes}, 'alts', {alts}, 'below', {below}, 'context', {context})")
+    query = f"'nodes', {nodes}, 'alts', {alts}, 'below', {below}, 'context', {context}, 'text', p.dom.text"
+    return select_sql(f"named_struct({query})")
 
 
 # A scope (X2) is a match of the item selector, cut out of the page's elements (J5), or the page.

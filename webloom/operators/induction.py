@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.selectors import STEP, select_nodes
+from webloom.functions.selectors import BARRED, HAS, STEP, select_nodes
 from webloom.functions.text import candidate_score, is_safe_ident, let
 from webloom.operators.extract import with_dom
 
@@ -19,7 +19,7 @@ MAX_CANDIDATES, MAX_SEGMENTS, MIN_SIBLINGS = 8, 8, 3
 COMBINED = ("name", "type", "role", "itemprop")
 _ATTRS = "array<struct<name:string,op:string,value:string>>"
 _NTH = "array<struct<of:string,a:int,b:int>>"
-_BARRED = "array<struct<kind:string,name:string,op:string,value:string>>"
+_TEXTS = "array<struct<own:boolean,op:string,value:string>>"
 _CANDIDATE = f"struct<kind:string,expr:string,steps:array<{STEP}>>"
 
 
@@ -113,7 +113,9 @@ def _step(comb="", tag="", id_="", classes=None, attrs=None, nth=None) -> Column
         (classes if classes is not None else F.array().cast("array<string>")).alias("classes"),
         (attrs if attrs is not None else F.array().cast(_ATTRS)).alias("attrs"),
         (nth if nth is not None else F.array().cast(_NTH)).alias("nth"),
-        F.array().cast(_BARRED).alias("barred"),
+        F.array().cast(_TEXTS).alias("texts"),
+        F.array().cast(BARRED).alias("barred"),
+        F.array().cast(HAS).alias("has"),
     ).cast(STEP)
 
 
@@ -411,7 +413,7 @@ def infer(pages: DataFrame, clicks: DataFrame) -> DataFrame:
 
 def count_css(doms: DataFrame, plan: Column) -> DataFrame:
     """Number of elements of each page that a selector matches."""
-    hits = F.size(select_nodes(F.col("dom.nodes"), plan, F.lit(0), F.lit(None).cast("int")))
+    hits = F.size(select_nodes(F.col("dom.nodes"), plan, F.lit(0), F.lit(None).cast("int"), F.col("dom.text")))
     return doms.select("page_id", hits.alias("hits"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webloom.functions.selectors import css_plan_lit
+from webloom.functions.selectors import css_plan_lit, path_plan_lit
 from webloom.functions.urls import canonical_url, host_of
 from webloom.operators import boxes, dedup, extract, frontier, induction, robots
 from webloom.operators.crawlstep import crawl_step
@@ -141,6 +141,32 @@ def page_records(t):
     )
 
 
+def _form(name: str, oracle: str, selector: str = "", path: str = "") -> None:
+    """Register the number of elements of every page that one selector matches."""
+
+    def hits(t):
+        doms = extract.with_dom(t.pages)
+        if selector:
+            return induction.count_css(doms, css_plan_lit(selector))
+        found = extract.select_nodes(F.col("dom.nodes"), path_plan_lit(path), F.lit(0), F.lit(0), F.col("dom.text"))
+        return doms.select("page_id", F.size(found).alias("hits"))
+
+    hits.__doc__ = f"Elements that match {selector or path}."
+    query(name, with_tables("page_parts") + f"SELECT page_id, {oracle} AS hits FROM page_parts", hits="INTEGER")(hits)
+
+
+_NAV_TEXTS = """regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)"""
+_form("x3_has", "len([h FOR h IN hrefs IF starts_with(h, '/t')])", "li:has(> a[href^='/t'])")
+_form(
+    "x3_not_compound",
+    "len([h FOR h IN hrefs IF NOT (starts_with(h, '/t') AND ends_with(h, 'e'))])",
+    "nav a:not([href^='/t'][href$='e'])",
+)
+_form("x3_contains", f"len([x FOR x IN {_NAV_TEXTS} IF contains(x, 'the')])", "nav li:contains('the')")
+_form("x4_union", "1 + len([h FOR h IN hrefs IF NOT contains(h, 'e')])", path="//nav//a[not(contains(@href, 'e'))] | //h1")
+_form("x4_text_tests", f"len([x FOR x IN {_NAV_TEXTS} IF starts_with(x, 't')])", path="//li/a[starts-with(text(), 't')]")
+
+
 @query(
     "t6_first_match",
     with_tables("page_parts")
