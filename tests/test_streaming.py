@@ -6,9 +6,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from webloom.operators import spans
 from webloom.operators import telemetry as tel
 from webloom.sources.tables import decode_jobs
-from webloom.streaming import stateful, windows
+from webloom.streaming import frames, stateful, windows
 
 S = tel.SECOND
 DAY = 86_400  # offset of the test times: a row at the very start of the epoch counts as late
@@ -38,6 +39,15 @@ def collect(spark, df, mode):
     return spark.table(name)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Every partition of a stateful stream has a state store and, here, a Python worker of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def hits(spark):
     return spark.range(240).select(
@@ -104,15 +114,35 @@ def test_latest_nodes_sink(spark, hits, tmp_path):
 
 
 def test_metric_frames(spark, hits, tmp_path):
-    q = windows.metric_frame_sink(
-        stream_of(spark, str(tmp_path / "in"), reports_of(hits), 2), str(tmp_path / "frames"), str(tmp_path / "cp"), "1 second"
-    )
-    q.processAllAvailable()
-    q.stop()
-    last = spark.read.text(str(tmp_path / "frames")).orderBy(F.desc("frame")).first().value
-    frame = spark.range(1).select(F.from_json(F.lit(last), "type string, ts string, nodes array<struct<id:string,last_seen:string>>").alias("f")).first().f
-    assert frame.type == "metrics" and [n.id for n in frame.nodes] == ["w0", "w1", "w2"]
-    assert frame.ts == "1970-01-01 08:05:58"
+    """A frame per epoch with all nodes of that time; a repeated epoch and files without a header count for nothing."""
+    reports, folder = reports_of(hits), str(tmp_path / "frames")
+    q = frames.frame_stream(stream_of(spark, str(tmp_path / "in"), reports, 2), folder, str(tmp_path / "cp"), availableNow=True)
+    q.awaitTermination()
+    rows = frames.read_frames(spark, folder).collect()
+    assert sorted((r.frame, r.id) for r in rows) == [(f, f"w{w}") for f in (0, 1) for w in range(3)]
+    assert {r.ts for r in rows if r.frame == 1} == {"1970-01-01 08:05:58"}
+    for frame, seen in ((0, hits.filter("id < 120")), (1, hits)):
+        want = frames.frame_nodes_of(tel.node_state(reports_of(seen)))
+        got = frames.read_frames(spark, folder).filter(F.col("frame") == frame).select(want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    before = sorted(os.listdir(os.path.join(folder, "nodes")))
+    again = frames.StreamFrames(folder)
+    batch = frames.frame_nodes_of(tel.node_state(reports)).toArrow().to_batches()
+    again.commit([again.write(iter(batch)), None], 1)
+    assert sorted(os.listdir(os.path.join(folder, "nodes"))) == before
+    again.abort([again.write(iter(batch))], 2)
+    again.write(iter(batch))  # a task that was lost: neither committed nor cleared away
+    assert len(frames.read_frames(spark, folder).collect()) == 6
+    again.commit([again.write(iter([]))], 2)  # a frame without nodes
+    assert spark.read.schema(frames.HEADER).json(f"{folder}/_frames/*.json").filter("frame = 2").first().nodes == 0
+
+
+def test_metric_frame_of_a_batch(spark, hits, tmp_path):
+    nodes, folder = tel.node_state(reports_of(hits)).withColumn("role", F.lit('say "hi"\nü')), str(tmp_path / "frames")
+    for _ in range(2):
+        frames.write_frame(nodes, folder, 7)
+    rows = frames.read_frames(spark, folder).collect()
+    assert [(r.frame, r.role) for r in rows] == [(7, 'say "hi"\nü')] * 3
 
 
 def test_job_stream(spark, tmp_path):
@@ -124,20 +154,27 @@ def test_job_stream(spark, tmp_path):
     assert {r.id for r in jobs.collect()} == {"0", "1", "2", "3"} and jobs.first().task_id == 5
 
 
+def shuffled(spark, path, df, files):
+    """As stream_of, but neighbouring files have swapped some of their rows: within the watermark, rows come in any order."""
+    return stream_of(spark, path, df.withColumn("_o", F.col("us") + F.when(F.col("id") % 3 == 0, -8 * S).otherwise(0)), files, "_o").drop("_o")
+
+
 def test_adaptive_rates(spark, tmp_path):
+    """The stream equals the batch trace: ties in time, rows out of order, fetches without domain, latency or status."""
     log = spark.range(400).select(
         F.col("id"), F.col("id").alias("fetch_id"),
-        (F.col("id") * 2_000_000 + F.when(F.col("id") > 200, 90_000_000).otherwise(0)).alias("us"),
-        F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("domain"),
-        F.when((F.col("id") % 13 == 0) | F.col("id").between(50, 60), 429).otherwise(200).alias("status"),
-        (F.col("id") % 9 * 60.0).alias("latency_ms"), F.lit(4.0).alias("base_qps"),
-    )
-    got = collect(spark, stateful.adaptive_rates(stream_of(spark, str(tmp_path / "in"), log, 5)), "append")
-    want = tel.adaptive_trace(log)
-    a = {r.id: r.qps for r in got.collect()}
-    b = {r.fetch_id: r.qps for r in want.collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
-    assert len({round(v, 3) for v in a.values()}) > 5
+        (DAY * S + F.col("id") - F.col("id") % 2 + F.floor(F.col("id") / 2) * 4_000_000 + F.when(F.col("id") > 200, 90_000_000).otherwise(0)).alias("us"),
+        F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 8 == 1, "").when(F.col("id") % 4 == 2, "b").otherwise("a").alias("domain"),
+        F.when((F.col("id") % 13 == 0) | F.col("id").between(50, 60), 429).when(F.col("id") % 29 != 0, 200).alias("status"),
+        F.when(F.col("id") % 7 != 0, F.col("id") % 9 * 60.0).alias("latency_ms"), F.when(F.col("id") % 5 != 0, 4.0).alias("base_qps"),
+    ).withColumn("ts", F.timestamp_micros("us"))
+    got = collect(spark, stateful.adaptive_rates(shuffled(spark, str(tmp_path / "in"), log, 5)), "append")
+    want = {r.fetch_id: (r.domain, r.qps) for r in tel.adaptive_trace(log).collect()}
+    a = {r.id: (r.domain, r.qps) for r in got.collect()}
+    passed = {r.id for r in log.filter(F.col("us") < log.agg(F.max("us")).first()[0] - 10 * S).collect()}
+    assert passed <= a.keys() <= want.keys()
+    assert all(a[k][0] == want[k][0] and abs(a[k][1] - want[k][1]) < 1e-9 for k in a)
+    assert {d for d, _ in a.values()} == {"a", "b", "default"} and len({round(q, 3) for _, q in a.values()}) > 5
 
 
 def test_expired_leases(spark, tmp_path):
@@ -145,20 +182,43 @@ def test_expired_leases(spark, tmp_path):
         (1, 1, 0, "lease", 30), (2, 2, 0, "lease", 30), (3, 3, 1, "lease", 31), (4, 2, 10, "ack", 0),
         (5, 3, 40, "ack", 0), (6, 4, 100, "lease", 130), (7, 5, 200, "lease", 900), (8, 6, 300, "lease", 900),
     ]
-    events = spark.createDataFrame(rows, "id bigint, job_id bigint, sec bigint, kind string, exp bigint").select(
+    events = lease_events(spark, rows)
+    got = collect(spark, stateful.expired_leases(stream_of(spark, str(tmp_path / "in"), events, 8)), "append")
+    assert {(r.job_id, r.expired_us // S - DAY) for r in got.collect()} == {(1, 30), (3, 31), (4, 130)}
+
+
+def lease_events(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, job_id bigint, sec bigint, kind string, exp bigint").select(
         "id", "job_id", "kind", ((F.col("sec") + DAY) * S).alias("us"), ((F.col("exp") + DAY) * S).alias("expiry_us"),
         F.timestamp_seconds(F.col("sec") + DAY).alias("ts"),
     )
-    got = collect(spark, stateful.expired_leases(stream_of(spark, str(tmp_path / "in"), events, 8)), "append")
-    assert {(r.job_id, r.expired_us // S - DAY) for r in got.collect()} == {(1, 30), (3, 31), (4, 130)}
 
 
-def test_node_liveness(spark, tmp_path):
-    rows = [(1, "a", 0), (2, "b", 5), (3, "a", 10), (4, "a", 60), (5, "b", 62), (6, "c", 200), (7, "c", 400)]
-    reports = spark.createDataFrame(rows, "id bigint, worker_id string, sec bigint").select(
+def test_lease_stream_equals_batch(spark, tmp_path):
+    """Renewals, ties, an acknowledgement at the very end, missing expiry, late order, a job with most of the rows."""
+    rows = [(1, 1, 0, "lease", 10), (2, 1, 10, "ack", None), (3, 2, 0, "lease", 5), (4, 2, 4, "lease", 9), (5, 2, 10, "ack", None),
+            (6, 3, 1, "lease", None), (7, 3, 2, "lease", 20), (8, 3, 3, "lease", None), (9, None, 3, "lease", 4), (10, 4, 7, "ack", None)]
+    rows += [(100 + i, 9, 2 * i, "ack" if i % 3 == 2 else "lease", None if i % 3 == 2 else 2 * i + 1 + i % 4) for i in range(60)]
+    rows += [(99, 50, 300, "lease", 301)]
+    events = lease_events(spark, rows)
+    want = sorted(map(tuple, spans.expired_leases(events, F.lit((DAY + 290) * S)).collect()))
+    cut = sorted(map(tuple, spans.expired_leases(events, F.lit((DAY + 290) * S), rows=7).collect()))
+    got = collect(spark, stateful.expired_leases(shuffled(spark, str(tmp_path / "in"), events, 6)), "append")
+    assert want == cut == sorted(map(tuple, got.collect()))
+    assert {(2, 4), (9, 100), (9, 104)} <= {r[:2] for r in want} and (9, 101) not in {r[:2] for r in want} and not {1, 3, 4, 50} & {r[0] for r in want}
+    ends = {r.id: r.outcome for r in spans.lease_ends(events, F.lit((DAY + 290) * S)).collect()}
+    assert (ends[1], ends[3], ends[4], ends[7], ends[99]) == ("acked", "renewed", "expired", "renewed", "held")
+
+
+def node_reports(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, worker_id string, sec bigint").select(
         "id", "worker_id", ((F.col("sec") + DAY) * S).alias("us"), F.timestamp_seconds(F.col("sec") + DAY).alias("ts")
     )
-    got = collect(spark, stateful.node_liveness(stream_of(spark, str(tmp_path / "in"), reports, 7)), "append")
+
+
+def test_node_liveness(spark, tmp_path):
+    rows = [(1, "a", 0), (2, "b", 5), (3, "a", 10), (4, "a", 60), (5, "b", 62), (6, "c", 200), (7, "c", 400), (8, "d", 411)]
+    got = collect(spark, stateful.node_liveness(stream_of(spark, str(tmp_path / "in"), node_reports(spark, rows), 8)), "append")
     changes = sorted((r.worker_id, r.us // S - DAY, r.status) for r in got.collect())
     assert changes == [
         ("a", 0, "online"), ("a", 30, "offline"), ("a", 60, "online"), ("a", 80, "offline"),
@@ -167,6 +227,25 @@ def test_node_liveness(spark, tmp_path):
     ]
 
 
+def test_liveness_stream_equals_spans(spark, tmp_path):
+    rows = [(i, "hot", i * 3 + (40 if i > 30 else 0) + (21 if i > 50 else 0)) for i in range(60)]
+    rows += [(100, "edge", 0), (101, "edge", 20), (102, "edge", 41), (103, None, 50), (104, "twice", 9), (105, "twice", 9), (106, "end", 400)]
+    reports = node_reports(spark, rows)
+    as_of = F.lit((DAY + 390) * S)
+    want = spans.online_spans(reports.filter("worker_id IS NULL OR worker_id <> 'end'"), as_of)
+    cut = spans.online_spans(reports.filter("worker_id IS NULL OR worker_id <> 'end'"), as_of, rows=7)
+    found = sorted(map(tuple, want.collect()))
+    assert found == sorted(map(tuple, cut.collect()))
+    assert [(w, (a - DAY * S) // S, (b - DAY * S) // S, n, (o - DAY * S) // S) for w, a, b, n, o in found] == [
+        ("edge", 0, 20, 2, 40), ("edge", 41, 41, 1, 61), ("hot", 0, 90, 31, 110), ("hot", 133, 190, 20, 210),
+        ("hot", 214, 238, 9, 258), ("twice", 9, 9, 2, 29),
+    ]
+    open_span = spans.online_spans(reports.filter("worker_id = 'twice'"), F.lit((DAY + 29) * S)).first()
+    assert open_span.offline_us is None
+    got = collect(spark, stateful.node_liveness(shuffled(spark, str(tmp_path / "in"), reports, 6)), "append")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spans.status_changes(want).collect()))
+
+
 def test_proxy_pool(spark, tmp_path):
     rows, i = [], 0
 

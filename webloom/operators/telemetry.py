@@ -97,7 +97,7 @@ def block_trace(log: DataFrame, width_us: int = 30 * SECOND) -> DataFrame:
     sums = {
         "total": F.lit(1),
         "blocked": F.when(blocked(F.col("status")), 1).otherwise(0),
-        "latency_us": F.round(F.col("latency_ms") * 1000),
+        "latency_us": F.coalesce(F.round(F.col("latency_ms") * 1000), F.lit(0)),
     }
     out = trailing_sums(log, ["domain"], "us", width_us, sums)
     return out.withColumn("ratio", F.col("blocked") / F.col("total")).withColumn(

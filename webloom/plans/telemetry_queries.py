@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webloom.functions.clock import micros
-from webloom.operators import dedup, queue
+from webloom.operators import dedup, queue, spans
 from webloom.operators import telemetry as tel
 from webloom.plans.registry import query
 from webloom.plans.views import with_tables
+from webloom.session import work_folder
+from webloom.streaming import frames
 from webloom.streaming import windows as stream
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -663,3 +665,58 @@ def cluster_series(t):
     reports = t.node_reports.filter("kind = 'metrics'").withColumn("ts", F.timestamp_micros("us"))
     points = tel.recent_cluster_points(stream.cluster_points(stream.frame_nodes(reports, "1 hour")))
     return points.select("frame_us", F.round("pages_per_min", 4).alias("pages_per_min"), _six("fail_rate"))
+
+
+_LEASES = with_tables(
+    "lease_events",
+    n="""SELECT *, lead(us) OVER w AS next_us, lead(kind) OVER w AS next_kind, max(us) OVER () AS as_of FROM lease_events
+         WINDOW w AS (PARTITION BY job_id ORDER BY us, id)""",
+    e="""SELECT *, CASE WHEN next_us > expiry_us THEN 'expired' WHEN next_kind = 'lease' THEN 'renewed' WHEN next_us IS NOT NULL THEN 'acked'
+                        WHEN expiry_us < as_of THEN 'expired' ELSE 'held' END AS outcome FROM n WHERE kind = 'lease'""",
+)
+
+
+def _end_of(log):
+    """Time of the last row of a log, one value."""
+    return F.lit(log.agg(F.max("us")).first()[0])
+
+
+@query("st4_expired_leases", _LEASES + "SELECT job_id, id, expiry_us AS expired_us FROM e WHERE outcome = 'expired'")
+def expired_leases(t):
+    return spans.expired_leases(t.lease_events, _end_of(t.lease_events))
+
+
+@query("st4_lease_ends", _LEASES + "SELECT job_id, id, us, expiry_us, outcome FROM e")
+def lease_ends(t):
+    return spans.lease_ends(t.lease_events, _end_of(t.lease_events))
+
+
+@query(
+    "st5_online_spans",
+    with_tables(
+        "node_reports",
+        b="""SELECT *, lag(us) OVER (PARTITION BY worker_id ORDER BY us, id) AS before, max(us) OVER () AS as_of FROM node_reports""",
+        g=f"""SELECT *, sum(CASE WHEN before IS NULL OR us - before > {HOUR} THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY worker_id ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS span FROM b""",
+    )
+    + f"""SELECT worker_id, min(us) AS online_us, max(us) AS last_us, count(*) AS reports,
+                 CASE WHEN max(us) + {HOUR} < max(as_of) OR span < max(max(span)) OVER (PARTITION BY worker_id) THEN max(us) + {HOUR} END AS offline_us
+          FROM g GROUP BY worker_id, span""",
+)
+def online_spans(t):
+    return spans.online_spans(t.node_reports, _end_of(t.node_reports), HOUR)
+
+
+@query(
+    "s8_metric_frame",
+    with_tables("nodes")
+    + """SELECT CAST(0 AS BIGINT) AS frame, (SELECT strftime(make_timestamp(max(last_seen_us)) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') FROM nodes) AS ts,
+                worker_id AS id, role, cpu, memory_mb, pages_per_min, fail_rate, status,
+                strftime(make_timestamp(last_seen_us) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS last_seen, last_seen_us
+         FROM nodes""",
+)
+def metric_frame(t):
+    """The frame of all nodes, written by the sink and read back from its files."""
+    folder = work_folder(t.spark)
+    frames.write_frame(tel.node_state(t.node_reports), folder)
+    return frames.read_frames(t.spark, folder)

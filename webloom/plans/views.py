@@ -53,6 +53,19 @@ class Tables:
             (F.col("o_orderkey") % 2).alias("reclaims"),
         ).join(leases, "id", "left")
 
+    @property
+    def lease_events(self) -> DataFrame:
+        """Leases and acknowledgements of jobs: an order is a job, a line a lease of l_quantity days or, if returned, its end."""
+        us, days = micros(F.col("l_shipdate")), F.col("l_quantity").cast("bigint")
+        acked = F.col("l_returnflag") == "R"
+        return self.lineitem.select(
+            F.col("l_orderkey").alias("job_id"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+            us.alias("us"),
+            F.when(acked, "ack").otherwise("lease").alias("kind"),
+            F.when(~acked, us + days * 86_400_000_000).alias("expiry_us"),
+        )
+
     @property
     def rules(self) -> DataFrame:
         return self.part.select(
@@ -173,6 +186,11 @@ CTE = {
                CAST(floor(epoch(o_orderdate)) AS BIGINT) AS enqueued_at, o_orderkey % 4 AS attempt, o_orderkey % 2 AS reclaims,
                lease_expiry
         FROM orders LEFT JOIN leases ON leases.id = orders.o_orderkey""",
+    "lease_events": """
+        SELECT l_orderkey AS job_id, l_orderkey * 10 + l_linenumber AS id, epoch_us(l_shipdate) AS us,
+               CASE WHEN l_returnflag = 'R' THEN 'ack' ELSE 'lease' END AS kind,
+               CASE WHEN l_returnflag <> 'R' THEN epoch_us(l_shipdate) + CAST(l_quantity AS BIGINT) * 86400000000 END AS expiry_us
+        FROM lineitem""",
     "rules": """
         SELECT p_partkey AS id, p_name AS name, p_brand AS start_url, p_size / 10.0 AS qps FROM part""",
     "tasks": """

@@ -1,22 +1,27 @@
 """Keyed state over streams: adaptive rate, lease expiry, node liveness, proxy pool (ST2, ST4, ST5, ST7).
 
-State per key is small and bounded: a rate and the samples of 30 s, one expiry, one last-seen time,
-one counter per proxy. The functions run in Python workers on Arrow batches; rows of a key are taken
-in event-time order within a micro-batch.
+The first three take the rows of a key in event-time order, whatever order they arrive in within the watermark: rows
+wait in a list state until the watermark has passed them, a timer then hands on those that are due. Their results are
+those of the batch forms (``adaptive_trace``, ``expired_leases`` and ``online_spans`` in ``operators``) for all rows that
+the watermark has passed. Rows later than the watermark are dropped, rows without a key (but for domains) are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 WINDOW_US = 30_000_000
 MIN_QPS, DEFAULT_QPS = 0.2, 2.0
 STALE_US = 20_000_000
 FAIL_LIMIT = 3
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -24,132 +29,217 @@ def _in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(pdfs)).sort_values(["us", "id"])
 
 
+class InOrder(StatefulProcessor):
+    """Hands the rows of a key to ``take`` in order of (us, id) once the watermark has passed them.
+
+    ``ROW`` is the schema of a waiting row, ``us`` and ``id`` first; ``OUT`` that of the results, the key first.
+    """
+
+    ROW = "us bigint, id bigint"
+    OUT = ""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.ROW)
+
+    def handleInputRows(self, key, rows, timerValues):
+        columns = [c.split(" ") for c in self.ROW.split(", ")]
+        first = None
+        for pdf in rows:
+            if len(pdf):
+                # Whole numbers with NULLs among them come as floats.
+                values = [[None if pd.isna(v) else int(v) if kind.endswith("int") else v for v in pdf[c].tolist()] for c, kind in columns]
+                self.waiting.appendList(list(zip(*values, strict=True)))
+                first = min(values[0]) if first is None else min(first, *values[0])
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        yield self.results(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000  # every row before this time has come
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
+        due = [r for r in rows if r[0] < upto]
+        if len(due) == len(rows):
+            self.waiting.clear()
+        elif due:
+            self.waiting.put(rows[len(due) :])
+            self.handle.registerTimer(rows[len(due)][0] // 1000 + 1)
+        yield self.results(key, self.take(due, upto))
+
+    def results(self, key, rows: list[tuple]) -> pd.DataFrame:
+        names = [c.split(" ")[0] for c in self.OUT.split(", ")]
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=names)
+
+    def take(self, due: list[tuple], upto: int) -> list[tuple]:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+def _by_event_time(rows: DataFrame, key: str, late: str, processor: InOrder) -> DataFrame:
+    """Runs a processor per key; its state needs the RocksDB store."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    kept = rows.withWatermark("ts", late).filter(F.col(key).isNotNull() & F.col("us").isNotNull())
+    return kept.groupBy(key).transformWithStateInPandas(processor, processor.OUT, "Append", "EventTime")
+
+
 # Adaptive rate (ST2) ------------------------------------------------------------------------------
 
 
-def _observe(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    qps, times, bad, lat = state.get if state.exists else (0.0, [], [], [])
-    times, bad, lat = list(times), list(bad), list(lat)
-    rows = _in_order(pdfs)
-    start, blocked, total_lat, out = 0, sum(bad), sum(lat), []
-    for us, status, ms, base in zip(rows["us"], rows["status"], rows["latency_ms"], rows["base_qps"], strict=True):
-        base = base if base > 0 else DEFAULT_QPS
-        times.append(int(us))
-        bad.append(int(status in (429, 403)))
-        lat.append(int(round(ms * 1000)))
-        blocked, total_lat = blocked + bad[-1], total_lat + lat[-1]
-        while times[start] <= us - WINDOW_US:
-            blocked, total_lat, start = blocked - bad[start], total_lat - lat[start], start + 1
-        n = len(times) - start
-        ratio, avg_ms = blocked / n, total_lat / n / 1000
-        factor = 1.0
-        if ratio >= 0.2:
-            factor = 0.5
-        elif ratio >= 0.05:
-            factor = 0.75
-        elif avg_ms > 1500:
-            factor = 0.85
-        elif ratio == 0 and avg_ms < 400:
-            factor = 1.08
-        qps = min(base, max(MIN_QPS, (qps if qps > 0 else base) * factor))
-        out.append(qps)
-    state.update((float(qps), times[start:], bad[start:], lat[start:]))
-    yield pd.DataFrame({"domain": key[0], "id": rows["id"], "us": rows["us"], "qps": out})
-
-
-def adaptive_rates(log: DataFrame) -> DataFrame:
-    """Rate of each domain after every fetch: domain, id, us, status, latency_ms, base_qps in (ST2)."""
-    return log.groupBy("domain").applyInPandasWithState(
-        _observe,
-        "domain string, id bigint, us bigint, qps double",
-        "qps double, times array<bigint>, bad array<bigint>, lat array<bigint>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+class Rates(InOrder):
+    """The rate and, per time, the sums of the fetches of the last 30 s: times expire one by one."""
+
+    ROW = "us bigint, id bigint, status int, latency_ms double, base_qps double"
+    OUT = "domain string, id bigint, us bigint, qps double"
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.rate = handle.getValueState("rate", "qps double")
+        self.recent = handle.getMapState("recent", "us bigint", "n bigint, bad bigint, latency_us bigint")
+
+    def take(self, due, upto):
+        if not due:
+            return []
+        held = sorted((k[0], tuple(v)) for k, v in self.recent.iterator())
+        stored = {us for us, _ in held}
+        sums = [sum(v[c] for _, v in held) for c in range(3)]
+        qps = self.rate.get()[0] if self.rate.exists() else 0.0
+        out, first, at = [], 0, 0
+        while at < len(due):
+            us, end = due[at][0], at
+            while end < len(due) and due[end][0] == us:  # fetches of one time count together
+                end += 1
+            same = due[at:end]
+            entry = (
+                len(same), sum(r[2] in (429, 403) for r in same),
+                sum(math.floor(r[3] * 1000 + 0.5) for r in same if r[3] is not None),
+            )
+            held.append((us, entry))
+            sums = [a + b for a, b in zip(sums, entry)]
+            while held[first][0] <= us - WINDOW_US:
+                old, gone = held[first]
+                sums = [a - b for a, b in zip(sums, gone)]
+                if old in stored:
+                    self.recent.removeKey((old,))
+                first += 1
+            factor = _factor(sums[1] / sums[0], sums[2] / sums[0] / 1000)
+            for row in same:
+                base = row[4] if row[4] is not None and row[4] > 0 else DEFAULT_QPS
+                qps = min(base, max(MIN_QPS, (qps if qps > 0 else base) * factor))
+                out.append((row[1], us, qps))
+            at = end
+        for us, entry in held[first:]:
+            if us not in stored:
+                self.recent.updateValue((us,), entry)
+        self.rate.update((float(qps),))
+        return out
+
+
+def _factor(ratio: float, avg_ms: float) -> float:
+    if ratio >= 0.2:
+        return 0.5
+    if ratio >= 0.05:
+        return 0.75
+    if avg_ms > 1500:
+        return 0.85
+    return 1.08 if ratio == 0 and avg_ms < 400 else 1.0
+
+
+def adaptive_rates(log: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """Rate of each domain after every fetch: domain, id, us, ts, status, latency_ms, base_qps in (ST2).
+
+    Fetches without a domain belong to the domain ``default``, those without a latency count as 0 ms.
+    """
+    named = log.withColumn("domain", F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit("default")))
+    typed = named.withColumns({"status": F.col("status").cast("int"), "latency_ms": F.col("latency_ms").cast("double"), "base_qps": F.col("base_qps").cast("double")})
+    return _by_event_time(typed, "domain", late, Rates())
 
 
 # Lease expiry (ST4) -------------------------------------------------------------------------------
 
 
-def _lease(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    out = []
-    if state.hasTimedOut:
-        out.append(state.get[0])
-        state.remove()
-    else:
-        expiry = state.get[0] if state.exists else None
-        for kind, us, until in _in_order(pdfs)[["kind", "us", "expiry_us"]].itertuples(index=False):
-            if expiry is not None and us > expiry:
-                out.append(expiry)
-                expiry = None
-            expiry = int(until) if kind == "lease" else None
-        if expiry is None:
-            if state.exists:
-                state.remove()
-        elif expiry // 1000 <= state.getCurrentWatermarkMs():
-            out.append(expiry)
-            if state.exists:
-                state.remove()
-        else:
-            state.update((expiry,))
-            state.setTimeoutTimestamp(expiry // 1000)
-    yield pd.DataFrame({"job_id": [key[0]] * len(out), "expired_us": out}).astype({"expired_us": "int64"})
+class Leases(InOrder):
+    """The running lease of a job; a timer stands right behind its end."""
+
+    ROW = "us bigint, id bigint, kind string, expiry_us bigint"
+    OUT = "job_id bigint, id bigint, expired_us bigint"
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.lease = handle.getValueState("lease", "id bigint, expiry_us bigint")
+
+    def take(self, due, upto):
+        out = []
+        now = self.lease.get() if self.lease.exists() else None
+        before = now
+        for us, id, kind, expiry in due:
+            if now is not None and us > now[1]:
+                out.append(tuple(now))
+            now = (id, expiry) if kind == "lease" and expiry is not None else None
+        if now is not None and now[1] < upto:
+            out.append(tuple(now))
+            now = None
+        if now is None:
+            if before is not None:
+                self.lease.clear()
+        elif now != before:
+            self.lease.update(tuple(now))
+            self.handle.registerTimer(now[1] // 1000 + 1)
+        return out
 
 
 def expired_leases(events: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Jobs whose lease ran out without an acknowledgement (ST4): they go back to the ready queue.
+    """Leases that ran out without an acknowledgement or a new lease (ST4): their jobs go back to the ready queue.
 
-    ``events``: job_id, id, ts, us, kind ('lease' or 'ack'), expiry_us.
+    ``events``: job_id, id, ts, us, kind ('lease' or 'ack'), expiry_us. An event at the very end of a lease is in time.
     """
-    return events.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(
-        _lease, "job_id bigint, expired_us bigint", "expiry bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return _by_event_time(events, "job_id", late, Leases())
 
 
 # Node liveness (ST5) ------------------------------------------------------------------------------
 
 
-def _liveness(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    changes = []
-    if state.hasTimedOut:
-        last = state.get[0]
-        changes.append(("offline", last + STALE_US))
-        state.remove()
-    else:
-        last = state.get[0] if state.exists else None
-        for us in _in_order(pdfs)["us"]:
-            us = int(us)
-            if last is not None and us - last > STALE_US:
-                changes.append(("offline", last + STALE_US))
+class Liveness(InOrder):
+    """The last report of a worker that is online."""
+
+    OUT = "worker_id string, status string, us bigint"
+
+    def __init__(self, stale_us: int):
+        self.stale_us = stale_us
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.seen = handle.getValueState("seen", "us bigint")
+
+    def take(self, due, upto):
+        out, last = [], self.seen.get()[0] if self.seen.exists() else None
+        before = last
+        for us, _ in due:
+            if last is not None and us - last > self.stale_us:
+                out.append(("offline", last + self.stale_us))
                 last = None
             if last is None:
-                changes.append(("online", us))
-            last = us if last is None else max(last, us)
-        due = (last + STALE_US) // 1000 + 1
-        if due <= state.getCurrentWatermarkMs():
-            changes.append(("offline", last + STALE_US))
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last,))
-            state.setTimeoutTimestamp(due)
-    yield pd.DataFrame(
-        {"worker_id": [key[0]] * len(changes), "status": [c[0] for c in changes], "us": [c[1] for c in changes]}
-    ).astype({"us": "int64"})
-
-
-def node_liveness(reports: DataFrame, late: str = "10 seconds") -> DataFrame:
+                out.append(("online", us))
+            last = us
+        if last is not None and last + self.stale_us < upto:
+            out.append(("offline", last + self.stale_us))
+            last = None
+        if last is None:
+            if before is not None:
+                self.seen.clear()
+        elif last != before:
+            self.seen.update((last,))
+            self.handle.registerTimer((last + self.stale_us) // 1000 + 1)
+        return out
+
+
+def node_liveness(reports: DataFrame, late: str = "10 seconds", stale_us: int = STALE_US) -> DataFrame:
     """Status changes of workers: online on a report, offline 20 s after the last one (ST5).
 
-    ``reports``: worker_id, id, ts, us.
+    ``reports``: worker_id, id, ts, us. A change is stated once the watermark has passed it.
     """
-    return reports.withWatermark("ts", late).groupBy("worker_id").applyInPandasWithState(
-        _liveness,
-        "worker_id string, status string, us bigint",
-        "last bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    return _by_event_time(reports, "worker_id", late, Liveness(stale_us))
 
 
 # Proxy pool (ST7) ---------------------------------------------------------------------------------

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from webloom.functions.clock import format_instant
 from webloom.functions.text import failed, round_half_up
 from webloom.operators.telemetry import SECOND, node_state, task_counters
 
@@ -72,29 +71,6 @@ def cluster_points(nodes: DataFrame) -> DataFrame:
     return points.select(F.unix_micros("w.start").alias("frame_us"), "pages_per_min", "fail_rate")
 
 
-def metric_frames(nodes: DataFrame, at_us) -> DataFrame:
-    """The metrics frame: all nodes, ordered by id, as one JSON text (S8). A cluster has few nodes."""
-    wire = F.struct(
-        F.col("worker_id").alias("id"), "role", "cpu", "memory_mb", "pages_per_min", "fail_rate", "status",
-        format_instant(F.timestamp_micros("last_seen_us")).alias("last_seen"),
-    )
-    listed = nodes.agg(F.array_sort(F.collect_list(wire)).alias("nodes"))
-    ts = format_instant(F.timestamp_micros(at_us))
-    return listed.select(F.to_json(F.struct(F.lit("metrics").alias("type"), ts.alias("ts"), "nodes")).alias("value"))
-
-
-def metric_frame_sink(reports: DataFrame, path: str, checkpoint: str, every: str = "3 seconds") -> StreamingQuery:
-    """Writes a metrics frame per trigger as one JSON line."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        at = batch.agg(F.max("last_seen_us").alias("at"))
-        frame = metric_frames(batch, F.lit(at.first()["at"]))
-        frame.write.mode("overwrite").text(f"{path}/frame={epoch}")
-
-    state = node_state(reports).writeStream.outputMode("complete").foreachBatch(write)
-    return state.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
-
-
 def latest_nodes_sink(reports: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
     """Keeps the newest state of every worker in a table (ST6): reports are folded per micro-batch.
 
@@ -130,6 +106,6 @@ def read_latest_nodes(spark, table_path: str, version: int) -> DataFrame:
 
 
 __all__ = [
-    "LATE", "SECOND", "cluster_points", "distinct_offers", "frame_nodes", "latest_nodes_sink", "metric_frame_sink",
-    "metric_frames", "read_latest_nodes", "running_counters", "sliding_throughput",
+    "LATE", "SECOND", "cluster_points", "distinct_offers", "frame_nodes", "latest_nodes_sink", "read_latest_nodes",
+    "running_counters", "sliding_throughput",
 ]
