@@ -107,7 +107,8 @@ def test_readers_reject_what_they_do_not_cover():
     for bad in ("", "a >", "> a", "a,,b", "a b[", "div:hover"):
         with pytest.raises(ValueError):
             read_css(bad)
-    for bad in ("", "(//a)[1]", "a|@b", "//a[@x", "//a|", "//a[not(not(@x))]"):
+    for bad in ("", "(//a | //b)[1]", "(//a/text())[1]", "((//a)[1])[1]", "(//a", "//li[a][2]", "//li/ancestor::ol[last()]", "//a/text()/..",
+                "//li[@x][1][@y]", "//li/following-sibling::li[@x][1]", "//descendant::li[1]", "//following-sibling::li", "//li[last() + 1]", "a|@b", "//a[@x", "//a|", "//a[not(not(@x))]"):
         with pytest.raises(ValueError):
             read_xpath(bad)
     assert read_regex(r"(?P<a>x)(y)") == (r"(?d)(?<a>x)(y)", 1)
@@ -163,3 +164,44 @@ def test_body_cap(spark):
 def test_xpath_unions_and_tests(doms, path, hits):
     found = extract.select_nodes(F.col("dom.nodes"), path_plan_lit(path), F.lit(0), F.lit(0), F.col("dom.text"))
     assert doms.select(F.size(found).alias("hits")).first().hits == hits
+
+
+@pytest.mark.parametrize(
+    ("path", "hits"),
+    [
+        ("//cite/..", 9), ("//a/..", 10), ("//span/parent::li", 9), ("//span/parent::ol", 0), ("//a/../..", 2),
+        ("//li[@id='w-3']/following-sibling::li", 6), ("//li[@id='w-3']/following-sibling::li[2]", 1),
+        ("//li[@id='w-3']/preceding-sibling::li", 2), ("//li[@id='w-1']/preceding-sibling::*", 0),
+        ("//cite/following-sibling::span[position() <= 1]", 9), ("//cite/following-sibling::*[4]/..", 9), ("//q/preceding-sibling::span[1]", 9),
+        ("//li[@id='w-3' or @id='w-5']/following-sibling::li[1]", 2), ("//li[@id='w-2']/following-sibling::li/preceding-sibling::li[1]", 7),
+        ("//q/ancestor::*[1]", 9), ("//q/ancestor::div", 1), ("//q/ancestor::*", 13), ("//q/ancestor::*[2]", 1), ("//q/ancestor::ol[1]", 1),
+        ("//li[position() > 2]", 7), ("//li[position() mod 2 = 1]", 5), ("//li[last() - 1]", 1), ("//li[position() < last()]", 8),
+        ("//li[position() = last()]", 1), ("//li[position() > 2 and position() <= 4]", 2), ("//li[position() mod 3 = 0]", 3),
+        ("//ol[count(li) >= 9]", 1), ("//ol[count(li) > 9]", 0), ("//li[count(span) = 2]", 9), ("//div[count(.//span) = 18]", 1),
+        ("//li[count(*) != 5]", 0), ("//li[count(*) != 4]", 9), ("//li[count(b) < 1]", 9), ("//li[not(count(a) = 1)]", 0),
+        ("(//a)[1]", 1), ("(//a)[last()]", 1), ("(//li)[3]/span", 2), ("(//li)[20]", 0), ("(//cite | //q)/..", 9),
+        ("//li[span[@class='year' and text()='1953']]", 1), ("//ol[.//q]", 1), ("//ol[q]", 0), ("//li[a][@id='w-4']", 1),
+        ("//span[@class='year'][1]", 9), ("//span[@class='year'][2]", 0), ("//li[contains(., 'Study')][last()]", 1), ("//li[position() > 3][1]", 1),
+        ("//li/self::li", 9), ("//li/child::span", 18), ("//ol/descendant::span", 18), ("//li[@id='w-1' or @id='w-2' and @class='none']", 1),
+        ("//a[contains(text(), 'this or that') or text()='Home']", 1),
+    ],
+)
+def test_xpath_axes_positions_and_counts(doms, path, hits):
+    found = extract.select_nodes(F.col("dom.nodes"), path_plan_lit(path), F.lit(0), F.lit(0), F.col("dom.text"))
+    assert doms.select(F.size(found).alias("hits")).first().hits == hits
+
+
+def test_xpath_values_inside_items(library):
+    """Fields of an item: axes stay inside it; values of the n-th of all, of a union in parentheses, beside an element."""
+    fields = [
+        {"name": "first", "kind": "xpath", "expr": "(.//span)[1]", "attr": "text"},
+        {"name": "last", "kind": "xpath", "expr": "(.//span)[last()]/text()"},
+        {"name": "href", "kind": "xpath", "expr": "(.//*/@href)[1]"},
+        {"name": "beside", "kind": "xpath", "expr": ".//cite/following-sibling::span[2]/text()"},
+        {"name": "before", "kind": "xpath", "expr": ".//q/preceding-sibling::span[1]/text()"},
+        {"name": "either", "kind": "xpath", "expr": "(.//q | .//cite)/text()"},
+        {"name": "outside", "kind": "xpath", "expr": ".//q/ancestor::ol", "attr": "id"},
+    ]
+    item = items_of(library, ".work", fields)["items"][3]
+    assert (item["first"], item["last"], item["href"], item["beside"]) == ("Author 4", "1954", "/works/w-4.html", "1954")
+    assert (item["before"], item["either"], item["outside"]) == ("1954", "Study 4", "")

@@ -140,85 +140,198 @@ def _split_list(selector: str) -> list[str]:
     return re.split(r""",(?=(?:[^"'()]|"[^"]*"|'[^']*'|\([^()]*\))*$)""", selector)
 
 
-_XP_STEP = re.compile(r"(?P<axis>//|/)?(?:(?P<text>text\(\))|@(?P<attr>[\w:-]+)|(?P<tag>\*|[A-Za-z_][\w-]*|\.))")
+_XP_STEP = re.compile(
+    r"(?P<sep>//|/)?(?:(?P<text>text\(\))|(?P<up>\.\.)|@(?P<attr>[\w:-]+)"
+    r"|(?:(?P<axis>child|descendant|self|parent|ancestor|following-sibling|preceding-sibling)::)?(?P<tag>\*|[A-Za-z_][\w-]*|\.))"
+)
+# How an element lies to one that the path has reached, by axis.
+_AXES = {
+    "child": ">", "descendant": " ", "self": "self", "parent": "parent", "ancestor": "ancestor",
+    "following-sibling": "after", "preceding-sibling": "before",
+}
 _XP_CLASS = re.compile(
     r"contains\(\s*concat\(\s*['\"] ['\"]\s*,\s*normalize-space\(@class\)\s*,\s*['\"] ['\"]\s*\)\s*,\s*"
     r"['\"] (?P<cls>[\w-]+) ['\"]\s*\)"
 )
 _XP_TEST = re.compile(
-    r"(?P<pos>\d+)\Z|(?P<last>last\(\))\Z|@(?P<attr>[\w:-]+)(?:\s*=\s*(?:'(?P<sq>[^']*)'|\"(?P<dq>[^\"]*)\"))?\Z"
+    r"@(?P<attr>[\w:-]+)(?:\s*=\s*(?:'(?P<sq>[^']*)'|\"(?P<dq>[^\"]*)\"))?\Z"
     r"|(?P<fn>contains|starts-with)\(\s*@(?P<fattr>[\w:-]+)\s*,\s*(?:'(?P<fsq>[^']*)'|\"(?P<fdq>[^\"]*)\")\s*\)\Z"
     r"|(?P<tfn>contains|starts-with)\(\s*(?P<tof>\.|text\(\))\s*,\s*(?:'(?P<tsq>[^']*)'|\"(?P<tdq>[^\"]*)\")\s*\)\Z"
     r"|(?P<eof>\.|text\(\))\s*=\s*(?:'(?P<esq>[^']*)'|\"(?P<edq>[^\"]*)\")\Z"
-    r"|not\(\s*(?P<none>[^()]*(?:\([^()]*\))?)\s*\)\Z"
+    r"|not\(\s*(?P<none>.*?)\s*\)\Z"
+)
+_XP_PLACE = re.compile(
+    r"(?P<at>\d+)|(?:position\(\)\s*=\s*)?last\(\)(?:\s*-\s*(?P<back>\d+))?(?P<last>)"
+    r"|position\(\)\s*(?:(?P<op>=|!=|<=|>=|<|>)\s*(?P<k>\d+)|(?P<inner><)\s*last\(\)|mod\s+(?P<mod>[1-9]\d*)\s*=\s*(?P<rest>\d+))"
+)
+_XP_COUNT = re.compile(
+    r"count\(\s*(?P<deep>\.//|descendant::)?(?:\./|child::)?(?P<tag>\*|[A-Za-z_][\w-]*)\s*\)\s*(?P<op>=|!=|<=|>=|<|>)\s*(?P<k>\d+)"
 )
+_XP_HOLDS = re.compile(r"(?P<deep>\.//|descendant::)?(?:\./|child::)?(?P<tag>\*|[A-Za-z_][\w-]*)(?P<tests>\[.*\])?")
+_XP_PICK = re.compile(r"\[\s*(?:(?P<k>[1-9]\d*)|last\(\))\s*\]")
 
 
 def read_xpath(expr: str) -> tuple[list[list[dict]], str]:
     """Paths (of a union, each as steps) and what to take: '' (element), 'text()' or '@name'."""
-    paths = [_read_path(part, expr) for part in re.split(r"""\|(?=(?:[^"']|"[^"]*"|'[^']*')*$)""", expr)]
+    paths = [_read_path(part, expr) for part in _parts(expr, "|")]
     if len({take for _, take in paths}) > 1:
         raise ValueError(f"a union of elements and values: {expr}")
-    return [steps for steps, _ in paths], paths[0][1]
+    return [steps for alts, _ in paths for steps in alts], paths[0][1]
 
 
-def _read_path(path: str, expr: str) -> tuple[list[dict], str]:
-    text, at, steps, take, lead = path.strip(), 0, [], "", True
-    if text.startswith(("./", "(")):
-        if text[0] == "(":
+def _parts(text: str, mark: str) -> list[str]:
+    """Text between the marks (``|``, or a word between blanks) that stand in no quotes, parentheses or brackets."""
+    found, start, depth, quote, word = [], 0, 0, "", mark.isalpha()
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif not depth and text.startswith(mark, i) and i >= start:
+            if not word or re.fullmatch(r"[\s)\]'\"]\w+[\s(]", text[max(i - 1, 0) : i + len(mark) + 1]):
+                found.append(text[start:i])
+                start = i + len(mark)
+    return [*found, text[start:]]
+
+
+def _read_path(path: str, expr: str) -> tuple[list[list[dict]], str]:
+    """Alternatives of steps of one path, which has several by ``or`` and by a union in parentheses."""
+    text = path.strip()
+    if not text.startswith("("):
+        return _read_steps(text.removeprefix(".") if text.startswith("./") else text, expr, lead=True)
+    end = _closing(text, 0)
+    alts, take = read_xpath(text[1:end])
+    rest = text[end + 1 :].strip()
+    pick = _XP_PICK.match(rest)
+    if pick:  # the n-th of all elements that the path reaches
+        if len(alts) > 1 or take == "text()" or any(t["of"] == "pick" for t in alts[0][-1]["nth"]):
             raise ValueError(f"unsupported xpath: {expr}")
-        text = text[1:]
+        alts[0][-1]["nth"].append({"of": "pick", "a": 0, "b": int(pick["k"] or -1)})
+        if take:
+            alts[0][-1]["attrs"].append({"name": take[1:], "op": "", "value": ""})
+        rest = rest[pick.end() :].strip()
+    if not rest:
+        return alts, take
+    if take:
+        raise ValueError(f"unsupported xpath: {expr}")
+    more, take = _read_steps(rest, expr, lead=False)
+    return [a + m for a in alts for m in more], take
+
+
+def _read_steps(text: str, expr: str, lead: bool) -> tuple[list[list[dict]], str]:
+    at, alts, take, whole = 0, [[]], "", lead
     while at < len(text):
         m = _XP_STEP.match(text, at)
-        if m is None or take or (not lead and not m["axis"]):
+        if m is None or take or (not lead and not m["sep"]):
             raise ValueError(f"unsupported xpath: {expr}")
         at, lead = m.end(), False
-        deep = m["axis"] == "//"
-        if m["tag"] == ".":
+        deep = m["sep"] == "//"
+        if m["tag"] == "." and not m["axis"]:
             continue
         if m["text"] or m["attr"]:
             take = "text()" if m["text"] else "@" + m["attr"].lower()
-            if deep or not steps:
-                steps.append(_step(" "))
+            if deep or (whole and not alts[0]):
+                alts = [[*steps, _step(" ")] for steps in alts]
             continue
-        step = _step(" " if deep else ">")
-        step["tag"] = "" if m["tag"] == "*" else m["tag"].lower()
-        while at < len(text) and text[at] == "[":
+        axis = "parent" if m["up"] else m["axis"] or "child"
+        if deep and axis not in ("child", "descendant"):
+            raise ValueError(f"unsupported xpath: {expr}")
+        step = _step(" " if deep else _AXES[axis])
+        step["tag"] = "" if m["up"] or m["tag"] == "*" else m["tag"].lower()
+        variants = [step]
+        while at < len(text) and text[at] == "[" and not m["up"]:
             end = _closing(text, at)
-            for test in re.split(r"\s+and\s+", text[at + 1 : end].strip()):
-                _add_test(step, test.strip(), expr)
-            at = end + 1
-        steps.append(step)
-    if not steps:
+            either = [_parts(one, "and") for one in _parts(text[at + 1 : end], "or")]
+            grown = []
+            for v in variants:
+                # A position counts the elements that the predicates before it leave.
+                filtered = any(v[k] for k in ("classes", "attrs", "nth", "texts", "barred", "has"))
+                if any("match" in t["of"] for t in v["nth"]):
+                    raise ValueError(f"unsupported predicate: {expr}")
+                for tests in either:
+                    w = {k: list(x) if isinstance(x, list) else x for k, x in v.items()}
+                    for test in tests:
+                        _add_test(w, test.strip(), expr, axis, filtered)
+                    grown.append(w)
+            variants, at = grown, end + 1
+        alts = [[*steps, v] for steps in alts for v in variants]
+    if not alts[0] and not take:
         raise ValueError(f"unsupported xpath: {expr}")
-    return steps, take
+    return alts, take
 
 
 def _closing(text: str, at: int) -> int:
-    quote = ""
-    for i in range(at + 1, len(text)):
+    """Where the parenthesis or bracket at a place is closed."""
+    quote, depth = "", 0
+    for i in range(at, len(text)):
         if quote:
             quote = "" if text[i] == quote else quote
         elif text[i] in "'\"":
             quote = text[i]
-        elif text[i] == "]":
-            return i
+        elif text[i] in "([":
+            depth += 1
+        elif text[i] in ")]":
+            depth -= 1
+            if not depth:
+                return i
     raise ValueError(f"unclosed predicate: {text}")
 
 
-def _add_test(step: dict, test: str, expr: str) -> None:
+def _compared(op: str, k: int) -> tuple[int, int]:
+    """A comparison with a number as a*n+b."""
+    return {"=": (0, k), ">=": (1, k), ">": (1, k + 1), "<=": (-1, k), "<": (-1, k - 1)}[op]
+
+
+def _add_place(step: dict, m: re.Match, expr: str, axis: str, filtered: bool) -> None:
+    """A position: among siblings of the tag, or among what earlier predicates leave, or along an axis."""
+    last = m["last"] is not None or m["inner"] is not None
+    if axis in ("following-sibling", "preceding-sibling", "ancestor"):
+        of = "axis"
+    elif axis == "child":
+        of = "match" if filtered else "of-type" if step["tag"] else "child"
+    else:
+        of = ""
+    if not of or (of == "axis" and (filtered or last)) or (of == "match" and step["has"]):
+        raise ValueError(f"unsupported predicate: {expr}")
+    of = "last-" + of if last else of
+    if m["inner"]:
+        a, b = 1, 2
+    elif last:
+        a, b = 0, int(m["back"] or 0) + 1
+    elif m["mod"]:
+        a, b = int(m["mod"]), int(m["rest"])
+        if b >= a:
+            a, b = 0, 0  # no remainder is that large
+    elif m["op"] == "!=":
+        raise ValueError(f"unsupported predicate: {expr}")
+    else:
+        a, b = _compared(m["op"] or "=", int(m["at"] or m["k"]))
+    step["nth"].append({"of": of, "a": a, "b": b})
+
+
+def _add_test(step: dict, test: str, expr: str, axis: str = "child", filtered: bool = False) -> None:
     by_class = _XP_CLASS.fullmatch(test)
     if by_class:
         step["classes"].append(by_class["cls"])
         return
+    if place := _XP_PLACE.fullmatch(test):
+        _add_place(step, place, expr, axis, filtered)
+        return
+    if count := _XP_COUNT.fullmatch(test):
+        of = ("within:" if count["deep"] else "count:") + count["tag"].lower().replace("*", "")
+        if count["op"] == "!=":
+            step["barred"].append(_step(" ") | {"nth": [{"of": of, "a": 0, "b": int(count["k"])}]})
+        else:
+            a, b = _compared(count["op"], int(count["k"]))
+            step["nth"].append({"of": of, "a": a, "b": b})
+        return
     m = _XP_TEST.match(test)
     if m is None:
-        raise ValueError(f"unsupported predicate: {expr}")
-    of = "of-type" if step["tag"] else "child"
-    if m["pos"]:
-        step["nth"].append({"of": of, "a": 0, "b": int(m["pos"])})
-    elif m["last"]:
-        step["nth"].append({"of": "last-" + of, "a": 0, "b": 1})
+        _add_holds(step, test, expr)
     elif m["attr"]:
         has_value = m["sq"] is not None or m["dq"] is not None
         step["attrs"].append(
@@ -226,8 +339,8 @@ def _add_test(step: dict, test: str, expr: str) -> None:
         )
     elif m["none"] is not None:
         barred = _step(" ") | {"tag": step["tag"]}
-        _add_test(barred, m["none"].strip(), expr)
-        if barred["barred"]:
+        _add_test(barred, m["none"].strip(), expr, axis, filtered)
+        if barred["barred"] or barred["has"] or any(t["of"] in ("axis", "match", "last-match") for t in barred["nth"]):
             raise ValueError(f"unsupported predicate: {expr}")
         step["barred"].append(barred)
     elif m["tfn"] or m["eof"]:
@@ -239,6 +352,25 @@ def _add_test(step: dict, test: str, expr: str) -> None:
         step["attrs"].append({"name": m["fattr"].lower(), "op": op, "value": m["fsq"] or m["fdq"] or ""})
 
 
+def _add_holds(step: dict, test: str, expr: str) -> None:
+    """A predicate that is a path of one step: the element has such a child or descendant."""
+    m = _XP_HOLDS.fullmatch(test)
+    if m is None:
+        raise ValueError(f"unsupported predicate: {expr}")
+    held, tests, at = _step(" " if m["deep"] else ">"), m["tests"] or "", 0
+    held["tag"] = "" if m["tag"] == "*" else m["tag"].lower()
+    while at < len(tests):
+        end = _closing(tests, at)
+        if tests[at] != "[" or len(_parts(tests[at + 1 : end], "or")) > 1:
+            raise ValueError(f"unsupported predicate: {expr}")
+        for one in _parts(tests[at + 1 : end], "and"):
+            _add_test(held, one.strip(), expr, filtered=at > 0)
+        at = end + 1
+    if held["barred"] or held["has"] or any("match" in t["of"] for t in held["nth"]):
+        raise ValueError(f"unsupported predicate: {expr}")
+    step["has"].append([held])
+
+
 def read_regex(expr: str) -> tuple[str, int]:
     """Pattern in the dialect Spark runs and the group to return; look-around is rejected."""
     if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", expr):
@@ -328,10 +460,21 @@ _ATTR_OK = """coalesce(CASE t.op
     WHEN '$=' THEN t.value != '' AND endswith(n.attrs[t.name], t.value)
     WHEN '*=' THEN t.value != '' AND contains(n.attrs[t.name], t.value)
     WHEN '|=' THEN n.attrs[t.name] = t.value OR startswith(n.attrs[t.name], concat(t.value, '-')) END, false)"""
-_NTH_AT = """CASE t.of WHEN 'size' THEN n.end_pos - n.pos + n.t1 - n.t0 WHEN 'child' THEN n.el_idx WHEN 'of-type' THEN n.type_idx
-    WHEN 'last-child' THEN n.n_el - n.el_idx + 1 ELSE n.n_type - n.type_idx + 1 END"""
-_NTH_OK = f"""CASE WHEN t.a = 0 THEN {_NTH_AT} = t.b
-    ELSE ({_NTH_AT} - t.b) % t.a = 0 AND ({_NTH_AT} - t.b) * sign(t.a) >= 0 END"""
+# The elements below one follow it in document order, so those it has to hold are looked for in a slice.
+_INSIDE = "slice(q.nodes, n.pos - q.below + 1, n.end_pos - n.pos)"
+_COUNTED = f"""size(filter({_INSIDE}, k -> (startswith(t.of, 'within:') OR k.parent_pos = n.pos)
+    AND substring_index(t.of, ':', -1) IN ('', k.tag)))"""
+_NTH_AT = f"""CASE t.of WHEN 'size' THEN n.end_pos - n.pos + n.t1 - n.t0 WHEN 'child' THEN n.el_idx WHEN 'of-type' THEN n.type_idx
+    WHEN 'last-child' THEN n.n_el - n.el_idx + 1 WHEN 'last-of-type' THEN n.n_type - n.type_idx + 1 ELSE {_COUNTED} END"""
+
+
+def _of_form(value: str) -> str:
+    """Whether a number is a*n+b of a test ``t``."""
+    return f"CASE WHEN t.a = 0 THEN {value} = t.b ELSE ({value} - t.b) % t.a = 0 AND ({value} - t.b) * sign(t.a) >= 0 END"
+
+
+# Positions that depend on more than the element are tested where the step is.
+_NTH_OK = f"(t.of IN ('axis', 'pick', 'match', 'last-match') OR {_of_form(_NTH_AT)})"
 _TEXT = "if(t.own, n.own_text, substring(q.text, n.t0 + 1, n.t1 - n.t0))"
 _TEXT_OK = f"""coalesce(CASE t.op WHEN '=' THEN {_TEXT} = t.value WHEN '^=' THEN startswith({_TEXT}, t.value)
     ELSE contains({_TEXT}, t.value) END, false)"""
@@ -345,24 +488,52 @@ def _compound_ok(node: str, test: str) -> str:
     return re.sub(r"\bst\.", f"{test}.", re.sub(r"\bn\.", f"{node}.", _COMPOUND_OK))
 
 
-# The elements below one follow it in document order, so those it has to hold are looked for in a slice.
-_INSIDE = "slice(q.nodes, n.pos - q.below + 1, n.end_pos - n.pos)"
 _HOLDS = f"exists({_INSIDE}, d -> (h.comb = ' ' OR d.parent_pos = n.pos) AND {_compound_ok('d', 'h')})"
+_MATCHING = f"""size(filter(q.nodes, x -> x.parent_pos = n.parent_pos AND if(t.of = 'match', x.el_idx <= n.el_idx, x.el_idx >= n.el_idx)
+    AND {_compound_ok("x", "st")} AND NOT exists(st.barred, b -> {_compound_ok("x", "b")})))"""
 _STEP_OK = f"""{_COMPOUND_OK} AND NOT exists(st.barred, b -> {_compound_ok("n", "b")})
-    AND forall(st.has, hs -> exists(hs, h -> {_HOLDS}))"""
+    AND forall(st.has, hs -> exists(hs, h -> {_HOLDS}))
+    AND forall(st.nth, t -> t.of NOT IN ('match', 'last-match') OR {_of_form(_MATCHING)})"""
 
 
 def _marked(marks: str, pos: str) -> str:
     return f"coalesce(get({marks}, {pos} - q.below), false)"
 
 
+def _along(rank: str) -> str:
+    """Whether the place of an element on an axis fits the step; it counts elements of the step's tag."""
+    return f"forall(st.nth, t -> t.of != 'axis' OR {_of_form(rank)})"
+
+
+def _sibling(first: str, then: str) -> str:
+    """Exists a reached sibling ``m`` such that ``first`` comes before ``then``, so many elements further."""
+    between = f"x.el_idx > {first}.el_idx AND x.el_idx < {then}.el_idx"
+    rank = f"(size(filter(q.nodes, x -> x.parent_pos = n.parent_pos AND {between} AND (st.tag = '' OR x.tag = st.tag))) + 1)"
+    return f"exists(q.nodes, m -> m.parent_pos = n.parent_pos AND {_marked('marks', 'm.pos')} AND {first}.el_idx < {then}.el_idx AND {_along(rank)})"
+
+
+_UP = "(size(filter(d.path, a -> a > n.pos AND (st.tag = '' OR get(q.nodes, a - q.below - 1).tag = st.tag))) + 1)"
 _LINKED = f"""CASE st.comb WHEN '' THEN true
     WHEN ' ' THEN exists(n.path, a -> {_marked("marks", "a")})
     WHEN '>' THEN {_marked("marks", "n.parent_pos")}
+    WHEN 'self' THEN {_marked("marks", "n.pos")}
+    WHEN 'parent' THEN exists({_INSIDE}, d -> d.parent_pos = n.pos AND {_marked("marks", "d.pos")})
+    WHEN 'ancestor' THEN exists({_INSIDE}, d -> {_marked("marks", "d.pos")} AND {_along(_UP)})
+    WHEN 'after' THEN {_sibling("m", "n")}
+    WHEN 'before' THEN {_sibling("n", "m")}
     ELSE exists(q.nodes, m -> m.parent_pos = n.parent_pos AND {_marked("marks", "m.pos")}
         AND if(st.comb = '+', n.el_idx - m.el_idx = 1, n.el_idx > m.el_idx)) END"""
 
 
+def _picked(flags: str) -> str:
+    """Flags of which only the n-th one that is set stays, if the step says so; -1 stands for the last one."""
+    wanted = "get(filter(st.nth, t -> t.of = 'pick'), 0).b"
+    places = "filter(sequence(0, size(fm) - 1), i -> fm[i])"
+    chosen = let(places, "ps", f"get(ps, if({wanted} < 0, size(ps), {wanted}) - 1)")
+    only = let(chosen, "at", "transform(fm, (x, i) -> coalesce(i = at, false))")
+    return let(flags, "fm", f"CASE WHEN {wanted} IS NULL THEN fm ELSE {only} END")
+
+
 def select_sql(query: str) -> str:
     """Elements that match ``query`` = STRUCT<nodes, alts, below, context, text>, in document order.
 
@@ -371,7 +542,8 @@ def select_sql(query: str) -> str:
     """
     start = "transform(sequence(0, size(q.nodes)), i -> coalesce(i = q.context, false))"
     flags = f"transform(q.nodes, n -> CASE WHEN {_STEP_OK} THEN {_LINKED} ELSE false END)"
-    reached = f"transform(q.alts, steps -> aggregate(steps, {start}, (marks, st) -> concat(array(false), {flags})))"
+    after = _picked(f"concat(array(false), {flags})")
+    reached = f"transform(q.alts, steps -> aggregate(steps, {start}, (marks, st) -> {after}))"
     hit = f"exists(all_marks, mk -> {_marked('mk', 'n.pos')})"
     found = let(reached, "all_marks", f"filter(q.nodes, n -> {hit})")
     return let(query, "q", f"CASE WHEN size(q.alts) = 0 THEN slice(q.nodes, 1, 0) ELSE {found} END")

@@ -165,6 +165,16 @@ _form(
 _form("x3_contains", f"len([x FOR x IN {_NAV_TEXTS} IF contains(x, 'the')])", "nav li:contains('the')")
 _form("x4_union", "1 + len([h FOR h IN hrefs IF NOT contains(h, 'e')])", path="//nav//a[not(contains(@href, 'e'))] | //h1")
 _form("x4_text_tests", f"len([x FOR x IN {_NAV_TEXTS} IF starts_with(x, 't')])", path="//li/a[starts-with(text(), 't')]")
+_T_PLACES = "[i FOR i IN range(1, len(hrefs) + 1) IF starts_with(hrefs[i], '/t')]"
+_form("x4_siblings_after", f"coalesce(len(hrefs) - list_min({_T_PLACES}), 0)", path="//li[a[starts-with(@href, '/t')]]/following-sibling::li")
+_form("x4_siblings_before", f"coalesce(list_max({_T_PLACES}) - 1, 0)", path="//li[a[starts-with(@href, '/t')]]/preceding-sibling::li")
+_form("x4_parents", f"CASE WHEN len({_T_PLACES}) > 0 THEN len({_T_PLACES}) + 1 ELSE 0 END",
+      path="//a[starts-with(@href, '/t')]/.. | //a[starts-with(@href, '/t')]/ancestor::ul[1]")
+_form("x4_positions", "greatest(0, len(hrefs) - 3)", path="//li[position() > 2 and position() < last()]")
+_form("x4_counts", "CASE WHEN len(hrefs) >= 5 THEN 1 ELSE 0 END", path="//ul[count(li) >= 5]")
+_form("x4_either", "len([h FOR h IN hrefs IF starts_with(h, '/t') OR contains(h, 'e')])", path="//nav//a[starts-with(@href, '/t') or contains(@href, 'e')]")
+_form("x4_filtered_position", f"least(1, greatest(0, len([x FOR x IN {_NAV_TEXTS} IF contains(x, 'the')]) - 1))", path="//li[contains(., 'the')][2]")
+_form("x4_nth_of_all", "greatest(0, len(hrefs) - 2)", path="(//li)[2]/following-sibling::li")
 
 
 @query(
