@@ -295,7 +295,7 @@ def _add_place(step: dict, m: re.Match, expr: str, axis: str, filtered: bool) ->
         of = "match" if filtered else "of-type" if step["tag"] else "child"
     else:
         of = ""
-    if not of or (of == "axis" and (filtered or last)) or (of == "match" and step["has"]):
+    if not of or (of == "axis" and (filtered or last)):
         raise ValueError(f"unsupported predicate: {expr}")
     of = "last-" + of if last else of
     if m["inner"]:
@@ -470,7 +470,7 @@ _NTH_AT = f"""CASE t.of WHEN 'size' THEN n.end_pos - n.pos + n.t1 - n.t0 WHEN 'c
 
 def _of_form(value: str) -> str:
     """Whether a number is a*n+b of a test ``t``."""
-    return f"CASE WHEN t.a = 0 THEN {value} = t.b ELSE ({value} - t.b) % t.a = 0 AND ({value} - t.b) * sign(t.a) >= 0 END"
+    return f"exists(array({value}), v -> CASE WHEN t.a = 0 THEN v = t.b ELSE (v - t.b) % t.a = 0 AND (v - t.b) * sign(t.a) >= 0 END)"
 
 
 # Positions that depend on more than the element are tested where the step is.
@@ -489,11 +489,12 @@ def _compound_ok(node: str, test: str) -> str:
 
 
 _HOLDS = f"exists({_INSIDE}, d -> (h.comb = ' ' OR d.parent_pos = n.pos) AND {_compound_ok('d', 'h')})"
-_MATCHING = f"""size(filter(q.nodes, x -> x.parent_pos = n.parent_pos AND if(t.of = 'match', x.el_idx <= n.el_idx, x.el_idx >= n.el_idx)
-    AND {_compound_ok("x", "st")} AND NOT exists(st.barred, b -> {_compound_ok("x", "b")})))"""
 _STEP_OK = f"""{_COMPOUND_OK} AND NOT exists(st.barred, b -> {_compound_ok("n", "b")})
-    AND forall(st.has, hs -> exists(hs, h -> {_HOLDS}))
-    AND forall(st.nth, t -> t.of NOT IN ('match', 'last-match') OR {_of_form(_MATCHING)})"""
+    AND forall(st.has, hs -> exists(hs, h -> {_HOLDS}))"""
+# Among the siblings that pass the step's other tests (``ok``), counted from either end.
+_MATCHING = """size(filter(q.nodes, x -> x.parent_pos = n.parent_pos AND get(ok, x.pos - q.below - 1)
+    AND if(t.of = 'match', x.el_idx <= n.el_idx, x.el_idx >= n.el_idx)))"""
+_MATCH_OK = f"forall(st.nth, t -> t.of NOT IN ('match', 'last-match') OR {_of_form(_MATCHING)})"
 
 
 def _marked(marks: str, pos: str) -> str:
@@ -505,13 +506,8 @@ def _along(rank: str) -> str:
     return f"forall(st.nth, t -> t.of != 'axis' OR {_of_form(rank)})"
 
 
-def _sibling(first: str, then: str) -> str:
-    """Exists a reached sibling ``m`` such that ``first`` comes before ``then``, so many elements further."""
-    between = f"x.el_idx > {first}.el_idx AND x.el_idx < {then}.el_idx"
-    rank = f"(size(filter(q.nodes, x -> x.parent_pos = n.parent_pos AND {between} AND (st.tag = '' OR x.tag = st.tag))) + 1)"
-    return f"exists(q.nodes, m -> m.parent_pos = n.parent_pos AND {_marked('marks', 'm.pos')} AND {first}.el_idx < {then}.el_idx AND {_along(rank)})"
-
-
+_BETWEEN = """(size(filter(q.nodes, x -> x.parent_pos = n.parent_pos AND x.el_idx > least(m.el_idx, n.el_idx)
+    AND x.el_idx < greatest(m.el_idx, n.el_idx) AND (st.tag = '' OR x.tag = st.tag))) + 1)"""
 _UP = "(size(filter(d.path, a -> a > n.pos AND (st.tag = '' OR get(q.nodes, a - q.below - 1).tag = st.tag))) + 1)"
 _LINKED = f"""CASE st.comb WHEN '' THEN true
     WHEN ' ' THEN exists(n.path, a -> {_marked("marks", "a")})
@@ -519,10 +515,9 @@ _LINKED = f"""CASE st.comb WHEN '' THEN true
     WHEN 'self' THEN {_marked("marks", "n.pos")}
     WHEN 'parent' THEN exists({_INSIDE}, d -> d.parent_pos = n.pos AND {_marked("marks", "d.pos")})
     WHEN 'ancestor' THEN exists({_INSIDE}, d -> {_marked("marks", "d.pos")} AND {_along(_UP)})
-    WHEN 'after' THEN {_sibling("m", "n")}
-    WHEN 'before' THEN {_sibling("n", "m")}
     ELSE exists(q.nodes, m -> m.parent_pos = n.parent_pos AND {_marked("marks", "m.pos")}
-        AND if(st.comb = '+', n.el_idx - m.el_idx = 1, n.el_idx > m.el_idx)) END"""
+        AND CASE st.comb WHEN '+' THEN n.el_idx - m.el_idx = 1 WHEN 'before' THEN n.el_idx < m.el_idx ELSE n.el_idx > m.el_idx END
+        AND {_along(_BETWEEN)}) END"""
 
 
 def _picked(flags: str) -> str:
@@ -541,7 +536,8 @@ def select_sql(query: str) -> str:
     cheap test on the element itself stands before the walk over its ancestors.
     """
     start = "transform(sequence(0, size(q.nodes)), i -> coalesce(i = q.context, false))"
-    flags = f"transform(q.nodes, n -> CASE WHEN {_STEP_OK} THEN {_LINKED} ELSE false END)"
+    passed = f"transform(q.nodes, n -> coalesce({_STEP_OK}, false))"
+    flags = let(passed, "ok", f"transform(q.nodes, (n, at) -> CASE WHEN get(ok, at) AND {_MATCH_OK} THEN {_LINKED} ELSE false END)")
     after = _picked(f"concat(array(false), {flags})")
     reached = f"transform(q.alts, steps -> aggregate(steps, {start}, (marks, st) -> {after}))"
     hit = f"exists(all_marks, mk -> {_marked('mk', 'n.pos')})"
