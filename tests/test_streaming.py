@@ -39,7 +39,7 @@ def collect(spark, df, mode):
     return spark.table(name)
 
 
-@pytest.fixture(scope="module", autouse=True)
+@pytest.fixture
 def few_partitions(spark):
     """Every partition of a stateful stream has a state store and, here, a Python worker of its own."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -159,7 +159,7 @@ def shuffled(spark, path, df, files):
     return stream_of(spark, path, df.withColumn("_o", F.col("us") + F.when(F.col("id") % 3 == 0, -8 * S).otherwise(0)), files, "_o").drop("_o")
 
 
-def test_adaptive_rates(spark, tmp_path):
+def test_adaptive_rates(spark, few_partitions, tmp_path):
     """The stream equals the batch trace: ties in time, rows out of order, fetches without domain, latency or status."""
     log = spark.range(400).select(
         F.col("id"), F.col("id").alias("fetch_id"),
@@ -177,7 +177,7 @@ def test_adaptive_rates(spark, tmp_path):
     assert {d for d, _ in a.values()} == {"a", "b", "default"} and len({round(q, 3) for _, q in a.values()}) > 5
 
 
-def test_expired_leases(spark, tmp_path):
+def test_expired_leases(spark, few_partitions, tmp_path):
     rows = [
         (1, 1, 0, "lease", 30), (2, 2, 0, "lease", 30), (3, 3, 1, "lease", 31), (4, 2, 10, "ack", 0),
         (5, 3, 40, "ack", 0), (6, 4, 100, "lease", 130), (7, 5, 200, "lease", 900), (8, 6, 300, "lease", 900),
@@ -194,7 +194,7 @@ def lease_events(spark, rows):
     )
 
 
-def test_lease_stream_equals_batch(spark, tmp_path):
+def test_lease_stream_equals_batch(spark, few_partitions, tmp_path):
     """Renewals, ties, an acknowledgement at the very end, missing expiry, late order, a job with most of the rows."""
     rows = [(1, 1, 0, "lease", 10), (2, 1, 10, "ack", None), (3, 2, 0, "lease", 5), (4, 2, 4, "lease", 9), (5, 2, 10, "ack", None),
             (6, 3, 1, "lease", None), (7, 3, 2, "lease", 20), (8, 3, 3, "lease", None), (9, None, 3, "lease", 4), (10, 4, 7, "ack", None)]
@@ -216,7 +216,7 @@ def node_reports(spark, rows):
     )
 
 
-def test_node_liveness(spark, tmp_path):
+def test_node_liveness(spark, few_partitions, tmp_path):
     rows = [(1, "a", 0), (2, "b", 5), (3, "a", 10), (4, "a", 60), (5, "b", 62), (6, "c", 200), (7, "c", 400), (8, "d", 411)]
     got = collect(spark, stateful.node_liveness(stream_of(spark, str(tmp_path / "in"), node_reports(spark, rows), 8)), "append")
     changes = sorted((r.worker_id, r.us // S - DAY, r.status) for r in got.collect())
@@ -227,7 +227,7 @@ def test_node_liveness(spark, tmp_path):
     ]
 
 
-def test_liveness_stream_equals_spans(spark, tmp_path):
+def test_liveness_stream_equals_spans(spark, few_partitions, tmp_path):
     rows = [(i, "hot", i * 3 + (40 if i > 30 else 0) + (21 if i > 50 else 0)) for i in range(60)]
     rows += [(100, "edge", 0), (101, "edge", 20), (102, "edge", 41), (103, None, 50), (104, "twice", 9), (105, "twice", 9), (106, "end", 400)]
     reports = node_reports(spark, rows)
