@@ -1,5 +1,7 @@
+import pyarrow as pa
+
 from webloom.operators import extract, induction
-from webloom.sources.htmltree import MAX_DEPTH, shred_batch
+from webloom.sources.htmltree import MAX_DEPTH, PARSERS, RUN_BYTES, page_runs, shred_batch
 
 
 def shape(html: str) -> str:
@@ -57,6 +59,22 @@ def test_empty_and_missing_pages():
         assert [n["tag"] for n in page["nodes"]] == ["html", "head", "body"]
 
 
+def test_batches_are_taken_apart_in_runs():
+    pages = ["<p>%d" % i for i in range(50)] + ["x" * (RUN_BYTES + 1), None, "", "<p>last"]
+    runs = [r.to_pylist() for r in page_runs(pa.array(pages))]
+    assert sum(runs, []) == pages and [len(r) for r in runs] == [50, 1, 3]
+    assert list(page_runs(pa.array([], pa.string()))) == []
+    # The parser itself yields a run at a time: it has not read the second batch when the first run is out.
+    read = iter([pa.array(pages), None])
+    assert len(next(PARSERS[False].func(read))) == 50 and next(read) is None
+
+
+def test_runs_keep_rows_together(spark):
+    pages = spark.range(0, 3000, 1, 1).selectExpr("id AS page_id", "concat('<p id=n', id, '>', repeat('y', 400)) AS html")
+    doms = pages.withColumn("dom", PARSERS[True]("html"))
+    assert doms.filter("dom.nodes[3].id_attr = concat('n', page_id) AND length(dom.text) = 400 AND length(html) > 400").count() == 3000
+
+
 def test_node_table(spark, library):
     nodes = extract.dom_nodes(extract.with_dom(library)).filter("page_id = 1").cache()
     assert nodes.filter("tag = 'li'").count() == 9
