@@ -38,3 +38,23 @@ def test_one_step_over_the_library(spark, library):
     assert len(offers) == 9 and {(r.depth, r.priority) for r in offers} == {(1, 5)}
     stats = {r.task_id: r.stats for r in stats_map(step.counters(seen)).collect()}
     assert stats[3] == {"crawled": 1, "results": 1}
+
+
+def test_jobs_of_one_url_meet_their_own_fetches(spark):
+    url = "http://library.test/news"
+    jobs = spark.createDataFrame([(1, 1, 1, url, 0), (2, 1, 1, url, 0), (3, 2, 1, url, 0)], "page_id bigint, task_id bigint, rule_id bigint, url string, depth int")
+    tasks = spark.createDataFrame([(1, "running", 1), (2, "running", 1)], "task_id bigint, status string, max_depth int")
+    rules = spark.createDataFrame(
+        [(1, "", "a", [("h", "css", "h1", "")], False)],
+        f"rule_id bigint, item_selector string, link_selector string, fields {RULE}, respect_robots boolean",
+    )
+    robots = spark.createDataFrame([("library.test", "")], "host string, body string")
+    pages = spark.createDataFrame(
+        [(1, url, "<h1>one</h1><a href=/a>a</a>", 200), (2, url, "<h1>two</h1><a href=/b>b</a>", 200), (3, url, "", 503)],
+        "page_id bigint, url string, html string, status int",
+    )
+    step = crawl_step(jobs, tasks, rules, pages, robots, fetch=("page_id", "url"))
+    seen = spark.createDataFrame([], "task_id bigint, url string")
+    got = {r.task_id: (r.crawled, r.failed, r.results, r.enqueued, r.duplicated) for r in step.counters(seen).collect()}
+    assert got == {1: (2, 0, 2, 2, 0), 2: (1, 1, 0, 0, 0)}
+    assert sorted(r.payload["h"] for r in step.results.collect()) == ["one", "two"]

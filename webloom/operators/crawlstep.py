@@ -75,10 +75,12 @@ class CrawlStep:
 
 
 def crawl_step(
-    jobs: DataFrame, tasks: DataFrame, rules: DataFrame, pages: DataFrame, robots: DataFrame, with_html: bool = True
+    jobs: DataFrame, tasks: DataFrame, rules: DataFrame, pages: DataFrame, robots: DataFrame, with_html: bool = True,
+    fetch: tuple[str, ...] = ("url",),
 ) -> CrawlStep:
     """``jobs``: task_id, rule_id, url, depth; ``pages``: url, html, status (the fetch outcome), one row
-    per URL; a URL without a row got no reply."""
+    per fetch; a job without a row got no reply. ``fetch`` are the columns by which a job meets its page: the URL, and
+    more where a URL is fetched several times."""
     plans = rules.select(
         "rule_id",
         "respect_robots",
@@ -92,8 +94,9 @@ def crawl_step(
     # Only bodies of the batch's URLs and of good replies travel to the join: the semi join comes first, and
     # Spark sends a small batch to the pages. Meeting bodies by URL spreads a hot task or rule before parsing.
     fine = F.col("status").isNotNull() & ~failed(F.col("status"))
-    bodies = pages.select("url", "status", F.when(fine, F.col("html")).alias("html"))
-    fetched = checked.join(bodies.join(jobs.select("url"), "url", "left_semi"), "url", "left")
+    by = list(fetch)
+    bodies = pages.select(*by, "status", F.when(fine, F.col("html")).alias("html"))
+    fetched = checked.join(bodies.join(jobs.select(*by), by, "left_semi"), by, "left")
     # A job whose rule is gone fails without a fetch, like one whose fetch got no reply.
     fetched = fetched.withColumn("status", F.when(F.col("plan").isNotNull(), F.col("status")))
     good = ~F.col("robots_skip") & F.coalesce(fine, F.lit(False))
