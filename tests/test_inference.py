@@ -42,3 +42,10 @@ def test_list_rules_of_all_elements(both):
     got = {(r["page_id"], r["node_id"]): (r["item_selector"], r["field_selector"], r["hits"]) for r in inference.page_list_rules(elements).collect()}
     assert got == want
     assert any(v[2] > 2 for v in want.values())
+
+
+def test_no_side_of_a_join_goes_through_the_driver(both):
+    elements = both[2]
+    for out in (inference.page_list_rules(elements), inference.page_candidates(elements)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

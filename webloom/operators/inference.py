@@ -10,7 +10,9 @@ a page that would be a scan of the page for each of its candidates. Here the wor
 * "An item that holds a field" is a question of intervals of the document order: the next field after an item's start
   must not lie beyond its end. Items and fields of a pair are read in one pass over a window.
 
-All tables are keyed by page and selector, so a large page is spread over tasks, too.
+All tables are keyed by page and selector, so a large page is spread over tasks, too. Both sides of every join grow with
+the pages. Their sizes are estimated from small files with arrays, before the arrays are exploded, so without a hint
+Spark broadcasts sides that fill the driver.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from webloom.operators.induction import (
 from webloom.session import cut_lineage
 
 _TEXTS = "array<string>"
+_MERGE = "merge"  # both sides are shuffled; skewed keys are still split
 
 
 def _test(name, value: Column) -> Column:
@@ -138,10 +141,10 @@ def path_hits(elements: DataFrame, paths: DataFrame) -> DataFrame:
         prefix = paths.filter(F.size("path") >= size).select("page_id", F.slice("path", 1, size).alias("path")).distinct()
         prefix = prefix.withColumn("step", F.element_at("path", -1)).withColumn("up", F.slice("path", 1, size - 1) if size > 1 else F.array().cast(_TEXTS))
         if reached is None:
-            now = prefix.join(steps, ["page_id", "step"])
+            now = prefix.join(steps.hint(_MERGE), ["page_id", "step"])
         else:
             above = reached.select("page_id", F.col("path").alias("up"), F.col("pos").alias("parent_pos"))
-            now = prefix.join(above, ["page_id", "up"]).join(steps, ["page_id", "parent_pos", "step"])
+            now = prefix.join(above.hint(_MERGE), ["page_id", "up"]).join(steps.hint(_MERGE), ["page_id", "parent_pos", "step"])
         reached = cut_lineage(now.select("page_id", "path", "pos"))
         if reached.isEmpty():
             break
@@ -155,9 +158,9 @@ def path_hits(elements: DataFrame, paths: DataFrame) -> DataFrame:
 def page_candidates(elements: DataFrame) -> DataFrame:
     """The best eight selectors of every listed element (X12): page_id, node_id, rank, kind, expr, unique, score, hits."""
     rows = elements.select("page_id", "node_id", F.explode("wanted").alias("c")).select("page_id", "node_id", "c.*")
-    simple = rows.filter("path IS NULL").join(stated_hits(elements), ["page_id", "key"], "left")
+    simple = rows.filter("path IS NULL").join(stated_hits(elements).hint(_MERGE), ["page_id", "key"], "left")
     long = rows.filter("path IS NOT NULL")
-    long = long.join(path_hits(elements, long.select("page_id", "path")), ["page_id", "path"], "left")
+    long = long.join(path_hits(elements, long.select("page_id", "path")).hint(_MERGE), ["page_id", "path"], "left")
     # No element states the empty selector, that of the html element, which has no path.
     columns = ["page_id", "node_id", "i", "kind", "expr", F.coalesce("hits", F.lit(0)).cast("int").alias("hits")]
     scored = simple.select(*columns).unionByName(long.select(*columns))
@@ -169,7 +172,7 @@ def page_candidates(elements: DataFrame) -> DataFrame:
 
 def items_holding(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     """(page_id, item, field, hits): items of each page that hold a field, for pairs of selectors."""
-    stated_ = elements.select("page_id", "pos", "end_pos", F.explode("stated").alias("key"))
+    stated_ = elements.select("page_id", "pos", "end_pos", F.explode("stated").alias("key")).hint(_MERGE)
     items = pairs.join(stated_, (pairs["page_id"] == stated_["page_id"]) & (pairs["item"] == stated_["key"]))
     fields = pairs.join(stated_, (pairs["page_id"] == stated_["page_id"]) & (pairs["field"] == stated_["key"]))
     pair = [pairs[c] for c in ("page_id", "item", "field")]
@@ -186,11 +189,11 @@ def page_list_rules(elements: DataFrame) -> DataFrame:
     alike = Window.partitionBy("page_id", "parent_pos", "signature")
     listed = elements.filter("node_id > 0")
     twins = listed.withColumn("twins", F.count("*").over(alike)).filter((F.col("twins") >= MIN_SIBLINGS) & (F.col("parent_id") > 0)).select("page_id", "pos")
-    rules = listed.select("page_id", "node_id", F.explode("rules").alias("r")).select("page_id", "node_id", "r.*").join(twins, ["page_id", "pos"])
+    rules = listed.select("page_id", "node_id", F.explode("rules").alias("r")).select("page_id", "node_id", "r.*").join(twins.hint(_MERGE), ["page_id", "pos"])
     pairs = rules.select("page_id", "item", "field").distinct()
-    scored = rules.join(items_holding(elements, pairs), ["page_id", "item", "field"])
+    scored = rules.join(items_holding(elements, pairs).hint(_MERGE), ["page_id", "item", "field"])
     best = scored.groupBy("page_id", "node_id").agg(F.max_by(F.struct("item", "field", "hits"), F.struct("hits", -F.col("i"))).alias("b"))
-    out = listed.select("page_id", "node_id", "itself").join(best, ["page_id", "node_id"], "left")
+    out = listed.select("page_id", "node_id", "itself").join(best.hint(_MERGE), ["page_id", "node_id"], "left")
     return out.select(
         "page_id", "node_id", F.coalesce("b.item", F.lit("")).alias("item_selector"),
         F.coalesce("b.field", "itself").alias("field_selector"), F.coalesce("b.hits", F.lit(1)).alias("hits"),
