@@ -106,3 +106,14 @@ def test_hit_test(spark):
     )
     got = {r.point_id: r.node_id for r in boxes.hit_test(points, shapes).collect()}
     assert got == {1: 2, 2: 1, 4: 5}
+
+
+def test_boxes_behind_a_covering_one_leave_the_cell(spark):
+    rows = [(1, n, 0.0, 0.0, 64.0 + n, 64.0 + n) for n in range(100)] + [(1, 200, 10.0, 10.0, 5.0, 5.0), (1, 201, 70.0, 70.0, 9.0, 9.0)]
+    shapes = spark.createDataFrame(rows, "page_id int, node_id int, x double, y double, w double, h double")
+    first = boxes.cell_boxes(shapes).filter("_cx = 0 AND _cy = 0")
+    assert sorted(r.node_id for r in first.collect()) == [0, 200]
+    points = spark.createDataFrame([(1, 1, 11.0, 11.0), (1, 2, 20.0, 63.0), (1, 3, 64.5, 1.0), (1, 4, 72.0, 72.0), (1, 5, 300.0, 1.0)], "page_id int, point_id int, x double, y double")
+    hits = boxes.hit_test(points, shapes)
+    assert {r.point_id: r.node_id for r in hits.collect()} == {1: 200, 2: 0, 3: 1, 4: 201}
+    assert "BroadcastHashJoin" not in hits._jdf.queryExecution().executedPlan().toString()

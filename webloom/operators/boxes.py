@@ -12,20 +12,21 @@ NOT_SHOWN = ("html", "head", "meta", "link", "title", "body")
 SHOWN_EMPTY = ("article", "section", "img")
 
 
-def hit_test(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Smallest box with an area that contains each point, first one on ties.
+_CELL = ["page_id", "_level", "_cx", "_cy"]
 
-    ``points``: page_id, point_id, x, y; ``boxes``: page_id, node_id, x, y, w, h. Both sides meet on
-    (page, grid level, cell). A box goes to the level whose cells are about its size, so it is listed
-    in at most 25 cells; a point looks into its cell of every level. A page with very many points is
-    spread over its cells, and a point meets only boxes near it.
+
+def cell_boxes(boxes: DataFrame) -> DataFrame:
+    """The boxes of every grid cell that can be the smallest one at some point of it: _CELL, node_id, _x, _y, _w, _h.
+
+    A box goes to the level whose cells are about its size, so it is listed in at most 25 cells. The smallest of the
+    boxes that cover a whole cell contains every point of it, so larger boxes fall out of the cell.
     """
     longest = F.greatest("w", "h")
     level = F.least(
         F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(4.0, longest / F.lit(CELL * 4))))
     ).cast("int")
     solid = boxes.filter((F.col("w") > 0) & (F.col("h") > 0)).withColumn("_level", level)
-    size = F.lit(CELL) * F.pow(F.lit(4.0), F.col("_level"))
+    size = _size()
 
     def cells(start: str, length: str) -> Column:
         return F.sequence(F.floor(F.col(start) / size), F.floor((F.col(start) + F.col(length)) / size))
@@ -35,6 +36,27 @@ def hit_test(points: DataFrame, boxes: DataFrame) -> DataFrame:
         .withColumn("_cy", F.explode(cells("y", "h")))
         .select("page_id", "_level", "_cx", "_cy", "node_id", *[F.col(c).alias(f"_{c}") for c in "xywh"])
     )
+    x, y = F.col("_cx") * size, F.col("_cy") * size
+    covers = (F.col("_x") <= x) & (F.col("_x") + F.col("_w") >= x + size) & (F.col("_y") <= y) & (F.col("_y") + F.col("_h") >= y + size)
+    order = F.struct((F.col("_w") * F.col("_h")).alias("area"), F.col("node_id"))
+    least = listed.filter(covers).groupBy(*_CELL).agg(F.min(order).alias("_least"))
+    # Estimates know nothing of the cells a box is listed in; without the hint the boxes may be broadcast.
+    known = listed.join(least.hint("merge"), _CELL, "left")
+    return known.filter(F.col("_least").isNull() | (order <= F.col("_least"))).drop("_least")
+
+
+def _size() -> Column:
+    return F.lit(CELL) * F.pow(F.lit(4.0), F.col("_level"))
+
+
+def hit_test(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Smallest box with an area that contains each point, first one on ties.
+
+    ``points``: page_id, point_id, x, y; ``boxes``: page_id, node_id, x, y, w, h. Both sides meet on
+    (page, grid level, cell); a point looks into its cell of every level. A page with very many points is
+    spread over its cells, and a point meets only boxes near it.
+    """
+    size = _size()
     placed = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumns(
         {"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)}
     )
@@ -43,7 +65,7 @@ def hit_test(points: DataFrame, boxes: DataFrame) -> DataFrame:
     )
     best = F.min(F.struct((F.col("_w") * F.col("_h")).alias("area"), F.col("node_id"))).alias("_b")
     return (
-        placed.join(listed, ["page_id", "_level", "_cx", "_cy"])
+        placed.join(cell_boxes(boxes).hint("merge"), _CELL)
         .filter(inside)
         .groupBy("page_id", "point_id")
         .agg(best)
