@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from webloom.operators import catalogue as cat
 from webloom.operators import queue, robots
 from webloom.operators.frontier import expand_frontier, link_graph
 from webloom.operators.extract import links_of, with_dom
+from webloom.session import ensure_checkpoint_dir
 
 JOBS = "id string, task_id bigint, priority int, enqueued_at bigint, attempt int, lease_expiry bigint"
 
@@ -121,3 +124,14 @@ def test_frontier_stops_at_depth_and_follows_cycles_once(spark):
     seeds = spark.createDataFrame([(1, "a"), (2, "c")], "task_id int, url string")
     got = {(r.task_id, r.url): r.depth for r in expand_frontier(seeds, edges, 1).collect()}
     assert got == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 1, (2, "c"): 0, (2, "a"): 1, (2, "d"): 1}
+
+
+def test_frontier_rounds_are_written_once(spark):
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    seeds = spark.createDataFrame([(1, "a"), (2, "b")], "task_id bigint, url string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    before = set(os.listdir(folder))
+    got = sorted(map(tuple, expand_frontier(seeds, edges).collect()))
+    assert got == [(1, "a", 0), (1, "b", 1), (1, "c", 2), (1, "d", 3), (2, "a", 2), (2, "b", 0), (2, "c", 1), (2, "d", 2)]
+    assert len(set(os.listdir(folder)) - before) == 1  # the table of what was seen, nothing beside it

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import canonical_url
-from webloom.session import cut_lineage, work_folder
+from webloom.session import work_folder
 
 
 def link_graph(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -44,11 +44,10 @@ def expand_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int | None =
             depth += 1
             # Distinct before the anti join: a hub's repeated targets are merged in the map tasks.
             found = last.join(edges, "src").select("task_id", F.col("dst").alias("url")).distinct()
-            # Written aside before it is appended: a round reads the table that it adds to.
-            new = cut_lineage(found.join(spark.table(name).select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
-            if new.isEmpty():
+            # A round reads the files that the table has when it is planned; what it adds comes in when it has ended.
+            add(found.join(spark.table(name).select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
+            if spark.table(name).filter(F.col("depth") == depth).isEmpty():
                 break
-            add(new)
         return spark.read.schema("task_id {}, url string, depth int".format(seeds.schema["task_id"].dataType.simpleString())).parquet(folder)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")  # the name only: its files stay
