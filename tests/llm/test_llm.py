@@ -248,6 +248,28 @@ def test_every_place_of_a_passage_is_reported(spark):
     assert 5 in {r["source_id"] for r in found} and 6 not in {r["doc_id"] for r in found}
 
 
+@pytest.mark.parametrize("many", [1000, 2])
+def test_no_pair_of_frequent_lines_is_left_out(spark, monkeypatch, many):
+    monkeypatch.setattr(substring, "MANY", many)
+    lines = [prose(70 + i, 18) for i in range(3)]
+    notice = " even ".join(lines[::-1])
+    apart = [" ".join(f"{prose(100 * i + j, 90)} {line}" for j, line in enumerate(lines)) for i in range(1, 9)]
+    rows = [(i, f"{apart[i - 1]} {prose(100 * i + 5, 200 * i)}") for i in range(1, 9)]
+    rows[3] = (4, f"{prose(80, 500)} {notice.replace('even', 'odd')} {prose(81, 9)}")
+    rows[4] = (5, f"{prose(82, 7)} {notice} {prose(83, 40)}")
+    rows[5] = (6, f"{rows[6][1][:3000]} {prose(84, 30)}")
+    words = substring.WordHashes()
+    of = {i: words.of(t.encode()) for i, t in rows}
+    want = {(a, b) for a in of for b in of if b < a and substring.passages(of[a], of[b], 50, 0.8)}
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got if r["doc_id"] != r["source_id"]} == want == {(5, 4), (7, 6)}
+
+
+def test_one_text_of_an_id_counts(spark):
+    rows = [(1, prose(90, 80)), (2, prose(90, 80) + " less"), (2, "z" + prose(91, 80))]
+    assert substring.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 0
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(3)
     for _ in range(20):
