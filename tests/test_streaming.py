@@ -103,6 +103,17 @@ def test_cluster_points(spark, hits, tmp_path):
     assert got and got <= batch
 
 
+def test_cluster_points_do_not_depend_on_the_order_of_nodes(spark):
+    rows = [(0, 0.1, 0.1), (0, 0.2, 0.2), (0, 0.3, 0.3), (1, 1e300, 1e-300), (2, None, None)]
+    points = []
+    for some in (rows, rows[::-1]):
+        nodes = spark.createDataFrame(some, "us long, pages_per_min double, fail_rate double").coalesce(1)
+        nodes = nodes.select(F.struct(F.timestamp_micros("us").alias("start")).alias("w"), "pages_per_min", "fail_rate")
+        points.append(sorted(map(tuple, windows.cluster_points(nodes).collect())))
+    assert points[0] == points[1]
+    assert points[0][0] == (0, 0.6, 0.6 / 3) and points[0][1][:2] == (1, 1e300) and points[0][2] == (2, None, None)
+
+
 def test_latest_nodes_sink(spark, hits, tmp_path):
     reports = reports_of(hits)
     q = windows.latest_nodes_sink(
