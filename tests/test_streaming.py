@@ -221,6 +221,20 @@ def test_lease_stream_equals_batch(spark, few_partitions, tmp_path):
     assert (ends[1], ends[3], ends[4], ends[7], ends[99]) == ("acked", "renewed", "expired", "renewed", "held")
 
 
+def test_leases_of_equal_time_and_id_do_not_depend_on_the_order_of_rows(spark, few_partitions, tmp_path):
+    """Job 1: a lease and its acknowledgement; 2: two leases, the longer one stands; 3: a lease without an end comes first."""
+    rows = [(1, 1, 5, "ack", None), (1, 1, 5, "lease", 20), (2, 2, 5, "lease", 90), (2, 2, 5, "lease", 20), (2, 2, 30, "ack", None),
+            (3, 3, 5, "lease", 20), (3, 3, 5, "lease", None), (4, 9, 300, "lease", 301)]
+    at = F.lit((DAY + 290) * S)
+    for n, some in enumerate((rows, rows[::-1])):
+        events = lease_events(spark, some).coalesce(1)
+        for cut in (None, 2):
+            ends = spans.lease_ends(events, at, rows=cut).select("job_id", ((F.col("expiry_us") / S) - DAY).cast("int"), "outcome")
+            assert sorted(map(tuple, ends.collect())) == [(1, 20, "acked"), (2, 20, "renewed"), (2, 90, "acked"), (3, 20, "expired"), (9, 301, "held")]
+        got = collect(spark, stateful.expired_leases(stream_of(spark, str(tmp_path / f"in{n}"), events, 1)), "append")
+        assert {r.job_id for r in got.collect()} == {r.job_id for r in spans.expired_leases(events, at).collect()} == {3}
+
+
 def node_reports(spark, rows):
     return spark.createDataFrame(rows, "id bigint, worker_id string, sec bigint").select(
         "id", "worker_id", ((F.col("sec") + DAY) * S).alias("us"), F.timestamp_seconds(F.col("sec") + DAY).alias("ts")

@@ -57,7 +57,7 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000  # every row before this time has come
-        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
+        rows = sorted(self.waiting.get(), key=self.order)
         due = [r for r in rows if r[0] < upto]
         if len(due) == len(rows):
             self.waiting.clear()
@@ -70,6 +70,9 @@ class InOrder(StatefulProcessor):
         names = [c.split(" ")[0] for c in self.OUT.split(", ")]
         return pd.DataFrame([(key[0], *r) for r in rows], columns=names)
 
+    def order(self, row: tuple) -> tuple:
+        return row[:2]
+
     def take(self, due: list[tuple], upto: int) -> list[tuple]:
         raise NotImplementedError
 
@@ -169,6 +172,10 @@ class Leases(InOrder):
         super().init(handle)
         self.lease = handle.getValueState("lease", "id bigint, expiry_us bigint")
 
+    def order(self, row):
+        us, id, kind, expiry = row
+        return us, id, kind != "lease", expiry is not None, expiry or 0
+
     def take(self, due, upto):
         out = []
         now = self.lease.get() if self.lease.exists() else None
