@@ -270,6 +270,17 @@ def test_one_text_of_an_id_counts(spark):
     assert substring.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 0
 
 
+def test_parts_that_cannot_hold_a_passage_make_no_pairs(spark):
+    """Texts 0 and 1 share eight words, 2 and 3 sixty: only the parts of the latter are brought together."""
+    texts = [[f"t{k}w{i}" for i in range(80)] for k in range(4)]
+    for k, (some, n) in enumerate((("a", 8), ("a", 8), ("b", 60), ("b", 60))):
+        texts[k][10 : 10 + n] = [f"{some}{i}" for i in range(n)]
+    docs = spark.createDataFrame([(bytearray(" ".join(t).encode()),) for t in texts], "t binary")
+    sets = substring.shared_sets(docs, 50, 1)
+    assert sets.select("f").distinct().count() == 2
+    assert [(r.hi - r.lo, r.n) for r in sets.collect()] == [(54, 55)] * 2 and substring.candidates(sets, 50).count() == 1
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(3)
     for _ in range(20):
