@@ -281,6 +281,34 @@ def test_parts_that_cannot_hold_a_passage_make_no_pairs(spark):
     assert [(r.hi - r.lo, r.n) for r in sets.collect()] == [(54, 55)] * 2 and substring.candidates(sets, 50).count() == 1
 
 
+def test_texts_move_once_for_two_blocks(spark, tmp_path):
+    """All pairs of 100 texts: a text meets those of two blocks in three moves at most, for 4,950 pairs."""
+    pairs = [(a, b) for a in range(100) for b in range(a)]
+    rows = substring.block_pairs(spark.createDataFrame(pairs, "a bigint, b bigint"), str(tmp_path)).collect()
+    assert sorted((r["id"], b) for r in rows for b in r["others"]) == sorted(pairs)
+    assert len(rows) <= 3 * 100
+    units = {}
+    for r in rows:
+        units.setdefault((r["u"], r["v"]), []).append(r["id"])
+    assert all(len(ids) == len(set(ids)) <= 2 * substring.BLOCK for ids in units.values())
+
+
+def test_seeds_of_a_text_serve_all_its_pairs():
+    """The alignment of prepared texts finds what the alignment of two lone ones finds, repeated words included."""
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 40, 300).astype(np.uint64) for _ in range(4)]
+    texts += [np.where(rng.random(300) < 0.05, 99, texts[i % 4]).astype(np.uint64) for i in range(4)]
+    texts += [np.concatenate((texts[i][:120], texts[i + 1][50:130], texts[i][40:110])) for i in range(3)] + [np.tile(texts[0][:9], 20)]
+    seeds = [substring.Seeds(t) for t in texts]
+    found = 0
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            want = substring.passages(a, b, 50, 0.8)
+            assert substring.linked(seeds[i], seeds[j], 50, 0.8) == want
+            found += bool(want)
+    assert found > 8
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(3)
     for _ in range(20):
