@@ -1,6 +1,9 @@
+import re
+
 import pyarrow as pa
+import pytest
 
-from webloom.operators import extract, induction
+from webloom.operators import boxes, extract, induction
 from webloom.sources.htmltree import MAX_DEPTH, PARSERS, RUN_BYTES, page_runs, shred_batch
 
 
@@ -84,3 +87,17 @@ def test_node_table(spark, library):
     assert work.end_id - work.node_id == 5 and work.attrs["class"] == "work"
     places = induction.sibling_positions(nodes)
     assert places.join(nodes, ["page_id", "node_id", "sib_idx", "type_idx"]).count() == nodes.count()
+
+
+@pytest.mark.parametrize("visible", [False, True])
+def test_exploded_nodes_do_not_carry_their_page(spark, visible):
+    """The rows of a page are buffered together: with the page in each, memory grew with the square of its length."""
+    html = "<body><p> a \t b </p>" + "<div>" + " " * 1200 + "late</div>" + "<i>x</i>" * 50
+    nodes = extract.dom_nodes(extract.with_dom(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")))
+    found = (boxes.visible_nodes(nodes) if visible else nodes).select("page_id", "tag", "text")
+    exploded = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate " in x]
+    assert len(exploded) == 1
+    assert not re.search(r"\[page_id#\d+L, ", exploded[0])
+    rows = found.filter("page_id = 1").collect()
+    assert {r.text for r in rows if r.tag in ("p", "div", "i")} == {"a b", "late", "x"}
+    assert found.filter("page_id = 2").count() == (0 if visible else 3)
