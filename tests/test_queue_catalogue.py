@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,31 @@ def test_frontier_rounds_are_written_once(spark):
     got = sorted(map(tuple, expand_frontier(seeds, edges).collect()))
     assert got == [(1, "a", 0), (1, "b", 1), (1, "c", 2), (1, "d", 3), (2, "a", 2), (2, "b", 0), (2, "c", 1), (2, "d", 2)]
     assert len(set(os.listdir(folder)) - before) == 1  # the table of what was seen, nothing beside it
+
+
+def test_frontier_slices_give_the_same_rows_and_leave_no_shuffle_files(spark):
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffle_files() -> set[str]:
+        return {f for top in local for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    urls = [(f"u{i}", f"u{(i * m + 1) % 60}") for i in range(40) for m in (2, 3, 5)]  # 40 to 59 lead nowhere
+    edges = spark.createDataFrame([*urls, *urls[:9], ("u3", None)], "src string, dst string")
+    starts = [(t, f"u{t * 7 % 40}") for t in range(25)]
+    seeds = spark.createDataFrame([*starts, *starts[:3], (99, "nowhere"), (98, None)], "task_id int, url string")
+    want = {(t, u): 0 for t, u in starts} | {(99, "nowhere"): 0, (98, None): 0}
+    new, depth = list(want), 0
+    links = {u: {d for s, d in [*urls, ("u3", None)] if s == u} for u in {s for s, _ in urls}}
+    while new:
+        depth += 1
+        new = sorted({(t, d) for t, u in new for d in links.get(u, ())} - set(want), key=str)
+        want |= dict.fromkeys(new, depth)
+    before = shuffle_files()
+    reached = expand_frontier(seeds, edges, slice_rows=1)
+    until = time.time() + 20
+    while shuffle_files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files() - before
+    rows = [tuple(r) for r in reached.collect() if r.url is not None]
+    assert len(rows) == len(set(rows)) and {(t, u): d for t, u, d in rows} == {k: d for k, d in want.items() if k[1] is not None}
+    assert expand_frontier(seeds.limit(0), edges).count() == 0
